@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -82,3 +83,26 @@ def lower_ascii(c: Column) -> Column:
 
 def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+#: Id tables up to this many rows (some MB) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def pick(rows: DataFrame, ids: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with a narrow written table ``ids``, broadcast only after its size is checked.
+
+    So a small table spares the shuffle of whole texts, and a large one costs one.
+    """
+    small = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if small else ids, keys, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files whose DataFrames are gone.
+
+    Its cleaner follows the driver's garbage collection, which a phase with
+    small driver objects may not cause for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
