@@ -143,76 +143,96 @@ class Segment:
 #: A space that isn't followed by white space begins a piece of its own in the
 #: byte-level vocabularies, so words can be encoded apart and remembered.
 _UNSURE = re.compile(r" (?:\s|\Z)")
+#: The same for a single line break between two words: it is a piece alone.
+_UNSURE_LINE = re.compile(r"\n(?:\s|\Z)|\s\n")
 _SPLIT = re.compile(r" (?=\S)")
-_SPACE = re.compile(r"\s|<\|")
+_MARKS = frozenset(",.;:!?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in that byte-level vocabularies use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class Encoder:
     """Byte-level BPE of whole texts through a bounded memory of words.
 
-    ``remember`` words are kept in each of two generations; beyond that the
-    older generation goes, so memory is bounded whatever the vocabulary.
+    A word of letters is one piece of the vocabulary's splitting rule, and so is
+    each mark after it; these go straight to the library's BPE model, anything
+    else through the library's whole pipeline. ``remember`` words are kept in
+    each of two generations; beyond that the older generation goes, so memory
+    is bounded whatever the words are.
     """
 
-    def __init__(self, path: str, remember: int = 250_000, longest: int = 64) -> None:
+    def __init__(self, path: str, remember: int = 500_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.remember, self.longest = remember, longest
-
-        self.line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = self._each(["\n"])[0]
+        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in _MARKS}
 
     def _each(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], at_once: int = 256) -> Iterator[tuple[str, bytes]]:
-        """Each word with the ids of it after a space.
-
-        Words without white space are encoded many at a time, a line each: a line
-        break between a word and a space is a piece of its own, and no other id
-        holds one, so the ids part at it.
-        """
-        plain = [w for w in words if w and not _SPACE.search(w)]
-        rest = [w for w in words if not w or _SPACE.search(w)]
-        yield from zip(rest, self._each([" " + w for w in rest]))
-        runs = [plain[i : i + at_once] for i in range(0, len(plain), at_once)]
-        for run, e in zip(runs, self.tok.encode_batch_fast([" " + "\n ".join(r) + "\n" for r in runs], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ids == self.line[0])
-            if len(ends) != len(run):
-                yield from zip(run, self._each([" " + w for w in run]))
-                continue
-            data, a = ids.tobytes(), 0
-            for w, b in zip(run, (ends * 4).tolist()):
-                yield w, data[a:b]
-                a = b + 4
+    def _letters(self, word: str) -> bytes:
+        """A word of letters after a space, or after the line break that it begins with."""
+        line = word[0] == "\n"
+        piece = word[1:] if line else word
+        piece = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(piece if line else "\u0120" + piece)]
+        return (self.line if line else b"") + struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a space and ``word`` (no space if it begins with a line break), or None if that takes the whole pipeline."""
+        ids = self.new.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                bare = word[1:] if word[:1] == "\n" else word
+                if bare.isalpha():
+                    ids = self._letters(word)
+                elif bare[-1:] in _MARKS and bare[:-1].isalpha():
+                    return self._word(word[:-1]) + self.marks[word[-1]]
+                else:
+                    return None
+            if len(word) <= self.longest:
+                self.new[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_SPLIT.split(t) if _UNSURE.search(t) else t.split(" ") for t in texts]
+        cut = []
+        for t in texts:
+            if _UNSURE.search(t):
+                cut.append(_SPLIT.split(t))
+            else:
+                cut.append((t if _UNSURE_LINE.search(t) else t.replace("\n", " \n")).split(" "))
         if len(self.new) > self.remember:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for words in cut:
-            for w in set(words[1:]).difference(new):
-                ids = old.get(w)
-                if ids is None:
-                    missing.append(w)
-                    ids = b""
-                new[w] = ids
-        new.update(self._words(missing))
         heads = self._each([words[0] for words in cut])
-        out = [h + b"".join([new[w] for w in words[1:]]) for h, words in zip(heads, cut)]
-        if any(len(w) > self.longest for w in missing):
-            for w in missing:
-                if len(w) > self.longest:
-                    new.pop(w, None)
-        return out
+        unique: set[str] = set()
+        for words in cut:
+            words[0] = "a"
+            unique.update(words)
+        known = {w: self._word(w) for w in unique}
+        rest = [w for w, ids in known.items() if ids is None]
+        for w, ids in zip(rest, self._each([w if w[:1] == "\n" and len(w) > 1 else " " + w for w in rest])):
+            known[w] = ids
+            if len(w) <= self.longest:
+                self.new[w] = ids
+        get = known.__getitem__
+        return [h + b"".join(map(get, words[1:])) for h, words in zip(heads, cut)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -256,7 +276,7 @@ def _writer(path: str, end_id: int, segment_ids: int) -> Callable[[Iterator[pa.R
             i = 0
             while i < len(ids):
                 j, size = i, 0
-                while j < len(ids) and j - i < 512 and size < 1_000_000:
+                while j < len(ids) and j - i < 2048 and size < 4_000_000:
                     size += len(texts[j].as_py() or "") + 1
                     j += 1
                 for d, enc in zip(ids[i:j], tok.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])):
