@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,34 @@ class Index:
                             yield i + d, j, q, shared
 
 
+def _indexes(items: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """Broadcast indexes of the items, block by block."""
+    spark = items.sparkSession
+    ship(spark)
+    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        got = block.collect()
+        yield spark.sparkContext.broadcast(Index([r.item_id for r in got], [r.text for r in got]))
+
+
+def without_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text contains no item (see ``find_items``)."""
+    at = docs.columns.index("text")
+    for index in _indexes(items, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in index.value.search(batch.column(at), tenths)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents that contain a test item: doc_id, item_id, n_item, n_shared.
 
@@ -149,17 +178,9 @@ def find_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, block_by
     null ids stay null; repeated rows give rows of their own. Extra columns are
     ignored; empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     out = None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        got = block.collect()
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in got], [r.text for r in got]))
+    for index in _indexes(items, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -58,8 +58,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: str = "mix", digits: int = 3) -> DataFrame:
-    """What the mix takes of every document.
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: str = "mix", digits: int = 3, carry: bool = False) -> DataFrame:
+    """What the mix takes of every document; with ``carry``, its whole row too, as ``row``.
 
     Returns doc_id, size (words), source_size, target, taken and copies. ``taken``
     counts words with repeats: every document of a source goes in once for each
@@ -73,8 +73,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3,
     are rows of their own; equal rows may swap their cuts. Columns other than
     doc_id, text and source are ignored. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"))
+    more = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"))
     rows = rows.withColumn("span", F.substring("key", 1, digits))
+    carried = ["row"] if carry else []
     spans = rows.groupBy("source", "span").agg(F.sum("size").alias("span_size"))
     sizes = spans.groupBy("source").agg(F.sum("span_size").alias("source_size"))
     offset = F.sum("span_size").over(Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("span_size")
@@ -85,17 +87,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3,
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     return (
-        placed.select("doc_id", "size", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
+        placed.select(*carried, "doc_id", "size", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
         .withColumn("epochs", epochs)
         .withColumn("rest", F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), budget - F.col("epochs") * F.col("source_size") - F.col("start"))))
         .select(
-            "doc_id", "size", "source_size", "target",
+            *carried, "doc_id", "size", "source_size", "target",
             (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"),
             (F.col("epochs") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)).alias("copies"),
         )
     )
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as ``mix`` has copies of it."""
+    taken = mix(docs, carry=True, **options).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
 def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

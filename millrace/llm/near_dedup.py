@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, pick, release, ship, table
@@ -223,5 +223,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, distance: int = DISTANCE
     return out.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), part.alias("component_id"), F.coalesce(doc == part, F.lit(True)).alias("kept"))
 
 
+def without_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document of each group.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay.
+    """
+    space = Workspace(docs.sparkSession, "copies")
+    gone = space.put(near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    left = pick(docs, gone, ["doc_id"], "left_anti")
+    twice = space.put(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "twice")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    one = pick(left, twice, ["doc_id"], "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return pick(left, twice, ["doc_id"], "left_anti").unionByName(one)
+
+
 def op4_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
