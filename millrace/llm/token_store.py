@@ -15,7 +15,6 @@ the packed words; u32 high bits of the exceptions; u8 places of the exceptions.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, ship, shuffle_parts, table
+from .words import SLICE_BYTES, mix64, slices, span_hashes
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 0.9, 1 << 18
 END_ID = 0
@@ -140,12 +140,6 @@ class Segment:
 
 # --- tokens -----------------------------------------------------------------
 
-#: A space that isn't followed by white space begins a piece of its own in the
-#: byte-level vocabularies, so words can be encoded apart and remembered.
-_UNSURE = re.compile(r" (?:\s|\Z)")
-#: The same for a single line break between two words: it is a piece alone.
-_UNSURE_LINE = re.compile(r"\n(?:\s|\Z)|\s\n")
-_SPLIT = re.compile(r" (?=\S)")
 _MARKS = frozenset(",.;:!?")
 
 
@@ -157,10 +151,43 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+#: First bytes of characters among which there are blanks beyond ASCII.
+_DOUBT = np.zeros(256, bool)
+_DOUBT[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def units(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where pieces begin that the byte-level vocabularies encode independently.
+
+    Their splitting rule never joins a blank to what stands before it, and lets
+    the last blank before a word begin the word's piece. So a text may be cut
+    before a space that a word follows, and before a line break that follows a
+    word. Where a blank beyond ASCII may be involved, there is no cut.
+    """
+    n = len(raw)
+    cut = np.zeros(n + 1, bool)
+    if n > 1:
+        here, nxt = raw[:-1], raw[1:]
+        cut[: n - 1] = (here == 32) & ~_BLANK[nxt] & ~_DOUBT[nxt]
+        word_before = ~_BLANK[here] & (here < 128)
+        word_before[1:] |= (here[1:] >= 128) & (here[:-1] == 0xC3)
+        cut[1:n] |= (nxt == 10) & word_before
+    cut[off] = True
+    cut[n] = False
+    return np.flatnonzero(cut)
+
+
+_PACKERS = [struct.Struct(f"<{k}I") for k in range(17)]
+
+
+def _little(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)].pack(*ids) if len(ids) < 17 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
-    """Byte-level BPE of whole texts through a bounded memory of words.
+    """Byte-level BPE of whole texts, each different word of a batch once.
 
     A word of letters is one piece of the vocabulary's splitting rule, and so is
     each mark after it; these go straight to the library's BPE model, anything
@@ -169,70 +196,87 @@ class Encoder:
     is bounded whatever the words are.
     """
 
-    def __init__(self, path: str, remember: int = 500_000, longest: int = 64) -> None:
+    def __init__(self, path: str, remember: int = 600_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.remember, self.longest = remember, longest
-        self.line = self._each(["\n"])[0]
-        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in _MARKS}
-
-    def _each(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _letters(self, word: str) -> bytes:
-        """A word of letters after a space, or after the line break that it begins with."""
-        line = word[0] == "\n"
-        piece = word[1:] if line else word
-        piece = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-        ids = [t.id for t in self.model.tokenize(piece if line else "\u0120" + piece)]
-        return (self.line if line else b"") + struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes | None:
-        """The ids of a space and ``word`` (no space if it begins with a line break), or None if that takes the whole pipeline."""
-        ids = self.new.get(word)
-        if ids is None:
-            ids = self.old.get(word)
+        self.line = _little(self.tok.encode("\n", add_special_tokens=False).ids)
+        self.marks = {m: _little(self.tok.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+
+    def _letters(self, head: str, word: str) -> bytes:
+        """A word of letters after a space, a line break or nothing."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        ids = _little([t.id for t in self.model.tokenize("\u0120" + piece if head == " " else piece)])
+        return self.line + ids if head == "\n" else ids
+
+    def _unit(self, unit: bytes) -> bytes | None:
+        """The ids of a unit, or None if it takes the whole pipeline."""
+        text = unit.decode("utf-8")
+        head = text[0] if text[0] in " \n" else ""
+        word = text[len(head) :]
+        if word.isalpha():
+            return self._letters(head, word)
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            stem = unit[:-1]
+            ids = self.new.get(stem) or self.old.get(stem)
             if ids is None:
-                bare = word[1:] if word[:1] == "\n" else word
-                if bare.isalpha():
-                    ids = self._letters(word)
-                elif bare[-1:] in _MARKS and bare[:-1].isalpha():
-                    return self._word(word[:-1]) + self.marks[word[-1]]
-                else:
-                    return None
-            if len(word) <= self.longest:
-                self.new[word] = ids
-        return ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = []
-        for t in texts:
-            if _UNSURE.search(t):
-                cut.append(_SPLIT.split(t))
-            else:
-                cut.append((t if _UNSURE_LINE.search(t) else t.replace("\n", " \n")).split(" "))
+                ids = self.new[stem] = self._letters(head, word[:-1])
+            return ids + self.marks[word[-1]]
+        return None
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, their number by text) of texts in one buffer."""
+        starts = units(raw, off)
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+        first = np.searchsorted(starts, off)
+        ends = np.append(starts[1:], len(raw))
+        keys, check = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES)))
+            at = starts[i]
+            part = raw[at : ends[j - 1]]
+            for seed, out in ((0, keys), (1, check)):
+                out.append(span_hashes(part, starts[i:j] - at, ends[i:j] - at, seed))
+            i = j
+        key, second = np.concatenate(keys), np.concatenate(check)
+        _, where, which = np.unique(key, return_index=True, return_inverse=True)
+        if (second[where][which] != second).any():  # two words of one hash: take both hashes
+            _, where, which = np.unique(key ^ mix64(second), return_index=True, return_inverse=True)
+        data = raw.tobytes()
         if len(self.new) > self.remember:
             self.old, self.new = self.new, {}
-        heads = self._each([words[0] for words in cut])
-        unique: set[str] = set()
-        for words in cut:
-            words[0] = "a"
-            unique.update(words)
-        known = {w: self._word(w) for w in unique}
-        rest = [w for w, ids in known.items() if ids is None]
-        for w, ids in zip(rest, self._each([w if w[:1] == "\n" and len(w) > 1 else " " + w for w in rest])):
-            known[w] = ids
-            if len(w) <= self.longest:
-                self.new[w] = ids
-        get = known.__getitem__
-        return [h + b"".join(map(get, words[1:])) for h, words in zip(heads, cut)]
+        new, old, found, rest = self.new, self.old, [], []
+        for k, (a, b) in enumerate(zip(starts[where].tolist(), ends[where].tolist())):
+            unit = data[a:b]
+            ids = new.get(unit)
+            if ids is None:
+                ids = old.get(unit) or self._unit(unit)
+                if ids is None:
+                    rest.append(k)
+                    found.append(unit)
+                    continue
+                if b - a <= self.longest:
+                    new[unit] = ids
+            found.append(ids)
+        for k, e in zip(rest, self.tok.encode_batch_fast([found[k].decode("utf-8") for k in rest], add_special_tokens=False)):
+            unit, found[k] = found[k], _little(e.ids)
+            if len(unit) <= self.longest:
+                new[unit] = found[k]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        begin = np.cumsum(size) - size
+        count = size[which]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(begin[which] - upto[:-1], count)]
+        return ids, np.diff(upto[first])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -247,45 +291,50 @@ def encoder(path: str) -> Encoder:
 
 # --- the store --------------------------------------------------------------
 
+#: Text bytes that are encoded at once.
+BATCH_BYTES = 8 << 20
 SEGMENTS = "shard int, seq long, n_ids long, doc_ids array<bigint>, data binary"
 
 
 def _writer(path: str, end_id: int, segment_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seq = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         docs: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
+        sizes: list[int] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, docs, parts, held
-            sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            data = encode_segment(np.frombuffer(b"".join(parts), "<u4"), starts)
+            nonlocal seq, docs, parts, sizes, held
+            starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            data = encode_segment(np.concatenate(parts), starts)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([data], pa.binary())],
                 ["shard", "seq", "n_ids", "doc_ids", "data"],
             )
-            seq, docs, parts, held = seq + 1, [], [], 0
+            seq, docs, parts, sizes, held = seq + 1, [], [], [], 0
             return row
 
         tok = encoder(path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            i = 0
-            while i < len(ids):
-                j, size = i, 0
-                while j < len(ids) and j - i < 2048 and size < 4_000_000:
-                    size += len(texts[j].as_py() or "") + 1
-                    j += 1
-                for d, enc in zip(ids[i:j], tok.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])):
-                    docs.append(d)
-                    parts.append(enc + end)
-                    held += len(enc) // 4 + 1
+            own = batch.column(0).to_pylist()
+            for i, j, raw, off in slices(batch.column(1), BATCH_BYTES):
+                ids, count = tok.encode(raw, off)
+                ids = np.insert(ids, np.cumsum(count), np.uint32(end_id))
+                ends = np.cumsum(count + 1)
+                a = at = 0
+                for d in range(j - i):
+                    b = int(ends[d])
+                    docs.append(own[i + d])
+                    sizes.append(b - at)
+                    held += b - at
+                    at = b
                     if held >= segment_ids:
+                        parts.append(ids[a:b])
+                        a = b
                         yield flush()
-                i = j
+                if at > a:
+                    parts.append(ids[a:at])
         if docs:
             yield flush()
 

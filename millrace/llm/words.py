@@ -98,6 +98,17 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of byte spans; equal bytes give equal hashes wherever they stand."""
+    p = _POWERS[seed]
+    n = len(raw)
+    up, down = p.upto(n + 1)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(p.values[raw] * up[:n], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return mix64(h + (ends - starts).astype(U64) * U64(_GOLD))
+
+
 class Words:
     """The words of some texts: byte spans, the text of each, and hashes.
 
@@ -128,13 +139,7 @@ class Words:
         return np.repeat(np.arange(self.texts), self.counts)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        p = _POWERS[seed]
-        n = len(self.raw)
-        up, down = p.upto(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(p.values[self.folded] * up[:n], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix64(h + (self.ends - self.starts).astype(U64) * U64(_GOLD))
+        return span_hashes(self.folded, self.starts, self.ends, seed)
 
     def runs(self, hashes: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``width`` words inside one text, and their first words."""
