@@ -181,11 +181,13 @@ class SubstringIndex:
         known = shared[0]
         for s in shared[1:]:
             known = known.unionByName(s)
-        known = self.space.put(known.distinct(), f"shared-{self.made}")
+        shared_name = f"shared-{self.made}"
+        known = self.space.put(known.distinct(), shared_name)
         found = pick(held, known, ["fp"])
         for e in earlier:
             found = found.unionByName(e)
         found = self.space.put(found, f"nominated-{self.made}")
+        self.space.drop(shared_name)
         self.runs.append(fresh)
         if len(self.runs) >= self.fanout:
             self.compact()
@@ -203,8 +205,86 @@ class SubstringIndex:
         self.runs = [whole]
 
 
-def _doc_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
+def _copied(window: int):
+    """d, text of texts that an earlier document has too -> their result rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, raw, off in slices(b.column(1)):
+                words = Words(raw, off, lower=False)
+                data, starts, ends = raw.tobytes(), words.starts, words.ends
+                removed = np.where(words.counts >= window, words.counts, 0)
+                sha = []
+                for d in range(words.texts):
+                    span = range(0) if removed[d] else range(words.first[d], words.first[d + 1])
+                    sha.append(hashlib.sha256(b" ".join([data[starts[k] : ends[k]] for k in span])).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha)], ["d", "n_words", "n_removed", "kept_sha256"])
+
+    return run
+
+
+RESULT = "d long, n_words long, n_removed long, kept_sha256 string"
+
+
+class _Job:
+    """The phases of ``dedup``; each leaves only written tables, so its shuffle files can go."""
+
+    def __init__(self, docs: DataFrame, batches: int, window: int, gram: int, fanout: int) -> None:
+        self.spark = docs.sparkSession
+        ship(self.spark)
+        self.space = Workspace(self.spark, "substrings")
+        self.batches, self.window, self.gram = batches, window, gram
+        self.index = SubstringIndex(self.spark, self.space, window, gram, fanout)
+        text = F.col("text").cast("string")
+        self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.md5(F.coalesce(text, F.lit(""))).alias("sum"), text.alias("text"))
+
+    def copies(self) -> None:
+        """Texts that an earlier document has: all their windows are its windows, so they needn't be indexed."""
+        sums = self.rows.select("d", "sum")
+        first = sums.groupBy("sum").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("sum", "lo")
+        self.space.put(sums.join(first, "sum").where("lo < d").select("d", "sum").distinct(), "copies")
+        self.copied = self.table("copies", "d long, sum string")
+        self.own = pick(self.rows, self.copied, ["d", "sum"], "left_anti").select("d", "text")
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.space.path}/{name}")
+
+    def nominate(self) -> None:
+        cuts: list = []
+        if self.batches > 1:
+            cuts = self.rows.agg(F.percentile_approx("d", [i / self.batches for i in range(1, self.batches)], 10_000).alias("cuts")).first().cuts or []
+        cuts = sorted(set(cuts))
+        found = None
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            part = self.own
+            part = part if low is None else part.where(F.col("d") > low)
+            part = part if high is None else part.where(F.col("d") <= high)
+            more = self.index.add(part)
+            found = more if found is None else found.unionByName(more)
+            del part, more
+            release(self.spark)
+        # One document's own fingerprints, so a list is bounded by the document.
+        self.space.put(found.groupBy("d").agg(F.collect_set("fp").alias("fps")), "lists")
+
+    def hold(self) -> None:
+        """The windows whose fingerprint several documents have."""
+        lists = self.table("lists", "d long, fps array<bigint>")
+        read = pick(self.own, lists.select("d"), ["d"], "left_semi").join(lists, "d").select("d", "text", "fps")
+        self.space.put(read.mapInArrow(_windows_of(self.window, self.gram), "w long, d long"), "windows")
+
+    def judge(self) -> None:
+        """Each document's windows that also start in a smaller one."""
+        held = self.table("windows", "w long, d long")
+        first = held.groupBy("w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("w", "lo")
+        self.space.put(held.join(first, "w").where("lo < d").groupBy("d").agg(F.collect_set("w").alias("gone")), "gone")
+
+    def result(self) -> DataFrame:
+        gone = self.table("gone", "d long, gone array<bigint>")
+        clean, none = _cleaned(self.window, self.gram), F.lit(None).cast("array<bigint>")
+        whole = pick(self.own, gone.select("d"), ["d"], "left_anti").select("d", "text", none.alias("gone")).mapInArrow(clean, RESULT)
+        cut = pick(self.own, gone.select("d"), ["d"], "left_semi").join(gone, "d").select("d", "text", "gone").mapInArrow(clean, RESULT)
+        copy = pick(self.rows, self.copied, ["d", "sum"], "left_semi").select("d", "text").mapInArrow(_copied(self.window), RESULT)
+        return whole.unionByName(cut).unionByName(copy).select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
@@ -219,34 +299,17 @@ def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: i
     other. Rows that repeat a doc_id are one document, so they don't remove from
     each other. Extra columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    space = Workspace(spark, "substrings")
-    index = SubstringIndex(spark, space, window, gram, fanout)
-    rows = _doc_rows(docs)
-    cuts = rows.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first().cuts if batches > 1 else []
-    cuts = sorted(set(cuts or []))
-    nominated = None
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = rows
-        part = part if low is None else part.where(F.col("d") > low)
-        part = part if high is None else part.where(F.col("d") <= high)
-        found = index.add(part)
-        nominated = found if nominated is None else nominated.unionByName(found)
-        release(spark)
-    # One document's own fingerprints, so a list is bounded by the document.
-    lists = space.put(nominated.groupBy("d").agg(F.collect_set("fp").alias("fps")), "lists")
-    read = pick(rows, lists.select("d"), ["d"], "left_semi").join(lists, "d").select("d", "text", "fps")
-    held = space.put(read.mapInArrow(_windows_of(window, gram), "w long, d long"), "windows")
-    release(spark)
-    first = held.groupBy("w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("w", "lo")
-    gone = space.put(held.join(first, "w").where("lo < d").groupBy("d").agg(F.collect_set("w").alias("gone")), "gone")
-    release(spark)
-    kept = "d long, n_words long, n_removed long, kept_sha256 string"
-    clean = _cleaned(window, gram)
-    whole = pick(rows, gone.select("d"), ["d"], "left_anti").select("d", "text", F.lit(None).cast("array<bigint>").alias("gone")).mapInArrow(clean, kept)
-    cut = pick(rows, gone.select("d"), ["d"], "left_semi").join(gone, "d").select("d", "text", "gone").mapInArrow(clean, kept)
-    return whole.unionByName(cut).select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    job = _Job(docs, batches, window, gram, fanout)
+    job.copies()
+    job.nominate()
+    release(job.spark)
+    job.hold()
+    job.space.drop("lists")
+    release(job.spark)
+    job.judge()
+    job.space.drop("windows")
+    release(job.spark)
+    return job.result()
 
 
 def op6_substring_index(spark, sf_dir):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, ship, shuffle_parts, table
-from .words import SLICE_BYTES, mix64, slices, span_hashes
+from .words import SLICE_BYTES, slices, span_hashes
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 0.9, 1 << 18
 END_ID = 0
@@ -196,7 +196,7 @@ class Encoder:
     is bounded whatever the words are.
     """
 
-    def __init__(self, path: str, remember: int = 600_000, longest: int = 64) -> None:
+    def __init__(self, path: str, remember: int = 250_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -237,19 +237,21 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         first = np.searchsorted(starts, off)
         ends = np.append(starts[1:], len(raw))
-        keys, check = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        keys = [np.empty(0, np.uint64)]
         i = 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES)))
             at = starts[i]
             part = raw[at : ends[j - 1]]
-            for seed, out in ((0, keys), (1, check)):
-                out.append(span_hashes(part, starts[i:j] - at, ends[i:j] - at, seed))
+            keys.append(span_hashes(part, starts[i:j] - at, ends[i:j] - at))
             i = j
-        key, second = np.concatenate(keys), np.concatenate(check)
+        key = np.concatenate(keys)
         _, where, which = np.unique(key, return_index=True, return_inverse=True)
-        if (second[where][which] != second).any():  # two words of one hash: take both hashes
-            _, where, which = np.unique(key ^ mix64(second), return_index=True, return_inverse=True)
+        # Words of one hash must also agree in length and byte sum; if ever two differ, each place is its own word.
+        sums = np.concatenate([[0], np.cumsum(raw, dtype=np.int64)])
+        second = (sums[ends] - sums[starts]) * (1 << 32) + (ends - starts)
+        if (second[where][which] != second).any():
+            where, which = np.arange(len(key)), np.arange(len(key))
         data = raw.tobytes()
         if len(self.new) > self.remember:
             self.old, self.new = self.new, {}
@@ -292,7 +294,7 @@ def encoder(path: str) -> Encoder:
 # --- the store --------------------------------------------------------------
 
 #: Text bytes that are encoded at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 SEGMENTS = "shard int, seq long, n_ids long, doc_ids array<bigint>, data binary"
 
 
