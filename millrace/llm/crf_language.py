@@ -187,7 +187,7 @@ class Model:
     def texts(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """Label with the largest mean probability over a text's words, and that mean."""
         names, scores = [], []
-        for i, j, raw, off in slices(texts, 1 << 20):
+        for i, j, raw, off in slices(texts):
             words = _fold(raw, off)
             sums = np.zeros((words.texts, max(1, len(self.labels))))
             if self.labels and words.n:

@@ -32,7 +32,7 @@ from .words import U64, Words, constants, mix64, shingle_sets, slices
 
 HASHES, DISTANCE, ERRORS = 64, 23, 1
 #: Shingles of a block of a family; a task holds two blocks.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
 NO_ID = -(1 << 63)
 
 

@@ -196,7 +196,7 @@ class Encoder:
     is bounded whatever the words are.
     """
 
-    def __init__(self, path: str, remember: int = 250_000, longest: int = 64) -> None:
+    def __init__(self, path: str, remember: int = 150_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -294,7 +294,7 @@ def encoder(path: str) -> Encoder:
 # --- the store --------------------------------------------------------------
 
 #: Text bytes that are encoded at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 SEGMENTS = "shard int, seq long, n_ids long, doc_ids array<bigint>, data binary"
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Largest number of text bytes hashed at once (one longer text is taken alone).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = (1 << 19) - 1
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
