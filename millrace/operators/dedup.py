@@ -101,8 +101,8 @@ def key_components(df: DataFrame, node: str, keys: Sequence[str]) -> DataFrame:
     edges = None
     for k in keys:
         held = df.where(F.col(k).isNotNull())
-        star = held.groupBy(k).agg(F.min(node).alias("a"))
-        part = held.join(star, k).select("a", F.col(node).alias("b"))
+        star = held.groupBy(k).agg(F.min(node).alias("__least"))
+        part = held.join(star, k).select("__least", F.col(node).alias("b")).withColumnRenamed("__least", "a")
         edges = part if edges is None else edges.unionByName(part)
     alone = df.select(F.col(node).alias("a"), F.col(node).alias("b"))
     return components(edges.unionByName(alone))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flows, measures, ranking, relations, scalars  # noqa: F401
+from . import files, flowing, flows, measures, ranking, relations, scalars  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
