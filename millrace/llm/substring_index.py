@@ -183,7 +183,7 @@ class SubstringIndex:
             known = known.unionByName(s)
         shared_name = f"shared-{self.made}"
         known = self.space.put(known.distinct(), shared_name)
-        found = pick(held, known, ["fp"])
+        found = held.join(known, "fp")
         for e in earlier:
             found = found.unionByName(e)
         found = self.space.put(found, f"nominated-{self.made}")
