@@ -5,7 +5,8 @@ and suffix. Counts are shrunk down that ladder by beta-binomial priors: a
 suffix's prior mean is the rate of all labelled pages, a domain's is its
 suffix's posterior mean, a host's is its domain's. How many labelled pages a
 prior weighs at a level is fitted to the table by the method of moments (the
-spread of the rates of the level's units beyond binomial noise). A page is
+spread of the rates of the level's units beyond binomial noise), and is never
+more than the labelled pages that the prior itself rests on. A page is
 blocked if even the upper bound of its host's posterior stays below
 ``least_good``; few or no labels leave the host with its parents' rate, so an
 unknown host passes unless its whole domain or suffix is known to be bad.
@@ -30,7 +31,7 @@ RULES = (
 )
 #: Public suffixes of two labels under which names are registered.
 SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "or.jp", "org.au", "org.uk")
-LEAST_GOOD, Z, PRIOR_MOST, PRIOR_LEAST = 0.5, 1.6448536269514722, 1000.0, 1.0
+LEAST_GOOD, Z, PRIOR_MOST, PRIOR_LEAST = 0.5, 1.6448536269514722, 1000.0, 2.0
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -94,18 +95,21 @@ def reputation(hosts: DataFrame) -> DataFrame:
     suffix is a unit of its own.
     """
     counts = [F.sum("n").alias("n"), F.sum("good").alias("good")]
-    rate = hosts.agg(*counts).select(F.coalesce(F.try_divide("good", "n"), F.lit(1.0)).alias("mean"))
+    above = [F.coalesce(F.try_divide("good", "n"), F.lit(1.0)).alias("mean"), F.coalesce("n", F.lit(0)).cast("double").alias("known")]
+    rate = hosts.agg(*counts).select(*above)
     domains = hosts.groupBy("suffix", "domain").agg(*counts)
+    # A prior weighs no more than what its own level knows.
+    weight = F.greatest(F.lit(PRIOR_LEAST), F.least("weight", "known"))
+    shrunk = (F.col("good") + weight * F.col("mean")) / (F.col("n") + weight)
+    down = [shrunk.alias("mean"), (F.col("n") + weight).alias("known")]
     level = domains.groupBy("suffix").agg(*counts).join(_one_row(rate))
-    shrunk = (F.col("good") + F.col("weight") * F.col("mean")) / (F.col("n") + F.col("weight"))
-    level = level.join(_one_row(prior_weight(level))).select("suffix", shrunk.alias("mean"))
+    level = level.join(_one_row(prior_weight(level))).select("suffix", *down)
     level = domains.join(level, "suffix")
-    level = level.join(_one_row(prior_weight(level))).select("domain", shrunk.alias("mean"))
+    level = level.join(_one_row(prior_weight(level))).select("domain", *down)
     level = hosts.join(level, "domain")
-    level = level.join(_one_row(prior_weight(level)))
-    post_n = F.col("n") + F.col("weight")
-    spread = F.sqrt(shrunk * (1 - shrunk) / (post_n + 1))
-    return level.select("host", "n", "good", post_n.alias("post_n"), shrunk.alias("post_mean"), F.least(F.lit(1.0), shrunk + Z * spread).alias("upper"))
+    level = level.join(_one_row(prior_weight(level))).select("host", "n", "good", *down)
+    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("known") + 1))
+    return level.select("host", "n", "good", F.col("known").alias("post_n"), F.col("mean").alias("post_mean"), F.least(F.lit(1.0), F.col("mean") + Z * spread).alias("upper"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
@@ -142,7 +146,7 @@ def op1_url_reputation(spark, sf_dir):
 
 def _level(units: str, into: str) -> str:
     """SQL for the prior weight of a level."""
-    return f"""{into} AS (SELECT greatest(1.0, coalesce(CASE WHEN rho > 1 / 1001.0 THEN 1 / least(rho, 1.0) - 1 ELSE 1000.0 END, 1000.0)) AS weight FROM (
+    return f"""{into} AS (SELECT greatest(2.0, coalesce(CASE WHEN rho > 1 / 1001.0 THEN 1 / least(rho, 1.0) - 1 ELSE 1000.0 END, 1000.0)) AS weight FROM (
   SELECT CASE WHEN b > 0 THEN (s - a) / b ELSE 0.0 END AS rho FROM (
     SELECT sum(power(good - n * mean, 2)) AS s, sum(n * mean * (1 - mean)) AS a, sum(n * (n - 1) * mean * (1 - mean)) AS b FROM {units})))"""
 
@@ -157,17 +161,17 @@ c AS (SELECT host, count(*) AS n, sum(good) AS good FROM p JOIN k USING (page_id
 s AS (SELECT host, string_split(host, '.') AS parts, coalesce(n, 0)::DOUBLE AS n, coalesce(good, 0)::DOUBLE AS good FROM (SELECT DISTINCT host FROM p) LEFT JOIN c USING (host)),
 h AS (SELECT host, n, good, array_to_string(parts[-w:], '.') AS suffix, array_to_string(parts[-(w + 1):], '.') AS domain
       FROM (SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN ({_TWO}) THEN 2 ELSE 1 END AS w FROM s)),
-rate AS (SELECT CASE WHEN sum(n) > 0 THEN sum(good) / sum(n) ELSE 1.0 END AS mean FROM h),
+rate AS (SELECT CASE WHEN sum(n) > 0 THEN sum(good) / sum(n) ELSE 1.0 END AS mean, coalesce(sum(n), 0) AS known FROM h),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM h GROUP BY 1, 2),
-l1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(mean) AS mean FROM d, rate GROUP BY 1),
+l1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(mean) AS mean, any_value(known) AS known FROM d, rate GROUP BY 1),
 {_level("l1", "w1")},
-m1 AS (SELECT suffix, (good + weight * mean) / (n + weight) AS mean FROM l1, w1),
-l2 AS (SELECT d.domain, d.n, d.good, m1.mean FROM d JOIN m1 USING (suffix)),
+m1 AS (SELECT suffix, (good + w * mean) / (n + w) AS mean, n + w AS known FROM (SELECT *, greatest(2.0, least(weight, known)) AS w FROM l1, w1)),
+l2 AS (SELECT d.domain, d.n, d.good, m1.mean, m1.known FROM d JOIN m1 USING (suffix)),
 {_level("l2", "w2")},
-m2 AS (SELECT domain, (good + weight * mean) / (n + weight) AS mean FROM l2, w2),
-l3 AS (SELECT h.host, h.n, h.good, m2.mean FROM h JOIN m2 USING (domain)),
+m2 AS (SELECT domain, (good + w * mean) / (n + w) AS mean, n + w AS known FROM (SELECT *, greatest(2.0, least(weight, known)) AS w FROM l2, w2)),
+l3 AS (SELECT h.host, h.n, h.good, m2.mean, m2.known FROM h JOIN m2 USING (domain)),
 {_level("l3", "w3")},
-m3 AS (SELECT host, n, (good + weight * mean) / (n + weight) AS mean, n + weight AS post_n FROM l3, w3),
+m3 AS (SELECT host, n, (good + w * mean) / (n + w) AS mean, n + w AS post_n FROM (SELECT *, greatest(2.0, least(weight, known)) AS w FROM l3, w3)),
 v AS (SELECT host, n::BIGINT AS labelled, CASE WHEN mean + 1.6448536269514722 * sqrt(mean * (1 - mean) / (post_n + 1)) < 0.5 THEN 'block' ELSE 'allow' END AS judged FROM m3),
 r AS (SELECT page_id, host, path, labelled, judged, CASE
   WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
