@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +31,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_millrace_shipped", False):
         return
+    # Rows are whole texts: batches between Spark and Python are bounded by bytes, unless the user says otherwise.
+    if spark.conf.get(BATCH_SETTING) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, "16m")
     top = Path(__file__).resolve().parents[1]
     where = os.path.join(tempfile.mkdtemp(prefix="ship"), "millrace_code.zip")
     with zipfile.ZipFile(where, "w") as z:

@@ -32,7 +32,7 @@ from .words import U64, Words, constants, mix64, shingle_sets, slices
 
 HASHES, DISTANCE, ERRORS = 64, 23, 1
 #: Shingles of a block of a family; a task holds two blocks.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -117,7 +117,8 @@ def confirm(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent:
     if len(ids) < 2:
         return []
     values, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(ids)), n)
+    token, df = token.astype(np.int32), df.astype(np.int32)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), n)
     rare = np.lexsort((token, df[token], doc))
     token, first = token[rare], np.concatenate([[0], np.cumsum(n)])
     prefix = n - -(-percent * n // 100) + 1

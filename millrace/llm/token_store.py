@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, ship, shuffle_parts, table
-from .words import SLICE_BYTES, slices, span_hashes
+from .words import SLICE_BYTES, WORKER_CACHES, slices, span_hashes
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 0.9, 1 << 18
 END_ID = 0
@@ -196,7 +196,7 @@ class Encoder:
     is bounded whatever the words are.
     """
 
-    def __init__(self, path: str, remember: int = 150_000, longest: int = 64) -> None:
+    def __init__(self, path: str, remember: int = 300_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -282,6 +282,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+WORKER_CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
@@ -294,7 +295,7 @@ def encoder(path: str) -> Encoder:
 # --- the store --------------------------------------------------------------
 
 #: Text bytes that are encoded at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 SEGMENTS = "shard int, seq long, n_ids long, doc_ids array<bigint>, data binary"
 
 

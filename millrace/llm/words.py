@@ -109,6 +109,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix64(h + (ends - starts).astype(U64) * U64(_GOLD))
 
 
+#: What operators remember from task to task in a Python worker. A worker that is
+#: reused for another operator gives it up, so that memories don't add up.
+WORKER_CACHES: list[dict] = []
+
+
 class Words:
     """The words of some texts: byte spans, the text of each, and hashes.
 
@@ -117,6 +122,8 @@ class Words:
     """
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool = True, punct: bool = False) -> None:
+        for cache in WORKER_CACHES:
+            cache.clear()
         self.raw, self.off, self.texts = raw, off, len(off) - 1
         self.folded = _LOWER[raw] if lower else raw
         n = len(raw)
