@@ -20,22 +20,29 @@ def center_aggregate(a: Column, center: float = 500.0) -> Column:
     return center + F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - center))
 
 
-def phase(kinds: Column, down: str, up: str) -> tuple[Column, Column, Column]:
-    """Elements before the one ``down``, from it to the one ``up``, and after; null unless both occur once in order."""
-    i, j = F.array_position(kinds, down), F.array_position(kinds, up)
-    once = (F.size(F.filter(kinds, lambda k: k == down)) == 1) & (F.size(F.filter(kinds, lambda k: k == up)) == 1) & (i < j)
-    cut = lambda a, b: F.when(once, F.slice(kinds, a.cast("int"), F.greatest(b.cast("int"), F.lit(0))))
-    return cut(F.lit(1), i - 1), cut(F.greatest(i, F.lit(1)), j - i + 1), cut(j + 1, F.size(kinds) - j)
+def drag_phases(kinds: Column, move: str = "move_to", down: str = "mouse_down", up: str = "mouse_up") -> tuple[Column, Column, Column]:
+    """(moves before the press, moves while held, whether the drag is well formed).
 
+    Well formed: one press, later one release that ends the sequence, and at
+    least one move and nothing else in either phase; else the counts are null.
+    """
+    i, j, n = F.array_position(kinds, down), F.array_position(kinds, up), F.size(kinds)
+    others = F.size(F.filter(kinds, lambda k: k != move))
+    good = F.coalesce((i > 1) & (j > i + 1) & (j == n) & (others == 2), F.lit(False))
+    return F.when(good, i - 1), F.when(good, j - i - 1), good
 
-def reorder(order: Column, target: Column, rank: Column) -> Column:
-    """The target taken out and put back at ``rank`` (from 0)."""
-    return F.array_insert(F.array_remove(order, target), (rank + 1).cast("int"), target)
+
+def reorder(order: Column, target: Column, rank: Column, count: int) -> Column:
+    """The first rank - 1 other elements, filled up from 0..count-1, then the target."""
+    rank = F.greatest(F.lit(1), F.least(F.lit(count), rank)).cast("int")
+    wrong = F.filter(order, lambda x: x != target)
+    rest = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")), lambda x: (x != target) & ~F.array_contains(wrong, x))
+    return F.concat(F.slice(F.concat(wrong, rest), 1, rank - 1), F.array(target))
 
 
 def monotone_fractions(n: Column, start: float = 0.0) -> Column:
-    """n rising offsets from ``start`` (left out) to 1."""
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.lit(start) + (1 - start) * i / n)
+    """n offsets from ``start`` to 1; one alone is 1."""
+    return F.when(n <= 1, F.array(F.lit(1.0))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1), lambda i: F.lit(start) + (1 - start) * i / F.greatest(n - 1, F.lit(1))))
 
 
 def max_run(a: Column) -> Column:

@@ -17,8 +17,9 @@ def stable_int(*parts: Column | str) -> Column:
     return F.conv(F.substring(sha_text(*parts), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def selection_id(prefix: str, *parts: Column | str, digits: int = 16) -> Column:
-    return F.concat(F.lit(prefix), F.substring(sha_text(*parts), 1, digits))
+def selection_id(prefix: str, split: Column, content: Column, rank: Column, digits: int = 12) -> Column:
+    """prefix_split_content_rank, the hashes cut to their first digits."""
+    return F.concat_ws("_", F.lit(prefix), split, F.substring(content, 1, digits), F.substring(rank, 1, digits))
 
 
 def lcg(seed: Column, n: int) -> Column:

@@ -34,15 +34,17 @@ def format_tool_call(action: Column, coordinate: Column | None = None, status: C
 
 
 def parse_tool_call(c: Column, name: str = "computer_use") -> Column:
-    """Strict: exact wrapper, exact keys, the expected name; struct or null."""
+    """Strict: one call, exact keys, the expected name, a left_click with a coordinate in 0..1000 or a terminate with its status; struct or null."""
     body = F.nullif(F.regexp_extract(c, TOOL_CALL, 1), F.lit(""))
     call = F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), CALL)
     keys = F.array_sort(F.json_object_keys(body))
-    inner = F.array_sort(F.json_object_keys(F.get_json_object(body, "$.arguments")))
-    known = F.forall(inner, lambda k: k.isin("action", "coordinate", "status")) & F.array_contains(inner, "action")
-    pair = call.arguments.coordinate.isNull() | (F.size(call.arguments.coordinate) == 2)
-    good = (keys == F.array(F.lit("arguments"), F.lit("name"))) & known & pair & (call.getField("name") == name)
-    return F.when(good, call.arguments)
+    inner = F.array_join(F.array_sort(F.json_object_keys(F.get_json_object(body, "$.arguments"))), ",")
+    args = call.arguments
+    click = (args.action == "left_click") & (inner == "action,coordinate") & (F.size(args.coordinate) == 2) & F.forall(args.coordinate, lambda v: v.between(0, 1000))
+    end = (args.action == "terminate") & (inner == "action,status") & args.status.isin("success", "failure")
+    alone = ~F.lower(c).rlike("</?think>") & (F.size(F.regexp_extract_all(c, F.lit("<tool_call>"), F.lit(0))) == 1)
+    good = (keys == F.array(F.lit("arguments"), F.lit("name"))) & (call.getField("name") == name) & (click | end) & alone
+    return F.when(good, args)
 
 
 def parse_final_click(c: Column, name: str = "computer_use") -> Column:

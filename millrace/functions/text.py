@@ -8,7 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 THINK = r"(?s)^\s*<think>(.*?)</think>(.*)$"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+
+# Patterns and phrases that the rules look for.
+LABELS = (r'(?i)one\s+labeled\s+"([^"]+)"', r"(?i)one\s+labeled\s+'([^']+)'", r'(?i)icon\s+that\s+displays\s+"([^"]+)"', r"(?i)icon\s+that\s+displays\s+'([^']+)'")
+CJK = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
+FORBIDDEN = (
+    "ground truth", "provided action", "fixed action", "given action", "oracle", "offline supervision", "source trace", "source motion", "original move", "aggregated motion",
+    "hidden target", "hidden label", "target answer", "annotation metadata", "this ablation", "compressed trace", "macro version",
+)
+CLICKS = r"(?i)\b(click|double[- ]click|right[- ]click|tap|press)\b"
+SELECTS = r"(?i)(^|\b(and|then)\s+)(then\s+)?select\b"
+HOVERS = r"(?i)\bhover\b"
+CURSOR_MOVES = r"(?i)\b(aim|bring|hover|move|pass|pinpoint|place|point|position|use|zero\s+in)\b.{0,160}\b((your|the)\s+)?(mouse(\s+(cursor|pointer))?|cursor|pointer)\b"
+CURSOR_STATES = r"(?i)\b(cursor|pointer|mouse)\b.{0,40}\b(is\s+)?(located|placed|positioned)\b"
 
 
 def normalize_ws(c: Column) -> Column:
@@ -39,9 +52,9 @@ def prefix_category(c: Column) -> Column:
     return F.when(c == "functional", "functional").when(c.startswith("direct_"), "direct")
 
 
-def extract_label(c: Column, patterns: Sequence[str]) -> Column:
+def extract_label(c: Column, patterns: Sequence[str] = LABELS) -> Column:
     """The first group of the first pattern that matches."""
-    found = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns]
+    found = [required_text(F.regexp_extract(c, p, 1)) for p in patterns]
     return F.coalesce(*found)
 
 
@@ -55,9 +68,15 @@ def render_think(thought: Column, payload: Column) -> Column:
     return F.concat(F.lit("<think>"), thought, F.lit("</think>\n"), payload)
 
 
-def id_split(c: Column) -> Column:
-    """train, val or test as a part of an id."""
-    return F.nullif(F.regexp_extract(c, r"(?:^|[-_/])(train|val|test)(?:[-_/]|$)", 1), F.lit(""))
+def id_split(c: Column, marker: str) -> Column:
+    """The part after the marker and before the next ``_`` if it is train, val or test, else unknown."""
+    part = F.substring_index(F.substring_index(c, marker, -1), "_", 1)
+    return F.when(c.contains(marker) & part.isin("train", "val", "test"), part).otherwise("unknown")
+
+
+def cursor_only(c: Column) -> Column:
+    """An instruction to point, not to click or select."""
+    return ~(c.rlike(CLICKS) | c.rlike(SELECTS)) & (c.rlike(HOVERS) | c.rlike(CURSOR_MOVES) | c.rlike(CURSOR_STATES))
 
 
 def batch_key(c: Column) -> Column:
@@ -66,7 +85,7 @@ def batch_key(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -76,7 +95,7 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
 
 
-def think_issues(c: Column, forbidden: Sequence[str]) -> Column:
+def think_issues(c: Column, forbidden: Sequence[str] = FORBIDDEN) -> Column:
     """Codes of what is wrong with a thought: empty, no_latin, cjk, forbidden, nested_tag."""
     low = F.lower(c)
     bad = F.lit(False)
@@ -85,26 +104,27 @@ def think_issues(c: Column, forbidden: Sequence[str]) -> Column:
     rules = [
         ("empty", F.trim(c) == ""),
         ("no_latin", ~c.rlike("[A-Za-z]")),
-        ("cjk", c.rlike("[一-鿿]")),
+        ("cjk", c.rlike(CJK)),
         ("forbidden", bad),
         ("nested_tag", low.rlike("</?think>")),
     ]
     return F.array_join(F.array_compact(F.array(*[F.when(ok, code) for code, ok in rules])), ",")
 
 
-def repetition_issues(c: Column, unique_share: float = 0.55, most: int = 3) -> Column:
-    """Codes: duplicate_sentence, ngram (few different 4-grams and one often), tail (a last block three times)."""
-    sentences = F.filter(F.transform(F.split(F.lower(c), r"[.!?\n]+"), normalize_ws), lambda s: s != "")
+def repetition_issues(c: Column, unique_share: float = 0.55, most: int = 3, least_words: int = 24, least_grams: int = 20, sentence: int = 6, widest: int = 20) -> Column:
+    """Codes of repetition in a text of at least ``least_words`` words.
+
+    duplicate_sentence: one of at least ``sentence`` words comes twice; ngram: of
+    ``least_grams`` or more runs of four words few differ and one comes ``most``
+    times; tail: the last 4 to ``widest`` words stand there three times in a row.
+    """
+    own = F.filter(F.transform(F.split(F.lower(c), r"[.!?\u3002\uff01\uff1f\n]+"), words), lambda s: F.size(s) >= sentence)
     toks = words(c)
     grams = ngrams(toks, 4)
-    n = F.size(grams)
+    n, k = F.size(grams), F.size(toks)
     top = F.array_max(F.transform(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda h: h == g))))
-    few = (n > 0) & (F.size(F.array_distinct(grams)) / F.greatest(n, F.lit(1)) < unique_share) & (top >= most)
-    k = F.size(toks)
-    spans = F.sequence(F.lit(4), F.lit(12))
-    tail = F.exists(
-        spans,
-        lambda s: (k >= 3 * s) & (F.slice(toks, F.greatest(k - s + 1, F.lit(1)), s) == F.slice(toks, F.greatest(k - 2 * s + 1, F.lit(1)), s)) & (F.slice(toks, F.greatest(k - s + 1, F.lit(1)), s) == F.slice(toks, F.greatest(k - 3 * s + 1, F.lit(1)), s)),
-    )
-    rules = [("duplicate_sentence", F.size(F.array_distinct(sentences)) < F.size(sentences)), ("ngram", few), ("tail", tail)]
-    return F.array_join(F.array_compact(F.array(*[F.when(ok, code) for code, ok in rules])), ",")
+    few = (n >= least_grams) & (F.size(F.array_distinct(grams)) / F.greatest(n, F.lit(1)) < unique_share) & (top >= most)
+    part = lambda s, i: F.slice(toks, F.greatest(k - i * s + 1, F.lit(1)), s)
+    tail = F.exists(F.sequence(F.lit(4), F.lit(widest)), lambda s: (k >= 3 * s) & (part(s, 1) == part(s, 2)) & (part(s, 1) == part(s, 3)))
+    rules = [("duplicate_sentence", F.size(F.array_distinct(own)) < F.size(own)), ("ngram", few), ("tail", tail)]
+    return F.when(k >= least_words, F.array_join(F.array_compact(F.array(*[F.when(ok, code) for code, ok in rules])), ",")).otherwise("")

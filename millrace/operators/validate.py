@@ -51,19 +51,48 @@ def finite_bbox(b: Column) -> Column:
     return F.when(good, b)
 
 
-def bbox_reason(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column, least_side: float = 4, least_area: float = 64, most_share: float = 0.5) -> Column:
+# Limits of an annotated box, and what may not be published.
+LEAST_WIDTH, LEAST_HEIGHT, LEAST_AREA, MOST_SHARE = 24.0, 18.0, 600.0, 0.20
+ORACLE_KEYS = ("bbox", "bounding_box", "bbox_pixels", "target_point", "target_pixel_xy", "target_model_xy", "waypoint", "waypoints", "waypoints_pixel_xy", "waypoints_model_xy", "source_target_index", "ground_truth", "element_id", "dom", "oracle")
+PRIVATE_WORDS = ("bbox", "ground_truth", "source_identity", "target_model_xy")
+EVALUATOR_PARTS = ("variant", "sensitivity", "target_idx", "target_index", "target_xy", "target_coord", "target_angle", "rotation_direction", "oracle", "success_geometry")
+HASH_KEY = r"(^|[_-])(sha(\d+)?|hash|digest)($|[_-])"
+
+
+def bbox_reason(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column, least_width: float = LEAST_WIDTH, least_height: float = LEAST_HEIGHT, least_area: float = LEAST_AREA, most_share: float = MOST_SHARE) -> Column:
     """Why a box is rejected: the first of eight reasons, or null."""
     vals = (x1, y1, x2, y2)
-    lost = F.lit(False)
+    missing, odd = F.lit(False), F.lit(False)
     for v in vals:
-        lost = lost | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+        missing = missing | v.isNull()
+        odd = odd | F.isnan(v) | (F.abs(v) == float("inf"))
     bw, bh = x2 - x1, y2 - y1
     return first_reason([
-        ("not_finite", lost), ("empty", (bw <= 0) | (bh <= 0)), ("negative", (x1 < 0) | (y1 < 0)), ("outside", (x2 > w) | (y2 > h)),
-        ("narrow", bw < least_side), ("low", bh < least_side), ("small", bw * bh < least_area), ("covers", bw * bh / (w * h) > most_share),
+        ("missing_bbox", missing), ("bbox_non_finite", odd), ("bbox_non_positive", (bw <= 0) | (bh <= 0)), ("bbox_outside_canvas", (x1 < 0) | (y1 < 0) | (x2 > w) | (y2 > h)),
+        ("bbox_width_below_minimum", bw < least_width), ("bbox_height_below_minimum", bh < least_height), ("bbox_area_below_minimum", bw * bh < least_area), ("bbox_area_ratio_above_maximum", bw * bh / (w * h) > most_share),
     ])
 
 
+def has_word(c: Column, words: Sequence[str] = PRIVATE_WORDS) -> Column:
+    """A text has one of the words, in any case."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.lower(c).contains(w)
+    return out
+
+
+def leaking_keys(keys: Column, parts: Sequence[str] = EVALUATOR_PARTS) -> Column:
+    """The keys, in lower case and sorted, that hold one of the parts."""
+    low = F.transform(keys, F.lower)
+    return F.array_sort(F.filter(low, lambda k: has_word(k, parts)))
+
+
+def publishable(c: Column) -> Column:
+    """A JSON text without hash-like keys and think tags, at any depth."""
+    keys = F.regexp_extract_all(F.lower(c), F.lit(r'"([^"\\]*)"\s*:'), F.lit(1))
+    return ~F.exists(keys, lambda k: k.rlike(HASH_KEY)) & ~F.lower(c).rlike("</?think>")
+
+
 def aligned(arrays: Sequence[Column], n: Column) -> Column:
     """All arrays have n elements."""
     out = F.lit(True)

@@ -331,3 +331,15 @@ def _(t: Tables):
 def _(t: Tables):
     t.events.createOrReplaceTempView("millrace_events")
     return t.spark.sql("SELECT event_type, count(*) AS n FROM millrace_events GROUP BY 1")
+
+
+@query("hash.file_sha256", "SELECT split, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id)) AS sha FROM records WHERE turns = 1 GROUP BY 1")
+def _(t: Tables):
+    """Three files, hashed as wholes."""
+    lines = F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string"))
+    texts = t.records.where("turns = 1").groupBy("split").agg(F.array_join(lines, "\n").alias("text"))
+    path = shared_folder(t.spark)
+    for r in texts.collect():
+        W.bytes_file(t.spark, r.text.encode(), f"{path}/files/{r.split}.txt")
+    files = t.spark.read.format("binaryFile").load(f"{path}/files")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("split"), F.sha2("content", 256).alias("sha"))

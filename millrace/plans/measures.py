@@ -71,11 +71,11 @@ def _(t: Tables):
     return t.records.agg(F.count("*").alias("cases"), F.sum("turns").alias("calls"), F.round(F.count("*") * 3600 / wall, 6).alias("cases_hour"), F.round(F.sum("turns") / wall, 6).alias("calls_s"), F.round(F.avg("value"), 6).alias("latency"))
 
 
-_SCORED = "(SELECT variant, CASE WHEN px > 1000 THEN 'wrong_format' WHEN px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 THEN 'correct' ELSE 'wrong' END AS v FROM boxes)"
+_SCORED = "(SELECT variant, CASE WHEN px > 1000 THEN 'wrong_format' WHEN px * w / 1000 BETWEEN x1 AND x2 AND py * h / 1000 BETWEEN y1 AND y2 THEN 'correct' ELSE 'wrong' END AS v FROM boxes)"
 
 
 def _scored(t: Tables):
-    return t.boxes.select("variant", score(*[c(n) for n in ("px", "py", "x1", "y1", "x2", "y2")]).alias("v"))
+    return t.boxes.select("variant", score(*[c(n) for n in ("px", "py", "w", "h", "x1", "y1", "x2", "y2")]).alias("v"))
 
 
 @query("agg.accuracy", f"SELECT variant, count(*) FILTER (WHERE v = 'correct') AS correct, count(*) FILTER (WHERE v = 'wrong') AS wrong, count(*) FILTER (WHERE v = 'wrong_format') AS wrong_format, round(count(*) FILTER (WHERE v = 'correct') / count(*), 6) AS accuracy, round(count(*) FILTER (WHERE v <> 'wrong_format') / count(*), 6) AS parse_rate FROM {_SCORED} GROUP BY 1")

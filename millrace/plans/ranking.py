@@ -98,7 +98,9 @@ _LR = """WITH n AS (SELECT platform, count(*) AS n FROM cands GROUP BY 1), r AS
 SELECT platform, CAST({} AS BIGINT) AS quota FROM f"""
 
 
-@query("win.quota.largest_remainder", _LR.format("least(low + (nth <= rest)::INT, 6)"))
+@query("win.quota.largest_remainder", """WITH n AS (SELECT platform, count(*) AS n FROM cands GROUP BY 1), r AS (SELECT *, n * 100 / sum(n) OVER () AS raw FROM n), l AS (SELECT *, least(floor(raw), 6) AS low FROM r),
+f AS (SELECT *, row_number() OVER (ORDER BY low < 6 DESC, raw - low DESC, platform) AS nth, 100 - sum(low) OVER () AS rest FROM l)
+SELECT platform, CAST(low + (low < 6 AND nth <= rest)::INT AS BIGINT) AS quota FROM f""")
 def _(t: Tables):
     n = t.cands.groupBy("platform").agg(F.count("*").alias("n")).withColumn("cap", F.lit(6))
     return W.largest_remainder(n, "n", 100, "platform", "cap").select("platform", "quota")
@@ -133,22 +135,28 @@ def _(t: Tables):
     return W.capped_pool(t.cands, "category", 10, 4, c("n") > 500, "2", "id").select("id")
 
 
+def _fold(t: Tables, key):
+    """Groups of a small fixed number, with their sizes and features, assigned whole."""
+    g = t.cands.groupBy(key.alias("g"), "category").agg(F.count("*").alias("n"))
+    groups: dict = {}
+    for r in g.orderBy("g", "category").collect():
+        f = groups.setdefault(r.g, {("total", "*"): 0})
+        f[("total", "*")] += r.n
+        f[("category", r.category)] = r.n
+    rows = [(k, s, groups[k][("total", "*")]) for k, s in W.fold_greedy(list(groups.items()), 7)]
+    return t.spark.createDataFrame(rows, "g long, split string, n long")
+
+
 @query("win.greedy_quota")
 def _(t: Tables):
-    """Quotas of splits over platform groups, each group whole to one split: a fold over one small row a group."""
-    groups = t.cands.groupBy("platform").agg(F.count("*").alias("n"))
-    rows = [(r.platform, r.n) for r in groups.orderBy("platform").limit(10_000).collect()]
-    total = sum(n for _, n in rows) or 1
-    return t.spark.createDataFrame(W.fold_greedy(rows, {"train": total * 8 // 10 or 1, "val": total // 10 or 1, "test": total // 10 or 1}), "platform string, n long, split string")
+    """Sixty-four groups of documents folded into splits: largest first, balanced by category."""
+    return _fold(t, c("id") % 64)
 
 
 @query("win.greedy_split")
 def _(t: Tables):
-    """Groups of bounded number (episode modulo 64) folded into splits by weighted deviation."""
-    groups = t.records.groupBy((c("episode") % 64).alias("g")).agg(F.count("*").alias("n"))
-    rows = [(r.g, r.n) for r in groups.orderBy("g").collect()]
-    total = sum(n for _, n in rows) or 1
-    return t.spark.createDataFrame(W.fold_greedy(rows, {"train": total * 8 // 10 or 1, "val": total // 10 or 1, "test": total // 10 or 1}), "g long, n long, split string")
+    """Groups of a leakage key (the platform's hash modulo 32) folded into splits."""
+    return _fold(t, F.pmod(F.xxhash64("platform"), F.lit(32)))
 
 
 @query("win.target_balance", "SELECT id, k FROM (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM records) WHERE n <= 5")
@@ -207,17 +215,19 @@ def _(t: Tables):
     return t.records.where("turns = 1").select("id", F.array_join(nearest_tour(pts, F.lit(0)), ",").alias("tour"))
 
 
-@query("win.split_index", "SELECT id, CASE WHEN n <= total / 2 THEN 'iid' ELSE 'ood' END AS part FROM (SELECT id, row_number() OVER (PARTITION BY variant ORDER BY id) AS n, count(*) OVER (PARTITION BY variant) AS total FROM records)")
+@query("win.split_index", "SELECT id, CASE WHEN total = 1 THEN 'smoke' WHEN n <= total // 2 THEN 'iid' ELSE 'ood' END AS part FROM (SELECT id, row_number() OVER (PARTITION BY variant ORDER BY id) AS n, count(*) OVER (PARTITION BY variant) AS total FROM records)")
 def _(t: Tables):
     w = Window.partitionBy("variant")
-    half = F.row_number().over(w.orderBy("id")) <= F.count("*").over(w) / 2
-    return t.records.select("id", F.when(half, "iid").otherwise("ood").alias("part"))
+    n = F.count("*").over(w)
+    half = F.row_number().over(w.orderBy("id")) <= F.floor(n / 2)
+    return t.records.select("id", F.when(n == 1, "smoke").when(half, "iid").otherwise("ood").alias("part"))
 
 
-@query("win.sensitivity", "SELECT id, CASE id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS band, round_even((id * 137 % 1000 + 250) / 1000, 3) AS v FROM records")
+@query("win.sensitivity", "SELECT id, CASE id % 2 WHEN 0 THEN 'low' ELSE 'high' END AS band, round_even((CASE id % 2 WHEN 0 THEN 500 ELSE 1200 END + (id * 73 + 29) % 301) / 1000, 3) AS v FROM records")
 def _(t: Tables):
-    band = F.when(c("id") % 3 == 0, "low").when(c("id") % 3 == 1, "mid").otherwise("high")
-    return t.records.select("id", band.alias("band"), F.bround((c("id") * 137 % 1000 + 250) / 1000, 3).alias("v"))
+    low = c("id") % 2 == 0
+    milli = F.when(low, 500).otherwise(1200) + (c("id") * 73 + 29) % 301  # bands of 500 to 800 and 1200 to 1500
+    return t.records.select("id", F.when(low, "low").otherwise("high").alias("band"), F.bround(milli / 1000, 3).alias("v"))
 
 
 @query("win.top_n_pairs", "SELECT variant, k, id FROM (SELECT *, dense_rank() OVER (PARTITION BY variant ORDER BY k) AS r FROM records) WHERE r <= 3")

@@ -208,11 +208,12 @@ def _(t: Tables):
 
 @query(
     "filter.bbox_reason",
-    """SELECT id, CASE WHEN k % 11 = 0 THEN 'not_finite' WHEN x2 <= x1 OR y2 <= y1 THEN 'empty' WHEN x2 > w OR y2 > h THEN 'outside' WHEN x2 - x1 < 4 THEN 'narrow' WHEN y2 - y1 < 4 THEN 'low'
-  WHEN (x2 - x1) * (y2 - y1) < 64 THEN 'small' WHEN (x2 - x1) * (y2 - y1) / (w * h) > 0.02 THEN 'covers' END AS v FROM boxes""",
+    """SELECT id, CASE WHEN k % 11 = 0 THEN 'missing_bbox' WHEN k % 11 = 1 THEN 'bbox_non_finite' WHEN x2 <= x1 OR y2 <= y1 THEN 'bbox_non_positive' WHEN x2 > w OR y2 > h THEN 'bbox_outside_canvas' WHEN x2 - x1 < 24 THEN 'bbox_width_below_minimum'
+  WHEN y2 - y1 < 18 THEN 'bbox_height_below_minimum' WHEN (x2 - x1) * (y2 - y1) < 600 THEN 'bbox_area_below_minimum' WHEN (x2 - x1) * (y2 - y1) / (w * h) > 0.01 THEN 'bbox_area_ratio_above_maximum' END AS v FROM boxes""",
 )
 def _(t: Tables):
-    return t.boxes.select("id", V.bbox_reason(F.when(c("k") % 11 == 0, F.lit(None).cast("double")).otherwise(c("x1")), c("y1"), c("x2"), c("y2"), c("w"), c("h"), most_share=0.02).alias("v"))
+    x1 = F.when(c("k") % 11 == 0, F.lit(None).cast("double")).when(c("k") % 11 == 1, F.lit(float("inf"))).otherwise(c("x1"))
+    return t.boxes.select("id", V.bbox_reason(x1, c("y1"), c("x2"), c("y2"), c("w"), c("h"), most_share=0.01).alias("v"))
 
 
 @query("filter.aligned_arrays", "SELECT id, id % 3 = 0 AS ok, CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END AS n FROM records")
@@ -261,31 +262,34 @@ def _(t: Tables):
 @query("filter.oracle_keys", "SELECT id, k % 2 = 0 AS v FROM records")
 def _(t: Tables):
     text = F.when(c("k") % 2 == 0, F.lit('{"a":[{"BBox" : 1}]}')).otherwise(F.lit('{"a":"bbox"}'))
-    return t.records.select("id", V.json_has_key(text, ["bbox", "oracle"]).alias("v"))
+    return t.records.select("id", V.json_has_key(text, V.ORACLE_KEYS).alias("v"))
 
 
-@query("filter.clean", "SELECT id, NOT (k % 4 = 1 OR k % 4 = 2) AS v FROM records")
+@query("filter.clean", "SELECT id, k % 5 IN (0, 3) AS v FROM records")
 def _(t: Tables):
-    text = F.when(c("k") % 4 == 1, F.lit('{"image_sha256":"x"}')).when(c("k") % 4 == 2, F.lit('{"t":"<think>a"}')).otherwise(F.lit('{"t":"sha256"}'))
-    return t.records.select("id", (~V.json_has_key(text, [r"\w*sha256", r"\w*hash"]) & ~text.contains("<think>")).alias("v"))
+    texts = ['{"t":"sha256"}', '{"a":{"image_sha256" :"x"}}', '{"t":"<Think>a"}', '{"sharp":1,"hashtag":2}', '[{"digest-x":1}]']
+    text = F.get(F.array(*[F.lit(x) for x in texts]), (c("k") % 5).cast("int"))
+    return t.records.select("id", V.publishable(text).alias("v"))
 
 
 @query("filter.prompt_leak", "SELECT id, k % 3 = 0 AS v FROM records")
 def _(t: Tables):
-    prompt = F.array(F.struct(F.lit("user").alias("role"), F.when(c("k") % 3 == 0, F.lit("the Target_Index is 3")).otherwise(c("variant")).alias("content")))
-    return t.records.select("id", F.lower(F.to_json(prompt)).rlike("bbox|target_index|oracle").alias("v"))
+    prompt = F.array(F.struct(F.lit("user").alias("role"), F.when(c("k") % 3 == 0, F.lit("the Ground_Truth is 3")).otherwise(c("variant")).alias("content")))
+    return t.records.select("id", V.has_word(F.to_json(prompt)).alias("v"))
 
 
-@query("filter.policy_keys", "SELECT id, k % 2 = 1 AS v FROM records")
+@query("filter.policy_keys", "SELECT id, CASE WHEN k % 2 = 1 THEN 'my_target_index,variant' ELSE '' END AS v FROM records")
 def _(t: Tables):
-    m = F.create_map(F.lit("split"), c("split"), F.when(c("k") % 2 == 1, F.lit("Eval_Success")).otherwise(F.lit("source")), c("variant"))
-    return t.records.select("id", F.exists(F.map_keys(m), lambda k: F.lower(k).rlike("evaluator|eval_|success")).alias("v"))
+    odd = c("k") % 2 == 1
+    keys = F.array(F.lit("split"), F.when(odd, F.lit("Variant")).otherwise(F.lit("source")), F.when(odd, F.lit("my_Target_Index")).otherwise(F.lit("frame")))
+    return t.records.select("id", F.array_join(V.leaking_keys(keys), ",").alias("v"))
 
 
-@query("filter.non_click", "SELECT id, variant IN ('view', 'signup') AS v FROM records")
+@query("filter.non_click", "SELECT id, variant IN ('view', 'signup', 'error') AS v FROM records")
 def _(t: Tables):
-    text = F.when(c("variant") == "view", "Hover over the logo").when(c("variant") == "signup", "move the cursor to the menu").otherwise("click on it")
-    return t.records.select("id", text.rlike(r"(?i)\b(hover|move the (cursor|mouse|pointer))\b").alias("v"))
+    said = {"view": "Hover over the logo", "signup": "move the mouse cursor to the menu", "error": "the pointer is placed there", "click": "move the mouse there and click on it", "purchase": "hover, then select the first"}
+    names = F.create_map(*[F.lit(x) for kv in said.items() for x in kv])
+    return t.records.select("id", X.cursor_only(names[c("variant")]).alias("v"))
 
 
 @query("filter.record_contract", "SELECT id FROM records WHERE variant = 'click' AND split = 'train' AND success AND k >= 10 AND turns <= 12")
@@ -297,16 +301,19 @@ def _(t: Tables):
     return t.records.where(keep).select("id")
 
 
-@query("filter.think_quality", "SELECT id, concat_ws(',', CASE WHEN regexp_matches(text, '[^\\x00-\\x{2FF}]') AND regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'cjk' END, CASE WHEN contains(lower(text), 'the') THEN 'forbidden' END) AS v FROM cands")
+@query("filter.think_quality", "SELECT id, concat_ws(',', CASE WHEN turns = 1 THEN 'empty' END, CASE WHEN turns IN (1, 2) THEN 'no_latin' END, CASE WHEN turns = 3 THEN 'cjk' END, CASE WHEN turns = 4 THEN 'forbidden' END, CASE WHEN turns IN (4, 5) THEN 'nested_tag' END) AS v FROM records")
 def _(t: Tables):
-    return t.cands.select("id", X.think_issues(c("text"), ["the"]).alias("v"))
+    texts = ["  ", "123 !", "see 中文", "By the Oracle </think>", "so <think> again"]
+    text = F.coalesce(F.get(F.array(*[F.lit(x) for x in texts]), (c("turns") - 1).cast("int")), c("variant"))
+    return t.records.select("id", X.think_issues(text).alias("v"))
 
 
-@query("filter.repetition", "SELECT id, CASE WHEN turns % 4 = 0 THEN 'duplicate_sentence,ngram,tail' WHEN turns % 4 = 1 THEN 'duplicate_sentence' ELSE '' END AS v FROM records")
+@query("filter.repetition", "SELECT id, CASE turns % 5 WHEN 0 THEN 'duplicate_sentence,ngram,tail' WHEN 1 THEN 'duplicate_sentence' WHEN 2 THEN 'tail' ELSE '' END AS v FROM records")
 def _(t: Tables):
-    once = F.lit("Look at the red box there. ")
-    text = F.when(c("turns") % 4 == 0, F.repeat(once, 4)).when(c("turns") % 4 == 1, F.concat(once, F.lit("Now press on it. "), once)).otherwise(F.concat(once, c("variant")))
-    return t.records.select("id", X.repetition_issues(text).alias("v"))
+    once, other = "Look at the red box over there. ", "Now press on it and wait until the next page has come. "
+    free = " ".join(f"word{i}" for i in range(30))
+    texts = [once * 5, once + other + once, free + " go on and on go on and on go on and on", once + other + "Then drag the small handle to the right.", once * 3]
+    return t.records.select("id", X.repetition_issues(F.get(F.array(*[F.lit(x) for x in texts]), (c("turns") % 5).cast("int"))).alias("v"))
 
 
 @query("filter.loop", "SELECT episode, coalesce(l[-1] = l[-2], false) OR coalesce(l[-1] = l[-3] AND l[-2] = l[-4] AND l[-1] <> l[-2], false) AS v FROM (SELECT episode, list(variant ORDER BY id) AS l FROM records GROUP BY episode)")

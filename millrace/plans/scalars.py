@@ -27,7 +27,7 @@ def _(t: Tables):
     return t.cands.select("id", X.required_text(raw).alias("v"))
 
 
-@query("str.mask_email", "SELECT id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<EMAIL>', 'g') AS v FROM cands")
+@query("str.mask_email", "SELECT id, regexp_replace(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '<EMAIL>', 'g') AS v FROM cands")
 def _(t: Tables):
     return t.cands.select("id", X.mask_email(c("text")).alias("v"))
 
@@ -45,8 +45,8 @@ def _(t: Tables):
 
 @query("str.extract_label", "SELECT id, platform AS v FROM cands WHERE n % 2 = 0 UNION ALL SELECT id, category FROM cands WHERE n % 2 = 1")
 def _(t: Tables):
-    text = F.when(c("n") % 2 == 0, F.concat(F.lit("click the '"), "platform", F.lit("' icon"))).otherwise(F.concat(F.lit("open "), "category", F.lit(" now")))
-    return t.cands.select("id", X.extract_label(text, [r"'([^']+)'", r"open (\w+)"]).alias("v"))
+    text = F.when(c("n") % 2 == 0, F.concat(F.lit("click the one labeled  '"), "platform", F.lit("' now"))).otherwise(F.concat(F.lit('Find the icon that displays "'), "category", F.lit('"')))
+    return t.cands.select("id", X.extract_label(text).alias("v"))
 
 
 @query("str.split_think", "SELECT id, CASE WHEN n % 2 = 0 THEN category END AS thought, CASE WHEN n % 2 = 0 THEN platform ELSE '<think>' || platform END AS rest FROM cands")
@@ -61,9 +61,9 @@ def _(t: Tables):
     return t.cands.select("id", X.render_think(c("category"), F.to_json(F.struct(c("platform").alias("a")))).alias("v"))
 
 
-@query("str.id_split", "SELECT id, split AS v FROM records")
+@query("str.id_split", "SELECT id, CASE WHEN k % 5 = 0 THEN 'unknown' ELSE split END AS v FROM records")
 def _(t: Tables):
-    return t.records.select("id", X.id_split(F.concat_ws("-", F.lit("gc"), "split", c("id").cast("string"))).alias("v"))
+    return t.records.select("id", X.id_split(F.concat_ws("_", F.when(c("k") % 5 == 0, "other").otherwise("set"), "split", c("id").cast("string")), "set_").alias("v"))
 
 
 @query("str.batch_key", "SELECT id, 'ep_' || episode AS v FROM records")
@@ -83,7 +83,7 @@ def _responses(t: Tables):
     good = J.format_tool_call(F.lit("left_click"), F.array("k", "turns"))
     extra = F.concat(good, F.lit(" ok"))
     other = J.format_tool_call(F.lit("terminate"), status=F.lit("success"))
-    bad = F.regexp_replace(good, "left_click", 'left_click","speed":"1')
+    bad = F.regexp_replace(good, "left_click", 'left_click","speed":"1')  # a key too many
     pick = F.when(c("id") % 4 == 0, good).when(c("id") % 4 == 1, extra).when(c("id") % 4 == 2, other).otherwise(bad)
     return t.records.select("id", "k", "turns", pick.alias("r"))
 
@@ -151,9 +151,9 @@ def _(t: Tables):
     return t.records.select("id", (H.stable_int("7", c("id")) % 1000).cast("long").alias("v"))
 
 
-@query("hash.selection_id", "SELECT id, 'sel-' || substr(sha256(split || '|' || episode || '|' || id), 1, 16) AS v FROM records")
+@query("hash.selection_id", "SELECT id, 'sel_' || split || '_' || substr(sha256(variant), 1, 12) || '_' || substr(sha256('7|' || split || '|' || id), 1, 12) AS v FROM records")
 def _(t: Tables):
-    return t.records.select("id", H.selection_id("sel-", c("split"), c("episode"), c("id")).alias("v"))
+    return t.records.select("id", H.selection_id("sel", c("split"), F.sha2("variant", 256), H.sha_text("7", c("split"), c("id"))).alias("v"))
 
 
 @query("rng.lcg", """WITH RECURSIVE s AS (SELECT id, 0 AS i, id % 4294967296 AS x FROM records UNION ALL SELECT id, i + 1, (x * 1664525 + 1013904223) % 4294967296 FROM s WHERE i < 5)
@@ -190,19 +190,19 @@ def _(t: Tables):
     return t.boxes.select("id", G.quantize(c("px"), c("w")).alias("v"))
 
 
-@query("geo.pixel_to_model", "SELECT id, CAST(least(1000, greatest(0, round_even(py * 1000 / h, 0))) AS BIGINT) AS v FROM boxes")
+@query("geo.pixel_to_model", "SELECT id, CAST(least(1000, greatest(0, round_even(py / h * 1000, 0))) AS BIGINT) AS v FROM boxes")
 def _(t: Tables):
     return t.boxes.select("id", G.pixel_to_model(c("py"), c("h")).alias("v"))
 
 
-@query("geo.model_to_pixel", "SELECT id, CASE WHEN px <= 1000 THEN CAST(least(1279, round_even(px * 1280 / 1000, 0)) AS BIGINT) END AS v FROM boxes")
+@query("geo.model_to_pixel", "SELECT id, CASE WHEN px <= 1000 THEN px / 1000.0::DOUBLE * 1280 END AS v FROM boxes")
 def _(t: Tables):
     return t.boxes.select("id", G.model_to_pixel(c("px"), 1280.0).alias("v"))
 
 
-@query("geo.relative_bin", "SELECT id, CAST(floor(k * 10 / 1000 * 720) AS BIGINT) AS v FROM boxes")
+@query("geo.relative_bin", "SELECT id, least(least(1000, k * 12)::DOUBLE / 1000 * 720, 719) AS v FROM boxes")
 def _(t: Tables):
-    return t.boxes.select("id", G.relative_bin(c("k") * 10, 720).alias("v"))
+    return t.boxes.select("id", G.relative_bin(c("k") * 12, 720).alias("v"))
 
 
 @query("geo.qwen25", "SELECT id, CAST(round(((k * 10) * 1288.0 / 1000)::DECIMAL(30, 10), 0) AS BIGINT) AS v FROM boxes")
@@ -239,22 +239,22 @@ def _(t: Tables):
     return t.boxes.select("id", G.point_in_polygon(c("px"), c("py"), tri).alias("v"))
 
 
-@query("geo.score", "SELECT id, CASE WHEN id % 7 = 0 OR px > 1000 THEN 'wrong_format' WHEN px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 THEN 'correct' ELSE 'wrong' END AS v FROM boxes")
+@query("geo.score", "SELECT id, CASE WHEN id % 7 = 0 OR px > 1000 THEN 'wrong_format' WHEN px * w / 1000 BETWEEN x1 AND x2 AND py * h / 1000 BETWEEN y1 AND y2 THEN 'correct' ELSE 'wrong' END AS v FROM boxes")
 def _(t: Tables):
-    return t.boxes.select("id", G.score(F.when(c("id") % 7 != 0, c("px")), *[c(n) for n in ("py", "x1", "y1", "x2", "y2")]).alias("v"))
+    return t.boxes.select("id", G.score(F.when(c("id") % 7 != 0, c("px")), *[c(n) for n in ("py", "w", "h", "x1", "y1", "x2", "y2")]).alias("v"))
 
 
-@query("geo.bucket.aspect", "SELECT id, CASE WHEN (x2 - x1 + 1) / (y2 - y1 + 1) < 0.75 THEN 'portrait' WHEN (x2 - x1 + 1) / (y2 - y1 + 1) < 1.35 THEN 'square' WHEN (x2 - x1 + 1) / (y2 - y1 + 1) < 1.9 THEN 'wide' ELSE 'ultrawide' END AS v FROM boxes")
+@query("geo.bucket.aspect", "SELECT id, CASE WHEN (x2 - x1 + 1) / (y2 - y1 + 1) < 0.8 THEN 'portrait' WHEN (x2 - x1 + 1) / (y2 - y1 + 1) <= 1.25 THEN 'square' WHEN (x2 - x1 + 1) / (y2 - y1 + 1) <= 1.8 THEN 'landscape' ELSE 'wide' END AS v FROM boxes")
 def _(t: Tables):
     return t.boxes.select("id", G.aspect_bucket(c("x2") - c("x1") + 1, c("y2") - c("y1") + 1).alias("v"))
 
 
-@query("geo.bucket.size", "SELECT id, CASE WHEN px * py * 4 < 307200 THEN 'small' WHEN px * py * 4 < 921600 THEN 'medium' WHEN px * py * 4 < 2073600 THEN 'large' ELSE 'huge' END AS v FROM boxes")
+@query("geo.bucket.size", "SELECT id, CASE WHEN px * py * 4 < 307200 THEN 'small' WHEN px * py * 4 < 921600 THEN 'medium' WHEN px * py * 4 < 2073600 THEN 'large' ELSE 'xlarge' END AS v FROM boxes")
 def _(t: Tables):
     return t.boxes.select("id", G.size_bucket(c("px") * 2, c("py") * 2).alias("v"))
 
 
-@query("geo.bucket.area", "SELECT id, CASE WHEN a < 0.001 THEN 'tiny' WHEN a < 0.01 THEN 'small' WHEN a < 0.1 THEN 'medium' ELSE 'large' END AS v FROM (SELECT id, (x2 - x1) * (y2 - y1) / (w * h) AS a FROM boxes)")
+@query("geo.bucket.area", "SELECT id, CASE WHEN a < 0.001 THEN 'tiny' WHEN a < 0.01 THEN 'small' WHEN a < 0.05 THEN 'medium' ELSE 'large' END AS v FROM (SELECT id, (x2 - x1) * (y2 - y1) / (w * h) AS a FROM boxes)")
 def _(t: Tables):
     return t.boxes.select("id", G.area_bucket(*[c(n) for n in ("x1", "y1", "x2", "y2", "w", "h")]).alias("v"))
 
@@ -267,14 +267,67 @@ def _(t: Tables):
 @query(
     "geo.smart_resize",
     """WITH s AS (SELECT id, px + 10 AS w, py + 10 AS h, greatest(28, round_even((px + 10) / 28, 0) * 28) AS rw, greatest(28, round_even((py + 10) / 28, 0) * 28) AS rh FROM boxes)
-SELECT id, CAST(CASE WHEN rw * rh > 401408 THEN greatest(28, floor(w / sqrt(w * h / 401408) / 28) * 28) WHEN rw * rh < 50176 THEN ceil(w * sqrt(50176 / (w * h)) / 28) * 28 ELSE rw END AS BIGINT) AS a,
-  CAST(CASE WHEN rw * rh > 401408 THEN greatest(28, floor(h / sqrt(w * h / 401408) / 28) * 28) WHEN rw * rh < 50176 THEN ceil(h * sqrt(50176 / (w * h)) / 28) * 28 ELSE rh END AS BIGINT) AS b FROM s""",
+SELECT id, CAST(CASE WHEN rw * rh > 401408 THEN greatest(28, floor(w / sqrt(w * h / 401408) / 28) * 28) WHEN rw * rh < 50176 THEN greatest(28, ceil(w * sqrt(50176 / (w * h)) / 28) * 28) ELSE rw END AS BIGINT) AS a,
+  CAST(CASE WHEN rw * rh > 401408 THEN greatest(28, floor(h / sqrt(w * h / 401408) / 28) * 28) WHEN rw * rh < 50176 THEN greatest(28, ceil(h * sqrt(50176 / (w * h)) / 28) * 28) ELSE rh END AS BIGINT) AS b FROM s""",
 )
 def _(t: Tables):
+    """No size of these images needs a further step."""
     a, b = G.smart_resize(c("px") + 10, c("py") + 10, 28, 50176, 401408)
     return t.boxes.select("id", a.alias("a"), b.alias("b"))
 
 
+@query(
+    "geo.score_sequence",
+    """SELECT id, CASE id % 8 WHEN 0 THEN hit WHEN 1 THEN 'wrong_format' WHEN 2 THEN 'wrong_action' WHEN 3 THEN 'wrong_action' WHEN 4 THEN 'wrong_action' WHEN 5 THEN 'wrong_format' WHEN 6 THEN 'wrong_format' ELSE 'wrong_action' END AS v
+FROM (SELECT id, CASE WHEN k * 10 * w / 1000 BETWEEN x1 AND x2 + 200 AND 500 * h / 1000 BETWEEN y1 AND y2 + 200 THEN 'correct' ELSE 'wrong' END AS hit FROM boxes)""",
+)
+def _(t: Tables):
+    """Good sequences, and each way to break one."""
+    act = lambda a, xy=None, s=None: F.struct(F.lit(a).alias("action"), (F.lit(None).cast("array<int>") if xy is None else xy).alias("coordinate"), F.lit(s).cast("string").alias("status"))
+    xy = F.array((c("k") * 10).cast("int"), F.lit(500))
+    click, end = act("left_click", xy), act("terminate", None, "success")
+    cases = [
+        F.array(act("left_click", F.array(F.lit(1), F.lit(1))), click, end), F.array(click), F.array(end), F.array(end, click), F.array(click, act("terminate", None, "failure")),
+        F.array(act("left_click", F.array(F.lit(1001), F.lit(5))), end), F.array(act("drag", xy), end), F.array(click, click, click, click, end),
+    ]
+    pick = cases[0]
+    for i, case in enumerate(cases[1:], 1):
+        pick = F.when(c("id") % 8 == i, case).otherwise(pick)
+    rows = t.boxes.withColumn("actions", pick)
+    return rows.select("id", G.score_sequence(c("actions"), c("w"), c("h"), c("x1"), c("y1"), c("x2") + 200, c("y2") + 200).alias("v"))
+
+
+@query(
+    "geo.score_press",
+    """SELECT id, hit AND id % 6 <> 3 AS hit, CASE id % 6 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 1 END AS errors, hit AND id % 6 = 0 AS success
+FROM (SELECT id, px BETWEEN x1 AND x2 + 300 AND py BETWEEN y1 AND y2 + 300 AS hit FROM boxes)""",
+)
+def _(t: Tables):
+    a = lambda kind, x=None, y=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("double") if x is None else x).alias("x"), (F.lit(None).cast("double") if y is None else y).alias("y"))
+    move, down, up = a("mouse_move", c("px") / 2, c("py") / 2), a("mouse_down"), a("mouse_up")
+    cases = [F.array(move, down, up), F.array(move, down), F.array(move, down, down, up), F.array(down, up), F.array(a("mouse_move", F.lit(-1.0), F.lit(0.0)), move, down, up), F.array(move, a("scroll"), down, up)]
+    pick = cases[0]
+    for i, case in enumerate(cases[1:], 1):
+        pick = F.when(c("id") % 6 == i, case).otherwise(pick)
+    rows = t.boxes.withColumn("actions", pick)
+    s = G.score_press(c("actions"), F.lit(640.0), F.lit(360.0), c("w"), c("h"), c("x1"), c("y1"), c("x2") + 300, c("y2") + 300)
+    return rows.select("id", s.alias("s")).select("id", "s.hit", "s.errors", "s.success")
+
+
+@query("geo.path_valid", "SELECT id, id % 4 = 0 AND k < 80 AS v FROM boxes")
+def _(t: Tables):
+    """Ways from x = 0 to a box around x = 1000: straight, with a short step, backwards, or early inside; far starts leave the canvas."""
+    pt = lambda x: F.struct(F.lit(x).cast("double").alias("x"), F.lit(100.0).alias("y"))
+    ways = [F.array(pt(300), pt(700), pt(1000)), F.array(pt(300), pt(305), pt(1000)), F.array(pt(300), pt(200), pt(1000)), F.array(pt(300), pt(975), pt(1000))]
+    pick = ways[0]
+    for i, way in enumerate(ways[1:], 1):
+        pick = F.when(c("id") % 4 == i, way).otherwise(pick)
+    start = F.when(c("k") < 80, 0.0).otherwise(300.0)
+    rows = t.boxes.withColumn("points", pick)
+    z = lambda v: F.lit(float(v))
+    return rows.select("id", G.path_valid(start, z(100), z(1000), z(100), c("points"), z(970), z(80), z(1040), z(120), 1280.0, 720.0).alias("v"))
+
+
 @query("geo.visual_tokens", "SELECT id, CAST(floor(px / 28) * floor(py / 28) AS BIGINT) AS v FROM boxes")
 def _(t: Tables):
     return t.boxes.select("id", G.visual_tokens(c("px"), c("py"), 28).cast("long").alias("v"))
@@ -314,24 +367,27 @@ def _(t: Tables):
     return t.records.select("id", F.array_join(m, ",").alias("v"))
 
 
-@query("arr.drag_phases", "SELECT id, CASE WHEN id % 2 = 0 THEN 1 END AS a, CASE WHEN id % 2 = 0 THEN 3 END AS b, CASE WHEN id % 2 = 0 THEN 1 END AS c FROM records")
+@query("arr.drag_phases", "SELECT id, id % 3 = 0 AS ok, CASE WHEN id % 3 = 0 THEN 1 END AS free, CASE WHEN id % 3 = 0 THEN 2 END AS held FROM records")
 def _(t: Tables):
-    kinds = F.when(c("id") % 2 == 0, F.array(*[F.lit(x) for x in ("move", "down", "move", "up", "done")])).otherwise(F.array(*[F.lit(x) for x in ("up", "move", "down")]))
-    a, b, e = A.phase(kinds, "down", "up")
-    size = lambda x: F.when(x.isNotNull(), F.size(x)).cast("int")
-    return t.records.select("id", size(a).alias("a"), size(b).alias("b"), size(e).alias("c"))
+    seq = lambda *k: F.array(*[F.lit(x) for x in k])
+    m, d, u = "move_to", "mouse_down", "mouse_up"
+    kinds = F.when(c("id") % 3 == 0, seq(m, d, m, m, u)).when(c("id") % 3 == 1, seq(m, d, u)).otherwise(seq(m, d, m, u, m))
+    free, held, ok = A.drag_phases(kinds)
+    return t.records.select("id", ok.alias("ok"), free.cast("int").alias("free"), held.cast("int").alias("held"))
 
 
-@query("arr.monotone_fractions", "SELECT id, turns AS n, round((turns + 1) / 2, 6) AS s FROM records")
+@query("arr.monotone_fractions", "SELECT id, greatest(turns, 1) AS n, CASE WHEN turns = 1 THEN 1.0 ELSE round(turns * 1.25 / 2, 6) END::DOUBLE AS s FROM records")
 def _(t: Tables):
-    f = A.monotone_fractions(c("turns"))
+    f = A.monotone_fractions(c("turns"), 0.25)
     return t.records.select("id", F.size(f).cast("long").alias("n"), F.round(F.aggregate(f, F.lit(0.0), lambda s, x: s + x), 6).alias("s"))
 
 
-@query("arr.reorder", "SELECT id, array_to_string(list_concat(list_concat(l[1 : id % 4], [id % 5]), l[id % 4 + 1 :]), ',') AS v FROM (SELECT id, list_filter([0, 1, 2, 3, 4], lambda x: x <> id % 5) AS l FROM records)")
+@query("arr.reorder", "SELECT id, array_to_string(list_concat(l[1 : greatest(0, least(5, id % 7) - 1)], [id % 5]), ',') AS v FROM (SELECT id, list_filter([3, 1, 4, 0, 2], lambda x: x <> id % 5) AS l FROM records)")
 def _(t: Tables):
-    order = F.array(*[F.lit(i).cast("long") for i in range(5)])
-    return t.records.select("id", F.array_join(A.reorder(order, c("id") % 5, c("id") % 4), ",").alias("v"))
+    order = F.array(*[F.lit(i).cast("long") for i in (3, 1, 4)])
+    full = F.array(*[F.lit(i).cast("long") for i in (3, 1, 4, 0, 2)])
+    short = F.when(c("id") % 2 == 0, full).otherwise(F.concat(order, F.array(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return t.records.select("id", F.array_join(A.reorder(short, c("id") % 5, c("id") % 7, 5), ",").alias("v"))
 
 
 @query("win.order_prefix", "SELECT id, array_to_string(list_slice([3, 1, 4, 0, 2], 1, list_position([3, 1, 4, 0, 2], id % 5)), ',') AS v FROM records")

@@ -84,7 +84,8 @@ def test_polygon(spark):
 
 def test_score_outcomes(spark):
     box = [F.lit(float(v)) for v in (0, 0, 10, 10)]
-    got = [one(spark, G.score(x, F.lit(5.0), *box)) for x in (F.lit(10.0), F.lit(11.0), F.lit(1001.0), F.lit(None).cast("double"))]
+    size = [F.lit(1000.0), F.lit(1000.0)]
+    got = [one(spark, G.score(x, F.lit(5.0), *size, *box)) for x in (F.lit(10.0), F.lit(11.0), F.lit(1001.0), F.lit(None).cast("double"))]
     assert got == ["correct", "wrong", "wrong_format", "wrong_format"]
 
 
@@ -111,8 +112,9 @@ def test_first_reason_and_gates(spark):
 def test_bbox_reasons(spark):
     args = lambda *v: [F.lit(x).cast("double") for x in v]
     reason = lambda *v: one(spark, V.bbox_reason(*args(*v), F.lit(100.0), F.lit(100.0)))
-    assert [reason(1, 1, 30, 30), reason(math.nan, 1, 2, 2), reason(5, 5, 5, 9), reason(-1, 0, 9, 9), reason(0, 0, 101, 9), reason(0, 0, 3, 30), reason(0, 0, 30, 3), reason(0, 0, 6, 7), reason(0, 0, 99, 99)] == [
-        None, "not_finite", "empty", "negative", "outside", "narrow", "low", "small", "covers",
+    got = [reason(1, 1, 41, 31), reason(None, 1, 2, 2), reason(math.nan, 1, 2, 2), reason(5, 5, 5, 9), reason(-1, 0, 9, 9), reason(0, 0, 101, 9), reason(0, 0, 3, 30), reason(0, 0, 30, 3), reason(0, 0, 24, 24), reason(0, 0, 99, 99)]
+    assert got == [
+        None, "missing_bbox", "bbox_non_finite", "bbox_non_positive", "bbox_outside_canvas", "bbox_outside_canvas", "bbox_width_below_minimum", "bbox_height_below_minimum", "bbox_area_below_minimum", "bbox_area_ratio_above_maximum",
     ]
 
 
@@ -179,9 +181,36 @@ def test_coverage(spark):
     assert {r.id: r.status for r in R.coverage(e, o, "id").collect()} == {1: "missing", 2: "duplicate", 3: "unexpected"}
 
 
-def test_greedy_fold_fills_the_quotas():
-    out = W.fold_greedy([(i, 10) for i in range(10)], {"train": 80, "val": 10, "test": 10})
-    assert sorted(s for _, _, s in out).count("train") == 8
+def test_greedy_fold_fills_the_shares():
+    out = W.fold_greedy([(i, {("total", "*"): 10, ("category", "ab"[i % 2]): 10}) for i in range(24)])
+    assert len(out) == 24 and [s for _, s in out].count("train") == 20
+    assert W.fold_greedy([]) == []
+
+
+def resized(w, h, factor, least, most):
+    near = lambda v, f: max(factor, f(v / factor) * factor)
+    a, b = near(w, round), near(h, round)
+    if least <= a * b <= most:
+        return a, b
+    if a * b > most:
+        r = (w * h / most) ** 0.5
+        a, b = near(w / r, math.floor), near(h / r, math.floor)
+    else:
+        r = (least / (w * h)) ** 0.5
+        a, b = near(w * r, math.ceil), near(h * r, math.ceil)
+    while a * b > most and max(a, b) > factor:
+        a, b = (a - factor, b) if a >= b and a > factor else (a, b - factor)
+    while a * b < least:
+        a, b = (a + factor, b) if a / w <= b / h else (a, b + factor)
+    return a, b
+
+
+def test_smart_resize(spark):
+    sizes = [(w, h) for w in (1, 30, 56, 100, 640, 1999, 4000) for h in (3, 28, 99, 720, 1500) if max(w, h) / min(w, h) <= 200]
+    df = spark.createDataFrame([(float(w), float(h)) for w, h in sizes], "w double, h double")
+    a, b = G.smart_resize(c("w"), c("h"), 28, 4 * 784, 200 * 784)
+    got = {(r.w, r.h): (r.a, r.b) for r in df.select("w", "h", a.alias("a"), b.alias("b")).collect()}
+    assert got == {(w, h): resized(w, h, 28, 4 * 784, 200 * 784) for w, h in sizes}
 
 
 def test_greedy_clusters(spark):
