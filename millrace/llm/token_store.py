@@ -62,18 +62,28 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(-1, BLOCK)
 
 
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    high = values >> np.uint32(16)
+    if not high.any():
+        return _BITS[values]
+    return np.where(high > 0, _BITS[high] + np.uint8(16), _BITS[values & np.uint32(0xFFFF)])
+
+
 def encode_segment(ids: np.ndarray, doc_starts: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One segment of unsigned 32-bit ``ids``; ``doc_starts`` ends with their number."""
     n = len(ids)
     blocks = -(-n // BLOCK)
-    padded = np.empty(blocks * BLOCK, _U64)
+    padded = np.empty(blocks * BLOCK, np.uint32)
     padded[:n] = ids
     if n:
         padded[n:] = padded[n - 1]
     padded = padded.reshape(blocks, BLOCK)
-    low = padded.min(axis=1) if n else np.empty(0, _U64)
+    low = padded.min(axis=1) if n else np.empty(0, np.uint32)
     diff = padded - low[:, None]
-    bits = np.frexp(diff.astype(np.float64))[1].astype(np.uint8)
+    bits = _bit_lengths(diff)
     at = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
     widths = np.partition(bits, at, axis=1)[:, at] if n else np.empty(0, np.uint8)
     starts = np.zeros(blocks + 1, np.uint32)
@@ -83,12 +93,12 @@ def encode_segment(ids: np.ndarray, doc_starts: np.ndarray, percentile: float =
         own = np.flatnonzero(widths == w)
         if w:
             places = starts[own][:, None] + np.arange(4 * w, dtype=np.uint32)
-            words[places] = _pack(diff[own] & _U64((1 << w) - 1), w)
+            words[places] = _pack(diff[own].astype(_U64) & _U64((1 << w) - 1), w)
     over = bits > widths[:, None]
     which, where = np.nonzero(over)
     first = np.zeros(blocks + 1, np.uint32)
     np.cumsum(np.bincount(which, minlength=blocks), out=first[1:])
-    high = (diff[which, where] >> widths[which].astype(_U64)).astype("<u4")
+    high = (diff[which, where].astype(_U64) >> widths[which].astype(_U64)).astype("<u4")
     return b"".join(
         [
             _HEAD.pack(b"PFR1", len(doc_starts) - 1, n, blocks), np.asarray(doc_starts, "<u8").tobytes(), low.astype("<u4").tobytes(), widths.tobytes(),
@@ -125,7 +135,7 @@ class Segment:
             return np.empty(0, np.uint32)
         x, y = a // BLOCK, -(-b // BLOCK)
         widths = self.widths[x:y]
-        out = np.zeros((y - x, BLOCK), _U64)
+        out = np.zeros((y - x, BLOCK), np.uint32)
         for w in np.unique(widths).tolist():
             if w:
                 own = np.flatnonzero(widths == w)
@@ -133,9 +143,9 @@ class Segment:
                 out[own] = _unpack(self.words[places], w)
         e, f = int(self.first[x]), int(self.first[y])
         which = np.repeat(np.arange(y - x), np.diff(self.first[x : y + 1].astype(np.int64)))
-        out[which, self.places[e:f]] |= self.high[e:f].astype(_U64) << widths[which].astype(_U64)
-        out += self.low[x:y, None].astype(_U64)
-        return out.reshape(-1)[a - x * BLOCK : b - x * BLOCK].astype(np.uint32)
+        out[which, self.places[e:f]] |= (self.high[e:f].astype(_U64) << widths[which].astype(_U64)).astype(np.uint32)
+        out += self.low[x:y, None]
+        return out.reshape(-1)[a - x * BLOCK : b - x * BLOCK]
 
 
 # --- tokens -----------------------------------------------------------------
@@ -207,27 +217,29 @@ class Encoder:
         self.old: dict[bytes, bytes] = {}
         self.remember, self.longest = remember, longest
         self.line = _little(self.tok.encode("\n", add_special_tokens=False).ids)
-        self.marks = {m: _little(self.tok.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+        self.marks = {m.encode(): _little(self.tok.encode(m, add_special_tokens=False).ids) for m in _MARKS}
 
-    def _letters(self, head: str, word: str) -> bytes:
+    def _letters(self, lead: int, word: bytes) -> bytes:
         """A word of letters after a space, a line break or nothing."""
-        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        ids = _little([t.id for t in self.model.tokenize("\u0120" + piece if head == " " else piece)])
-        return self.line + ids if head == "\n" else ids
+        piece = word.decode("ascii") if word.isascii() else word.decode("latin-1").translate(_LETTERS)
+        tokens = self.model.tokenize("\u0120" + piece if lead == 32 else piece)
+        ids = _little([t.id for t in tokens])
+        return self.line + ids if lead == 10 else ids
 
     def _unit(self, unit: bytes) -> bytes | None:
         """The ids of a unit, or None if it takes the whole pipeline."""
-        text = unit.decode("utf-8")
-        head = text[0] if text[0] in " \n" else ""
-        word = text[len(head) :]
-        if word.isalpha():
-            return self._letters(head, word)
-        if word[-1:] in _MARKS and word[:-1].isalpha():
-            stem = unit[:-1]
-            ids = self.new.get(stem) or self.old.get(stem)
+        lead = unit[0]
+        word = unit[1:] if lead in (32, 10) else unit
+        # isalpha() of bytes knows ASCII letters alone, and spares decoding most words.
+        if word.isalpha() or (not word.isascii() and word.decode("utf-8").isalpha()):
+            return self._letters(lead, word)
+        mark, stem = word[-1:], word[:-1]
+        if mark in self.marks and (stem.isalpha() or (not stem.isascii() and stem.decode("utf-8").isalpha())):
+            key = unit[:-1]
+            ids = self.new.get(key) or self.old.get(key)
             if ids is None:
-                ids = self.new[stem] = self._letters(head, word[:-1])
-            return ids + self.marks[word[-1]]
+                ids = self.new[key] = self._letters(lead, stem)
+            return ids + self.marks[mark]
         return None
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
