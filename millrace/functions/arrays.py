@@ -47,11 +47,12 @@ def monotone_fractions(n: Column, start: float = 0.0) -> Column:
 
 def max_run(a: Column) -> Column:
     """Length of the longest run of equal neighbours."""
-    zero = F.struct(F.lit(0).alias("best"), F.lit(0).alias("run"), F.lit(0).alias("i"))
+    nothing = F.get(F.slice(a, 1, 1), 1)
+    zero = F.struct(F.lit(0).alias("best"), F.lit(0).alias("run"), nothing.alias("last"))
 
     def step(s: Column, x: Column) -> Column:
-        run = F.when((s.i > 0) & (F.get(a, s.i - 1) == x), s.run + 1).otherwise(1)
-        return F.struct(F.greatest(s.best, run).alias("best"), run.alias("run"), (s.i + 1).alias("i"))
+        run = F.when((s.run > 0) & (s.last == x), s.run + 1).otherwise(1)
+        return F.struct(F.greatest(s.best, run).alias("best"), run.alias("run"), x.alias("last"))
 
     return F.aggregate(a, zero, step, lambda s: s.best)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import max_run
+
 THINK = r"(?s)^\s*<think>(.*?)</think>(.*)$"
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 
@@ -84,6 +86,11 @@ def batch_key(c: Column) -> Column:
     return F.regexp_extract(c, r"^(.*)_[^_]*_[^_]*$", 1)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0))
 
@@ -118,13 +125,21 @@ def repetition_issues(c: Column, unique_share: float = 0.55, most: int = 3, leas
     ``least_grams`` or more runs of four words few differ and one comes ``most``
     times; tail: the last 4 to ``widest`` words stand there three times in a row.
     """
-    own = F.filter(F.transform(F.split(F.lower(c), r"[.!?\u3002\uff01\uff1f\n]+"), words), lambda s: F.size(s) >= sentence)
-    toks = words(c)
-    grams = ngrams(toks, 4)
-    n, k = F.size(grams), F.size(toks)
-    top = F.array_max(F.transform(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda h: h == g))))
-    few = (n >= least_grams) & (F.size(F.array_distinct(grams)) / F.greatest(n, F.lit(1)) < unique_share) & (top >= most)
-    part = lambda s, i: F.slice(toks, F.greatest(k - i * s + 1, F.lit(1)), s)
-    tail = F.exists(F.sequence(F.lit(4), F.lit(widest)), lambda s: (k >= 3 * s) & (part(s, 1) == part(s, 2)) & (part(s, 1) == part(s, 3)))
-    rules = [("duplicate_sentence", F.size(F.array_distinct(own)) < F.size(own)), ("ngram", few), ("tail", tail)]
-    return F.when(k >= least_words, F.array_join(F.array_compact(F.array(*[F.when(ok, code) for code, ok in rules])), ",")).otherwise("")
+    def tail(t: Column, k: Column) -> Column:
+        part = lambda w, i: F.slice(t, F.greatest(k - i * w + 1, F.lit(1)), w)
+        return F.exists(F.sequence(F.lit(4), F.lit(widest)), lambda w: (k >= 3 * w) & (part(w, 1) == part(w, 2)) & (part(w, 1) == part(w, 3)))
+
+    def few(grams: Column) -> Column:
+        n = F.size(grams)
+        return (n >= least_grams) & (F.size(F.array_distinct(grams)) / F.greatest(n, F.lit(1)) < unique_share) & (max_run(F.array_sort(grams)) >= most)
+
+    def doubled(own: Column) -> Column:
+        return F.size(F.array_distinct(own)) < F.size(own)
+
+    def judge(t: Column) -> Column:
+        sentences = F.filter(F.transform(F.split(F.lower(c), r"[.!?\u3002\uff01\uff1f\n]+"), words), lambda x: F.size(x) >= sentence)
+        rules = [("duplicate_sentence", let(sentences, doubled)), ("ngram", let(ngrams(t, 4), few)), ("tail", tail(t, F.size(t)))]
+        codes = F.array_join(F.array_compact(F.array(*[F.when(ok, code) for code, ok in rules])), ",")
+        return F.when(F.size(t) >= least_words, codes).otherwise("")
+
+    return let(words(c), judge)
