@@ -313,19 +313,20 @@ def fold(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of the labelled documents outside the held-out fold.
+    """A bounded sample of the labelled documents outside the held-out fold; none gives an empty list.
 
     Equally many documents of each language, ``rows`` in all at most, chosen by
     a hash of their id; of a longer text one stretch of ``chars`` characters at
     a place that the hash gives.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where((fold("doc_id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = known.select("lang").distinct().count()
-    if not langs:
-        return []
-    each = max(1, rows // langs)
+    langs = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    each = max(1, rows // max(1, langs.count()))
+    # A hash threshold leaves about twice the sample, however many rows there are; its first rows are taken.
+    marked = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("train")).alias("h")).join(langs, "lang")
+    few = marked.where(F.col("h") / 2.0**64 + 0.5 < 2.0 * each / F.col("rows")).select("doc_id", "lang", "h").distinct()
     pick = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("train")).alias("h")).withColumn("nth", pick).where(F.col("nth") <= each).select("doc_id", "lang", "h").distinct()
+    ids = few.withColumn("nth", pick).where(F.col("nth") <= each).select("doc_id", "lang", "h")
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("text") - chars + 1)).cast("int") + 1
     # ``ids`` holds at most ``rows`` rows (or one for each language).
     got = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.substr("text", at, F.lit(chars)).alias("text")).collect()

@@ -11,10 +11,17 @@ Two signatures within the distance share a key for certain.
 Documents with equal sets are one class from the start. A key's classes are
 joined as a star to its smallest, never pair by pair, and the components of
 these stars (families) hold all pairs within the distance. Within a family the
-pairs are confirmed on full shingle sets. A family is dealt to tasks in blocks
-of bounded size, every pair of blocks meeting once, and a task looks only at
-pairs that share one of their rarest shingles (which every pair over the
-threshold does) and aren't connected yet.
+pairs are confirmed on full shingle sets; a task looks only at pairs that share
+one of their rarest shingles (which every pair over the threshold does) and
+aren't connected yet.
+
+A family too large for a task is first thinned around a central document, the
+pivot, in time linear in its size: documents linked to the pivot are connected
+at once. A document that has less than the threshold's share of its shingles in
+common with the pivot can only be linked to one with which it shares a shingle
+that the pivot lacks, so the family falls apart into groups by such shingles,
+each with an unconnected document. After ``ROUNDS`` rounds a family still too
+large is dealt to tasks in blocks, every pair of blocks meeting once.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from .words import U64, Words, constants, mix64, shingle_sets, slices
 HASHES, DISTANCE, ERRORS = 64, 23, 1
 #: Shingles of a block of a family; a task holds two blocks.
 BLOCK_SHINGLES = 1_000_000
+#: Rounds of thinning, and documents among which a pivot is sought.
+ROUNDS, PIVOT_SAMPLE = 4, 48
 NO_ID = -(1 << 63)
 
 
@@ -103,10 +112,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), data], ["d", "family", "blocks", "set"])
 
 
-def confirm(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
+def confirm(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int, across: bool, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links among some documents, enough to connect all that are linked.
 
-    Confirms 100 * intersection >= percent * union on full sets for every pair
+    Documents of one of ``roots`` are connected already. Confirms 100 * intersection >= percent * union on full sets for every pair
     (of different blocks, if ``across``) that isn't connected by earlier links.
     Pairs over the threshold share a shingle among the n - ceil(n*percent/100) + 1
     rarest of each, by any common order; only those pairs are counted.
@@ -114,6 +123,7 @@ def confirm(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent:
     n = np.array([len(s) for s in sets])
     order = np.lexsort((ids, n))
     ids, block, sets, n = ids[order], block[order], [sets[i] for i in order], n[order]
+    root = np.arange(len(ids)) if roots is None else np.unique(roots[order], return_inverse=True)[1]
     if len(ids) < 2:
         return []
     values, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -133,7 +143,6 @@ def confirm(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent:
     place = np.empty(len(listed), np.int64)
     place[by] = np.arange(len(listed))
     own_first = np.searchsorted(doc[listed], np.arange(len(ids) + 1))
-    root = np.arange(len(ids))
     mark = np.zeros(len(values), np.uint8)
     out = []
     for x in range(len(ids)):
@@ -172,13 +181,86 @@ def _unit(percent: int):
         t = t.combine_chunks()
         x, y = t["x"][0].as_py(), t["y"][0].as_py()
         sets = [np.frombuffer(s.as_py(), U64) for s in t["set"]]
-        links = confirm(t["d"].to_numpy(), t["block"].to_numpy(), sets, percent, x != y)
+        links = confirm(t["d"].to_numpy(), t["block"].to_numpy(), sets, percent, x != y, t["root"].to_numpy())
         return pa.table([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, distance: int = DISTANCE, block_shingles: int = BLOCK_SHINGLES, local_edges: int | None = None) -> DataFrame:
+# --- thinning of large families ---------------------------------------------------
+
+
+def _pivot(t: pa.Table) -> pa.Table:
+    """Of some documents of a family, the one with the most shingles in common with the others."""
+    t = t.combine_chunks()
+    sets = [np.frombuffer(s.as_py(), U64) for s in t["set"]]
+    values, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    # Shared shingles, less those that the document has beyond them: neither the shortest nor the longest wins.
+    score = [float((df[token[a:b]] - 1).sum()) / (len(sets) + b - a) for a, b in zip(first[:-1], first[1:])]
+    best = max(range(len(sets)), key=lambda i: (score[i], -t["d"][i].as_py()))
+    return pa.table([t["family"].slice(best, 1), t["d"].slice(best, 1), t["set"].slice(best, 1)], ["family", "p", "pivot"])
+
+
+def _against_pivot(percent: int):
+    """d, family, root, set, p, pivot -> linked, free (only shingles beyond the pivot's can link it), n, beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            linked, free, n, beyond = [], [], [], []
+            for own, pivot in zip(b.column(3), b.column(5)):
+                x, q = np.frombuffer(own.as_py(), U64), np.frombuffer(pivot.as_py(), U64)
+                common = np.isin(x, q, assume_unique=True)
+                both = int(common.sum())
+                linked.append(100 * both >= percent * (len(x) + len(q) - both))
+                free.append(100 * both < percent * len(x))
+                n.append(len(x))
+                beyond.append(x[~common].tobytes())
+            kinds = [pa.bool_(), pa.bool_(), pa.int64(), pa.binary()]
+            more = [pa.array(v, k) for v, k in zip((linked, free, n, beyond), kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *more], ["d", "family", "root", "set", "p", "linked", "free", "n", "beyond"])
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(s.as_py(), np.int64) for s in b.column(3)]
+        many = [len(s) for s in sets]
+        if sum(many):
+            spread = [pa.array(np.repeat(b.column(i).to_numpy(zero_copy_only=False), many)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*spread, pa.array(np.concatenate(sets))], ["d", "family", "linked", "token"])
+
+
+def _thin(members: DataFrame, space: Workspace, percent: int, block_shingles: int, rounds: int, **limit) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(links, families that a task can settle or that are left) of ``members(d, family, root, set)``."""
+    links, ready = [], []
+    for i in range(rounds):
+        total = members.groupBy("family").agg((F.sum(F.octet_length("set")) / 8).alias("total"))
+        large = space.put(total.where(F.col("total") > block_shingles).select("family"), f"large-{i}")
+        if large.isEmpty():
+            break
+        ready.append(members.join(large, "family", "left_anti").select("d", "family", "root", "set"))
+        big = members.join(large, "family", "left_semi")
+        nth = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("d")))
+        sample = big.withColumn("nth", nth).where(F.col("nth") <= PIVOT_SAMPLE).select("family", "d", "set")
+        pivots = space.put(sample.groupBy("family").applyInArrow(_pivot, "family long, p long, pivot binary"), f"pivots-{i}")
+        against = big.join(pivots, "family").select("d", "family", "root", "set", "p", "pivot")
+        judged = space.put(against.mapInArrow(_against_pivot(percent), "d long, family long, root long, set binary, p long, linked boolean, free boolean, n long, beyond binary"), f"judged-{i}")
+        links.append(judged.where("linked AND d <> p").select(F.col("p").alias("a"), F.col("d").alias("b")))
+        tokens = judged.select("d", "family", "linked", "beyond").mapInArrow(_tokens, "d long, family long, linked boolean, token long")
+        shared = tokens.groupBy("family", "token").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.bool_and("linked").alias("done")).where("a < z AND NOT done").select("family", "token", "a")
+        edges = tokens.join(shared, ["family", "token"]).where("d <> a").select("a", F.col("d").alias("b"))
+        # Neither linked nor free: much of it is in the pivot, which is longer. It may be linked to any as short.
+        inside = judged.where("NOT linked AND NOT free").groupBy("family").agg(F.min("d").alias("a"), F.max("n").alias("most"))
+        short = judged.where("linked OR NOT free").join(inside, "family").where((F.col("n") * percent <= F.col("most") * 100) & (F.col("d") != F.col("a")))
+        found = components(edges.unionByName(short.select("a", F.col("d").alias("b"))), space, f"groups-{i}", **limit)
+        root = F.when(F.col("linked"), F.col("p")).otherwise(F.col("root"))
+        members = judged.join(found.withColumnRenamed("node", "d"), "d").select("d", F.col("label").alias("family"), root.alias("root"), "set")
+    return links, [*ready, members]
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, distance: int = DISTANCE, block_shingles: int = BLOCK_SHINGLES, local_edges: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Words are runs of non-blank characters with A-Z lower-cased; a document's
@@ -208,10 +290,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, distance: int = DISTANCE
     sized = families.join(classes.select(F.col("d").alias("node"), "th", "n"), "node")
     totals = sized.groupBy("label").agg(F.sum("n").alias("total")).select("label", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
     ids = space.put(sized.join(totals, "label").select(F.col("node").alias("d"), "th", F.col("label").alias("family"), "blocks"), "ids")
-    sets = pick(rows, ids, ["d", "th"]).select("d", "family", "blocks", "text").mapInArrow(_sets, "d long, family long, blocks int, set binary")
-    dealt = sets.distinct().withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("d", "family", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "set")
-    links = space.put(dealt.groupBy("family", "x", "y").applyInArrow(_unit(percent), PAIR), "links")
+    sets = pick(rows, ids, ["d", "th"]).select("d", "family", "blocks", "text").mapInArrow(_sets, "d long, family long, blocks int, set binary").distinct()
+    alone = sets.where("blocks = 1").select("d", "family", F.col("d").alias("root"), "set", F.lit(1).alias("blocks"))
+    links, dealt = [], alone
+    if not ids.where("blocks > 1").isEmpty():
+        members = space.put(sets.where("blocks > 1").select("d", "family", F.col("d").alias("root"), "set"), "members")
+        links, rest = _thin(members, space, percent, block_shingles, rounds, **limit)
+        for i, part in enumerate(rest):
+            # Groups of different rounds are different families.
+            part = space.put(part.withColumn("family", F.xxhash64("family", F.lit(i))), f"rest-{i}")
+            blocks = part.groupBy("family").agg(F.ceil(F.sum(F.octet_length("set")) / 8 / block_shingles).cast("int").alias("blocks"))
+            dealt = dealt.unionByName(part.join(blocks, "family").select("d", "family", "root", "set", "blocks"))
+    block = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("d", "family", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "set")
+    confirmed = space.put(dealt.groupBy("family", "x", "y").applyInArrow(_unit(percent), PAIR), "links")
+    for more in links:
+        confirmed = confirmed.unionByName(more)
+    links = confirmed
     # Repeated doc_ids in several classes connect these.
     named = known.select("d", "k1", "k2").join(classes.select("k1", "k2", F.col("d").alias("rep")), ["k1", "k2"]).select("d", "rep")
     twice = named.groupBy("d").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("d", "a")

@@ -174,7 +174,7 @@ def test_near_duplicates_on_awkward_rows(spark):
     assert near_dedup.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"block_shingles": 300, "local_edges": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_shingles": 300, "local_edges": 0}, {"block_shingles": 300, "rounds": 0}, {"block_shingles": 1500, "rounds": 1}])
 def test_near_duplicates_of_a_family(spark, options):
     """Copies of one text with ever more changes: links at every similarity, chains among them."""
     rng = random.Random(5)
@@ -186,6 +186,8 @@ def test_near_duplicates_of_a_family(spark, options):
             w[rng.randrange(len(w))] = f"e{i}_{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
     rows += [(100 + i, " ".join(f"u{i}_{j}" for j in range(30))) for i in range(20)]
+    # Excerpts of the text, shorter by and by: neighbours are linked, far ones aren't.
+    rows += [(200 + i, " ".join(base[: 110 - 5 * i])) for i in range(12)]
     want = near_components(rows)
     assert 2 < len({c for d, c in want.items() if d < 100}) < 90
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
