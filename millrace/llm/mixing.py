@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_text, table
+from .common import WORD, Workspace, as_text, table
 
 #: Weights in code-point order of the sources, repeating.
 WEIGHTS = (1, 2, 3)
@@ -75,8 +75,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3,
     """
     more = [F.struct(*docs.columns).alias("row")] if carry else []
     rows = docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"))
-    rows = rows.withColumn("span", F.substring("key", 1, digits))
     carried = ["row"] if carry else []
+    if not carry:  # read twice below: the texts are counted once, and a few bytes a row are written
+        rows = Workspace(docs.sparkSession, "mix").put(rows, "rows")
+    rows = rows.withColumn("span", F.substring("key", 1, digits))
     spans = rows.groupBy("source", "span").agg(F.sum("size").alias("span_size"))
     sizes = spans.groupBy("source").agg(F.sum("span_size").alias("source_size"))
     offset = F.sum("span_size").over(Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("span_size")

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import Workspace, lower_ascii, table
 
 #: (host/path, verdict)
 RULES = (
@@ -63,8 +63,8 @@ def host_ladder(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Colum
     return F.when(wide, _tail(host, 2)).otherwise(_tail(host, 1)), F.when(wide, _tail(host, 3)).otherwise(_tail(host, 2))
 
 
-def prior_weight(units: DataFrame) -> DataFrame:
-    """One row: the labelled pages that a prior of this level is worth.
+def prior_weight(units: DataFrame) -> float:
+    """The labelled pages that a prior of this level is worth.
 
     Method of moments for a beta-binomial over ``units(n, good, mean)``, mean
     being the prior mean of each unit: with s = sum (good - n*mean)^2, its value
@@ -76,40 +76,37 @@ def prior_weight(units: DataFrame) -> DataFrame:
         F.sum(F.pow(F.col("good") - F.col("n") * F.col("mean"), 2)).alias("s"),
         F.sum(F.col("n") * v).alias("a"),
         F.sum(F.col("n") * (F.col("n") - 1) * v).alias("b"),
-    )
-    rho = F.when(F.col("b") > 0, (F.col("s") - F.col("a")) / F.col("b")).otherwise(F.lit(0.0))
-    weight = F.when(rho > 1 / (1 + PRIOR_MOST), 1 / F.least(rho, F.lit(1.0)) - 1).otherwise(F.lit(PRIOR_MOST))
-    return sums.select(F.greatest(F.lit(PRIOR_LEAST), F.coalesce(weight, F.lit(PRIOR_MOST))).alias("weight"))
+    ).first()
+    rho = (sums.s - sums.a) / sums.b if sums.b else 0.0
+    weight = 1 / min(rho, 1.0) - 1 if rho > 1 / (1 + PRIOR_MOST) else PRIOR_MOST
+    return max(PRIOR_LEAST, weight)
 
 
-def _one_row(df: DataFrame) -> DataFrame:
-    """A global aggregate has one row by construction, so its broadcast is bounded."""
-    return F.broadcast(df)
+def _posterior(units: DataFrame, *keys: str) -> DataFrame:
+    """``units(n, good, mean, known)`` shrunk to the prior; ``known`` becomes what the posterior rests on."""
+    # A prior weighs no more than what its own level knows.
+    weight = F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(prior_weight(units)), "known"))
+    return units.select(*keys, ((F.col("good") + weight * F.col("mean")) / (F.col("n") + weight)).alias("mean"), (F.col("n") + weight).alias("known"))
 
 
 def reputation(hosts: DataFrame) -> DataFrame:
-    """Posterior of each of ``hosts(host, suffix, domain, n, good)``.
+    """Posterior of each of ``hosts(host, suffix, domain, n, good)``, a written table.
 
     Adds post_n, post_mean, upper. ``n`` may be 0. Without any labelled page the
     rate of all is taken as 1 (nothing is known to be bad). A null domain or
-    suffix is a unit of its own.
+    suffix is a unit of its own. The three prior weights are numbers of one
+    aggregate each; the levels are joined by key.
     """
     counts = [F.sum("n").alias("n"), F.sum("good").alias("good")]
-    above = [F.coalesce(F.try_divide("good", "n"), F.lit(1.0)).alias("mean"), F.coalesce("n", F.lit(0)).cast("double").alias("known")]
-    rate = hosts.agg(*counts).select(*above)
+    total = hosts.agg(*counts).first()
+    rate, known = (total.good / total.n if total.n else 1.0), float(total.n or 0)
     domains = hosts.groupBy("suffix", "domain").agg(*counts)
-    # A prior weighs no more than what its own level knows.
-    weight = F.greatest(F.lit(PRIOR_LEAST), F.least("weight", "known"))
-    shrunk = (F.col("good") + weight * F.col("mean")) / (F.col("n") + weight)
-    down = [shrunk.alias("mean"), (F.col("n") + weight).alias("known")]
-    level = domains.groupBy("suffix").agg(*counts).join(_one_row(rate))
-    level = level.join(_one_row(prior_weight(level))).select("suffix", *down)
-    level = domains.join(level, "suffix")
-    level = level.join(_one_row(prior_weight(level))).select("domain", *down)
-    level = hosts.join(level, "domain")
-    level = level.join(_one_row(prior_weight(level))).select("host", "n", "good", *down)
+    suffixes = domains.groupBy("suffix").agg(*counts).withColumns({"mean": F.lit(rate), "known": F.lit(known)})
+    down = _posterior(suffixes, "suffix")
+    down = _posterior(domains.join(down, "suffix"), "domain")
+    own = _posterior(hosts.join(down, "domain"), "host", "n", "good")
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("known") + 1))
-    return level.select("host", "n", "good", F.col("known").alias("post_n"), F.col("mean").alias("post_mean"), F.least(F.lit(1.0), F.col("mean") + Z * spread).alias("upper"))
+    return own.select("host", "n", "good", F.col("known").alias("post_n"), F.col("mean").alias("post_mean"), F.least(F.lit(1.0), F.col("mean") + Z * spread).alias("upper"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
@@ -127,7 +124,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
     labelled = parts.select("page_id", "host").join(known, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     hosts = parts.groupBy("host").agg(F.count("*").alias("pages")).join(labelled, "host", "left").fillna(0, ["n", "good"])
     suffix, domain = host_ladder(F.col("host"))
-    hosts = hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "good")
+    hosts = Workspace(pages.sparkSession, "hosts").put(hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "good"), "hosts")
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("upper") < least_good, "block").otherwise("allow")
     return parts.join(reputation(hosts), "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, judged).alias("verdict"), F.col("n").alias("labelled"), "post_mean", "upper")
