@@ -9,6 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -82,7 +84,12 @@ def query(name: str, sql: str | None = None):
     def add(f: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is there already")
-        QUERIES[name] = lambda spark, where: f(Tables(spark, where))
+
+        def run(spark: SparkSession, where: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, where))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = _with_roles(sql.strip())
         return f
