@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as send_code
+
 #: Words everywhere: maximal runs of characters other than space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,23 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per Spark context.
+    """Send the package to the executors, and bound batches between Spark and Python by bytes.
 
-    Python workers then import it wherever they run, without a shared code folder.
+    Rows here are whole texts. A setting of the user's stays.
     """
-    sc = spark.sparkContext
-    if getattr(sc, "_millrace_shipped", False):
-        return
-    # Rows are whole texts: batches between Spark and Python are bounded by bytes, unless the user says otherwise.
     if spark.conf.get(BATCH_SETTING) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(BATCH_SETTING):
         spark.conf.set(BATCH_SETTING, "16m")
-    top = Path(__file__).resolve().parents[1]
-    where = os.path.join(tempfile.mkdtemp(prefix="ship"), "millrace_code.zip")
-    with zipfile.ZipFile(where, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(Path(top.name) / p.relative_to(top)))
-    sc.addPyFile(where)
-    sc._millrace_shipped = True
+    send_code(spark)
 
 
 class Workspace:
