@@ -59,9 +59,12 @@ def greedy_clusters(df: DataFrame, bucket: str, key: str, vector: str, most: flo
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A fresh folder below spark.checkpoint.dir, or a temporary one where that is unset; gone when the JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    where = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
