@@ -231,3 +231,15 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def op8_arc_warc(spark, sf_dir):
     return read_archives(write_archives(table(spark, sf_dir, "pages"), Workspace(spark, "warc")))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(sha, 5 * i + 1, 5))::BIGINT) AS five FROM d)
+SELECT page_id, payload_bytes,
+       list_reduce(list_transform(five, lambda x: substr('{_BASE32}', ((x >> 15) & 31) + 1, 1) || substr('{_BASE32}', ((x >> 10) & 31) + 1, 1) || substr('{_BASE32}', ((x >> 5) & 31) + 1, 1) || substr('{_BASE32}', (x & 31) + 1, 1)), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM v
+"""

@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3,
     are rows of their own; equal rows may swap their cuts. Columns other than
     doc_id, text and source are ignored. An empty table gives an empty result.
     """
-    more = [F.struct(*docs.columns).alias("row")] if carry else []
+    more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"))
     carried = ["row"] if carry else []
     if not carry:  # read twice below: the texts are counted once, and a few bytes a row are written

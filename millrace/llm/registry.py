@@ -24,7 +24,9 @@ def oracle_sql() -> dict:
     return {
         "op1_url_reputation": url_reputation.ORACLE,
         "op2_containment": containment.ORACLE,
+        "op4_near_dedup": near_dedup.ORACLE,
         "op6_substring_index": substring_index.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
+        "op8_arc_warc": arc_warc.ORACLE,
         "op10_mixing": mixing.ORACLE,
     }
