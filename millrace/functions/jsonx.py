@@ -82,7 +82,7 @@ def _strict(text: str | None) -> tuple | None:
 
 
 #: Duplicate keys, NaN and non-integers are rejected: that needs the raw text.
-parse_strict_action = F.udf(_strict, ACTION)
+parse_strict_action = F.udf(_strict, ACTION, useArrow=True)
 
 
 def parse_actions(c: Column) -> Column:
@@ -115,4 +115,4 @@ def _equal(a: str | None, b: str | None) -> bool | None:
 
 
 #: 1 and 1.0 and true differ, which VARIANT would not see.
-equal_exact = F.udf(_equal, T.BooleanType())
+equal_exact = F.udf(_equal, T.BooleanType(), useArrow=True)

@@ -206,7 +206,7 @@ def _tour(points: list | None, start: int) -> list | None:
 
 
 #: A greedy tour of at most ten centres is sequential: each step depends on the last.
-nearest_tour = F.udf(_tour, T.ArrayType(T.IntegerType()))
+nearest_tour = F.udf(_tour, T.ArrayType(T.IntegerType()), useArrow=True)
 
 
 @query("win.nearest_neighbor")
