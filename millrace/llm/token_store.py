@@ -15,6 +15,7 @@ the packed words; u32 high bits of the exceptions; u8 places of the exceptions.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -150,7 +151,7 @@ class Segment:
 
 # --- tokens -----------------------------------------------------------------
 
-_MARKS = frozenset(",.;:!?")
+_MARKS = string.punctuation.encode()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -200,7 +201,7 @@ class Encoder:
     """Byte-level BPE of whole texts, each different word of a batch once.
 
     A word of letters is one piece of the vocabulary's splitting rule, and so is
-    each mark after it; these go straight to the library's BPE model, anything
+    a run of marks after it; these go straight to the library's BPE model, anything
     else through the library's whole pipeline. ``remember`` words are kept in
     each of two generations; beyond that the older generation goes, so memory
     is bounded whatever the words are.
@@ -217,7 +218,7 @@ class Encoder:
         self.old: dict[bytes, bytes] = {}
         self.remember, self.longest = remember, longest
         self.line = _little(self.tok.encode("\n", add_special_tokens=False).ids)
-        self.marks = {m.encode(): _little(self.tok.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+        self.marks: dict[bytes, bytes] = {}
 
     def _letters(self, lead: int, word: bytes) -> bytes:
         """A word of letters after a space, a line break or nothing."""
@@ -233,13 +234,19 @@ class Encoder:
         # isalpha() of bytes knows ASCII letters alone, and spares decoding most words.
         if word.isalpha() or (not word.isascii() and word.decode("utf-8").isalpha()):
             return self._letters(lead, word)
-        mark, stem = word[-1:], word[:-1]
-        if mark in self.marks and (stem.isalpha() or (not stem.isascii() and stem.decode("utf-8").isalpha())):
-            key = unit[:-1]
+        stem = word.rstrip(_MARKS)
+        if stem != word and (stem.isalpha() or (not stem.isascii() and stem.decode("utf-8").isalpha())):
+            marks = word[len(stem) :]
+            tail = self.marks.get(marks)
+            if tail is None:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                tail = self.marks[marks] = _little(self.tok.encode(marks.decode(), add_special_tokens=False).ids)
+            key = unit[: len(unit) - len(marks)]
             ids = self.new.get(key) or self.old.get(key)
             if ids is None:
                 ids = self.new[key] = self._letters(lead, stem)
-            return ids + self.marks[mark]
+            return ids + tail
         return None
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -389,7 +389,7 @@ def test_blocks(n):
 
 def test_words_apart_encode_like_whole_texts():
     enc = token_store.Encoder(token_store.vocabulary())
-    parts = [" ", "  ", "\n", " \n", "\n ", "a", "B", "'s", "é", "1", "!", "\x1c", "\t", "ß中", "\u00a0", "\u3000", "\x85", "À", ".", "word", "\x00"]
+    parts = [" ", "  ", "\n", " \n", "\n ", "a", "B", "'s", "é", "1", "!", "\x1c", "\t", "ß中", "\u00a0", "\u3000", "\x85", "À", ".", "word", "\x00", "!!", "$$", "'", "_", "<|", "|>"]
     rng = random.Random(0)
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20_000)] + [t or "" for _, t in ROWS]
     ids, count = enc.encode(*text_buffer(pa.array(texts)))
