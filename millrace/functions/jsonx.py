@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 TOOL_CALL = r"(?s)^\s*<tool_call>\s*(\{.*\})\s*</tool_call>\s*$"
 CALL = "name string, arguments struct<action:string, coordinate:array<int>, status:string>"
 ACTION = T.StructType([T.StructField("kind", T.StringType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("reason", T.StringType())])
@@ -35,22 +37,26 @@ def format_tool_call(action: Column, coordinate: Column | None = None, status: C
 
 def parse_tool_call(c: Column, name: str = "computer_use") -> Column:
     """Strict: one call, exact keys, the expected name, a left_click with a coordinate in 0..1000 or a terminate with its status; struct or null."""
-    body = F.nullif(F.regexp_extract(c, TOOL_CALL, 1), F.lit(""))
-    call = F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), CALL)
-    keys = F.array_sort(F.json_object_keys(body))
-    inner = F.array_join(F.array_sort(F.json_object_keys(F.get_json_object(body, "$.arguments"))), ",")
-    args = call.arguments
-    click = (args.action == "left_click") & (inner == "action,coordinate") & (F.size(args.coordinate) == 2) & F.forall(args.coordinate, lambda v: v.between(0, 1000))
-    end = (args.action == "terminate") & (inner == "action,status") & args.status.isin("success", "failure")
     alone = ~F.lower(c).rlike("</?think>") & (F.size(F.regexp_extract_all(c, F.lit("<tool_call>"), F.lit(0))) == 1)
-    good = (keys == F.array(F.lit("arguments"), F.lit("name"))) & (call.getField("name") == name) & (click | end) & alone
-    return F.when(good, args)
+    body = F.when(alone, F.nullif(F.regexp_extract(c, TOOL_CALL, 1), F.lit("")))
+
+    def fits(call: Column, body: Column) -> Column:
+        args = call.arguments
+        outer = F.array_join(F.array_sort(F.json_object_keys(body)), ",") == "arguments,name"
+        inner = F.array_join(F.array_sort(F.json_object_keys(F.get_json_object(body, "$.arguments"))), ",")
+        click = (args.action == "left_click") & (inner == "action,coordinate") & (F.size(args.coordinate) == 2) & F.forall(args.coordinate, lambda v: v.between(0, 1000))
+        end = (args.action == "terminate") & (inner == "action,status") & args.status.isin("success", "failure")
+        return F.when((call.getField("name") == name) & outer & (click | end), args)
+
+    def judge(body: Column) -> Column:
+        return F.when(F.try_parse_json(body).isNotNull(), let(F.from_json(body, CALL), lambda call: fits(call, body)))
+
+    return let(body, judge)
 
 
 def parse_final_click(c: Column, name: str = "computer_use") -> Column:
     """The coordinate if the text is one left_click call, else null."""
-    args = parse_tool_call(c, name)
-    return F.when((args.action == "left_click") & (F.size(args.coordinate) == 2), args.coordinate)
+    return let(parse_tool_call(c, name), lambda args: F.when(args.action == "left_click", args.coordinate))
 
 
 def repair_object(c: Column) -> Column:

@@ -94,8 +94,8 @@ _PARSED = """SELECT id, CASE id % 4 WHEN 0 THEN 'left_click' WHEN 2 THEN 'termin
 
 @query("json.parse_tool_call", _PARSED)
 def _(t: Tables):
-    a = J.parse_tool_call(c("r"))
-    return _responses(t).select("id", a.action.alias("action"), F.get(a.coordinate, 0).cast("long").alias("x"), F.get(a.coordinate, 1).cast("long").alias("y"), a.status.alias("status"))
+    a = _responses(t).select("id", J.parse_tool_call(c("r")).alias("a"))
+    return a.select("id", "a.action", F.get("a.coordinate", 0).cast("long").alias("x"), F.get("a.coordinate", 1).cast("long").alias("y"), "a.status")
 
 
 @query("json.parse_direct", "SELECT id, CASE id % 4 WHEN 0 THEN 'left_click' WHEN 2 THEN 'terminate' END AS action FROM records")
@@ -105,8 +105,8 @@ def _(t: Tables):
 
 @query("json.parse_response.final", "SELECT id, CASE WHEN id % 4 = 0 THEN k END AS x, CASE WHEN id % 4 = 0 THEN turns END AS y FROM records")
 def _(t: Tables):
-    p = J.parse_final_click(c("r"))
-    return _responses(t).select("id", F.get(p, 0).cast("long").alias("x"), F.get(p, 1).cast("long").alias("y"))
+    p = _responses(t).select("id", J.parse_final_click(c("r")).alias("p"))
+    return p.select("id", F.get("p", 0).cast("long").alias("x"), F.get("p", 1).cast("long").alias("y"))
 
 
 @query("json.parse_strict_action", """SELECT id, CASE WHEN id % 4 = 0 THEN k::DOUBLE END AS x, CASE id % 4 WHEN 1 THEN 'a key is there twice' WHEN 2 THEN 'NaN' WHEN 3 THEN 'not an integer' END AS reason FROM records""")
