@@ -11,6 +11,7 @@ give 128 bits where an exact comparison is stood in for by hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,6 +115,17 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
 WORKER_CACHES: list[dict] = []
 
 
+def give_up_caches() -> None:
+    held = [c for c in WORKER_CACHES if c]
+    for cache in held:
+        cache.clear()
+    if held:
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # the allocator would keep what was freed
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 class Words:
     """The words of some texts: byte spans, the text of each, and hashes.
 
@@ -122,8 +134,7 @@ class Words:
     """
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool = True, punct: bool = False) -> None:
-        for cache in WORKER_CACHES:
-            cache.clear()
+        give_up_caches()
         self.raw, self.off, self.texts = raw, off, len(off) - 1
         self.folded = _LOWER[raw] if lower else raw
         n = len(raw)
