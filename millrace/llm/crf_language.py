@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, table
-from .words import U64, Words, slices, text_buffer
+from .words import U64, Words, slices, text_buffer, trim_memory
 
 FEATURES = 1 << 16
 #: Bounds of the training sample: rows in all, and characters of each.
@@ -343,6 +343,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             names, scores = sent.value.texts(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        trim_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -361,6 +362,7 @@ def with_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
         for b in batches:
             names, scores = sent.value.texts(b.column(at))
             yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
+        trim_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

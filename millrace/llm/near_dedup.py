@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, pick, release, ship, table
 from .graph import PAIR, components
-from .words import U64, Words, constants, mix64, shingle_sets, slices
+from .words import U64, Words, constants, mix64, shingle_sets, slices, trim_memory
 
 HASHES, DISTANCE, ERRORS = 64, 23, 1
 #: Shingles of a block of a family; a task holds two blocks.
@@ -90,6 +90,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), pa.array(sig, pa.binary())], ["d", "th", "n", "k1", "k2", "sig"]
             )
+    trim_memory()
 
 
 def _keys(distance: int):
@@ -110,6 +111,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, o = shingle_sets(Words(raw, off))
             data = pa.array([h[x:y].tobytes() for x, y in zip(o[:-1], o[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), data], ["d", "family", "blocks", "set"])
+    trim_memory()
 
 
 def confirm(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int, across: bool, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -182,6 +184,8 @@ def _unit(percent: int):
         x, y = t["x"][0].as_py(), t["y"][0].as_py()
         sets = [np.frombuffer(s.as_py(), U64) for s in t["set"]]
         links = confirm(t["d"].to_numpy(), t["block"].to_numpy(), sets, percent, x != y, t["root"].to_numpy())
+        if len(sets) > 500:
+            trim_memory()
         return pa.table([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run

@@ -115,15 +115,21 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
 WORKER_CACHES: list[dict] = []
 
 
+def trim_memory() -> None:
+    """Return freed memory to the system; allocators would keep it until the worker ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def give_up_caches() -> None:
     held = [c for c in WORKER_CACHES if c]
     for cache in held:
         cache.clear()
     if held:
-        try:
-            ctypes.CDLL(None).malloc_trim(0)  # the allocator would keep what was freed
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim_memory()
 
 
 class Words:
