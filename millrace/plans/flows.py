@@ -58,6 +58,7 @@ def _(t: Tables):
     return D.text_pool(t.cands, X.mask_email(X.required_text(F.concat(F.lit(" "), "category", F.lit(" "), "platform", F.lit("@x.org ")))), "id")
 
 
+@query("graph.components", "SELECT id AS node, min(id) OVER (PARTITION BY id // 35) AS label FROM records", whole=True)
 @query(
     "graph.components",
     """WITH RECURSIVE n AS (SELECT id, id // 7 AS a, CASE WHEN id % 7 = 0 THEN id // 35 END AS b FROM records WHERE id < 3000),
@@ -65,7 +66,7 @@ r AS (SELECT id AS node, a, id AS label FROM n) SELECT n.id AS node, min(m.id) A
 )
 def _(t: Tables):
     """Rows of one of seven share ``a``, and every fifth of those share ``b``: blocks of 35 ids."""
-    n = t.records.where("id < 3000").select("id", F.floor(c("id") / 7).alias("a"), F.when(c("id") % 7 == 0, F.floor(c("id") / 35)).alias("b"))
+    n = t.part(t.records, "id < 3000").select("id", F.floor(c("id") / 7).alias("a"), F.when(c("id") % 7 == 0, F.floor(c("id") / 35)).alias("b"))
     return D.key_components(n, "id", ["a", "b"])
 
 
