@@ -209,10 +209,11 @@ def _(t: Tables):
     return t.steps.join(same, "id", "left_semi").select("id", "pos", F.size(F.collect_list("pos").over(w)).cast("long").alias("before"))
 
 
+@query("load.group.contiguous", "SELECT variant, count(*) AS islands FROM (SELECT variant, lag(variant) OVER (ORDER BY id) AS p FROM records) WHERE p IS DISTINCT FROM variant GROUP BY 1", whole=True)
 @query("load.group.contiguous", "SELECT variant, count(*) AS islands FROM (SELECT variant, lag(variant) OVER (ORDER BY id) AS p FROM records WHERE id < 2000) WHERE p IS DISTINCT FROM variant GROUP BY 1")
 def _(t: Tables):
     """Islands by an explicit line index: of a block of 100 lines by its key, and between blocks by their ends."""
-    rows = t.records.where("id < 2000").withColumn("block", F.floor(c("id") / 100))
+    rows = t.part(t.records, "id < 2000").withColumn("block", F.floor(c("id") / 100))
     own = rows.withColumn("p", F.lag("variant").over(Window.partitionBy("block").orderBy("id"))).where("p IS NOT NULL AND p <> variant").select("variant")
     ends = rows.groupBy("block").agg(F.min_by("variant", "id").alias("first"), F.max_by("variant", "id").alias("last"))
     after = ends.select((c("block") + 1).alias("block"), c("last").alias("prev"))
