@@ -46,11 +46,15 @@ def parquet_recursive(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).parquet(root)
 
 
-def manifest(spark: SparkSession, path: str, episode: Schema, schema_id: str, renames: dict[str, str]) -> DataFrame:
-    """Episodes of one manifest document of a known schema id, public variant names made internal."""
+def manifest(spark: SparkSession, path: str, episode: Schema, schema_id: str, renames: dict[str, str], parts: bool = False) -> DataFrame:
+    """Episodes of one manifest document of a known schema id, public variant names made internal.
+
+    With ``parts`` the manifest may be split into several documents, all of that schema id.
+    """
     kind = episode if isinstance(episode, str) else episode.simpleString().removeprefix("struct<").removesuffix(">")
     doc = json_document(spark, path, f"schema_id string, frozen boolean, episodes array<struct<{kind}>>")
-    head = doc.select("schema_id").limit(2).collect()
+    ids = doc.select("schema_id")
+    head = (ids.distinct() if parts else ids).limit(2).collect()
     if [r.schema_id for r in head] != [schema_id]:
         raise ValueError(f"the manifest's schema is {[r.schema_id for r in head]}, not {schema_id}")
     names = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv]) if renames else None

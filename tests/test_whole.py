@@ -53,3 +53,12 @@ def test_components_of_all_rows(spark, many):
             up[max(a, b)] = min(a, b)
     got = {r.node: r.label for r in QUERIES["graph.components.whole"](spark, many).collect()}
     assert got == {i: top(i) for i in range(4000)}
+
+
+READERS = ["scan.ids.txt", "scan.json.array.streaming", "scan.json.doc", "scan.manifest", "scan.manifest.frozen", "scan.mixed", "scan.tar"]
+
+
+@pytest.mark.parametrize("name", READERS)
+def test_readers_get_every_row(name, spark, many):
+    rows = QUERIES[f"{name}.whole"](spark, many)
+    assert (rows.agg({"n": "sum"}).first()[0] if "n" in rows.columns else rows.count()) == 4000
