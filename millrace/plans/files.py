@@ -20,10 +20,11 @@ ROW = "id long, variant string, k long, note string"
 
 
 def _rows(t: Tables):
-    return t.records.where("turns = 1").select("id", "variant", "k", F.lit(None).cast("string").alias("note"))
+    return t.part(t.records, "turns = 1").select("id", "variant", "k", F.lit(None).cast("string").alias("note"))
 
 
 _ROWS = "SELECT id, variant, k, NULL::VARCHAR AS note FROM records WHERE turns = 1"
+_ALL = "SELECT id, variant, k, NULL::VARCHAR AS note FROM records"
 
 
 def _text(t: Tables, lines, name: str = "text") -> str:
@@ -47,18 +48,21 @@ def _with_noise(t: Tables):
     return good.unionByName(bad).select("value")
 
 
+@query("scan.jsonl.lenient", _ALL, whole=True)
 @query("scan.jsonl.lenient", _ROWS)
 def _(t: Tables):
     blank = _rows(t).select(F.to_json(F.struct("id", "variant", "k")).alias("value")).unionByName(t.spark.range(3).select(F.lit("").alias("value")))
     return R.jsonl(t.spark, _text(t, blank), ROW)
 
 
+@query("scan.jsonl.strict", f"SELECT 'rows' AS part, count(*) AS n FROM ({_ALL}) UNION ALL SELECT CASE id % 60 WHEN 20 THEN 'not_json' ELSE 'not_an_object' END, count(*) FROM ({_ALL}) WHERE id % 60 > 0 GROUP BY 1", whole=True)
 @query("scan.jsonl.strict", f"SELECT 'rows' AS part, count(*) AS n FROM ({_ROWS}) UNION ALL SELECT CASE id % 60 WHEN 20 THEN 'not_json' ELSE 'not_an_object' END, count(*) FROM ({_ROWS}) WHERE id % 60 > 0 GROUP BY 1")
 def _(t: Tables):
     rows, bad = R.jsonl_strict(t.spark, _text(t, _with_noise(t)), ROW)
     return rows.select(F.lit("rows").alias("part")).unionByName(bad.select(c("reason").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query("scan.jsonl.noblank", f"SELECT CASE id % 60 WHEN 0 THEN 'blank' WHEN 20 THEN 'not_json' ELSE 'not_an_object' END AS reason, count(*) AS n FROM ({_ALL}) GROUP BY 1", whole=True)
 @query("scan.jsonl.noblank", f"SELECT CASE id % 60 WHEN 0 THEN 'blank' WHEN 20 THEN 'not_json' ELSE 'not_an_object' END AS reason, count(*) AS n FROM ({_ROWS}) GROUP BY 1")
 def _(t: Tables):
     _, bad = R.jsonl_strict(t.spark, _text(t, _with_noise(t)), ROW, blank_is_bad=True)
@@ -118,9 +122,10 @@ def _(t: Tables):
 
 def _records(t: Tables):
     status = F.when(c("k") % 4 == 0, "running").otherwise("complete")
-    return t.records.where("turns = 2").select("id", "variant", "k", status.alias("record_status"))
+    return t.part(t.records, "turns = 2").select("id", "variant", "k", status.alias("record_status"))
 
 
+@query("scan.records.dir", "SELECT id, variant FROM records WHERE k % 4 > 0", whole=True)
 @query("scan.records.dir", "SELECT id, variant FROM records WHERE turns = 2 AND k % 4 > 0")
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/records"
@@ -129,6 +134,7 @@ def _(t: Tables):
     return rows.select("id", "variant")
 
 
+@query("scan.records.shards", "SELECT id, CAST(id % 4 AS INT) AS shard FROM records WHERE k % 4 > 0", whole=True)
 @query("scan.records.shards", "SELECT id, CAST(id % 4 AS INT) AS shard FROM records WHERE turns = 2 AND k % 4 > 0")
 def _(t: Tables):
     path = shared_folder(t.spark)
@@ -228,6 +234,7 @@ def _(t: Tables):
 # --- sinks ---------------------------------------------------------------------------
 
 
+@query("sink.jsonl", _ALL, whole=True)
 @query("sink.jsonl", _ROWS)
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/out"
@@ -235,11 +242,13 @@ def _(t: Tables):
     return R.jsonl(t.spark, path, ROW)
 
 
+@query("sink.jsonl.string", """SELECT variant, string_agg('{"id":' || id || ',"variant":"' || variant || '","k":' || k || ',"note":null}', chr(10) ORDER BY id) AS text FROM records GROUP BY 1""", whole=True)
 @query("sink.jsonl.string", """SELECT variant, string_agg('{"id":' || id || ',"variant":"' || variant || '","k":' || k || ',"note":null}', chr(10) ORDER BY id) AS text FROM records WHERE turns = 1 GROUP BY 1""")
 def _(t: Tables):
     return W.jsonl_text(_rows(t), "variant", "id")
 
 
+@query("sink.jsonl.exclusive", f"SELECT count(*) AS n, true AS refused FROM ({_ALL})", whole=True)
 @query("sink.jsonl.exclusive", f"SELECT count(*) AS n, true AS refused FROM ({_ROWS})")
 def _(t: Tables):
     path, rows = f"{shared_folder(t.spark)}/out", _rows(t)
@@ -253,6 +262,7 @@ def _(t: Tables):
     return R.jsonl(t.spark, path, ROW).agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
 
 
+@query("sink.jsonl.atomic", _ALL, whole=True)
 @query("sink.jsonl.atomic", _ROWS)
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/out"
@@ -264,6 +274,7 @@ def _(t: Tables):
 _SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("tools", T.ArrayType(T.StringType()))])
 
 
+@query("sink.parquet.batched", "SELECT id, CAST(k AS INT) AS k, 0 AS tools FROM records", whole=True)
 @query("sink.parquet.batched", "SELECT id, CAST(k AS INT) AS k, 0 AS tools FROM records WHERE turns = 1")
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/out"
@@ -271,6 +282,7 @@ def _(t: Tables):
     return t.spark.read.parquet(path).select("id", "k", F.size("tools").alias("tools"))
 
 
+@query("sink.parquet.pandas", "SELECT true AS refused, count(*) AS n FROM records", whole=True)
 @query("sink.parquet.pandas", "SELECT true AS refused, count(*) AS n FROM records WHERE turns = 1")
 def _(t: Tables):
     path = shared_folder(t.spark)
@@ -283,6 +295,7 @@ def _(t: Tables):
     return t.spark.createDataFrame([(refused, n)], "refused boolean, n long")
 
 
+@query("sink.parquet.arrow", _ALL, whole=True)
 @query("sink.parquet.arrow", _ROWS)
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/out"
@@ -316,6 +329,7 @@ def _facts(tables):
     return {"rows": tables["rows"].count()}
 
 
+@query("sink.release.atomic", "SELECT count(*) AS \"rows\" FROM records", whole=True)
 @query("sink.release.atomic", "SELECT count(*) AS \"rows\" FROM records WHERE turns = 1")
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/release"
@@ -323,6 +337,7 @@ def _(t: Tables):
     return R.json_document(t.spark, f"{path}/summary.json", "rows long")
 
 
+@query("sink.release.rollback", "SELECT true AS refused, false AS there", whole=True)
 @query("sink.release.rollback", "SELECT true AS refused, false AS there")
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/release"
@@ -335,6 +350,7 @@ def _(t: Tables):
     return t.spark.createDataFrame([(refused, bool(fs.exists(p)))], "refused boolean, there boolean")
 
 
+@query("sink.cache.step", "SELECT id, CASE WHEN k % 2 = 0 THEN 'cached' ELSE variant END AS v FROM records", whole=True)
 @query("sink.cache.step", "SELECT id, CASE WHEN k % 2 = 0 THEN 'cached' ELSE variant END AS v FROM records WHERE turns = 1")
 def _(t: Tables):
     rows = _rows(t)
@@ -358,3 +374,15 @@ def _(t: Tables):
         W.bytes_file(t.spark, r.text.encode(), f"{path}/files/{r.split}.txt")
     files = t.spark.read.format("binaryFile").load(f"{path}/files")
     return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("split"), F.sha2("content", 256).alias("sha"))
+
+
+@query("hash.file_sha256", "SELECT split, id // 10000 AS part, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id) || chr(10)) AS sha FROM records GROUP BY 1, 2", whole=True)
+def _(t: Tables):
+    """Files of a split's lines among ten thousand ids, written by the tasks and hashed as wholes."""
+    lines = F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string"))
+    texts = t.records.groupBy("split", F.floor(c("id") / 10000).alias("part")).agg(F.array_join(lines, "\n").alias("text"))
+    path = f"{shared_folder(t.spark)}/files"
+    texts.write.partitionBy("split", "part").text(path)
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = lambda k: F.regexp_extract("path", f"/{k}=([^/]+)/", 1)
+    return files.select(name("split").alias("split"), name("part").cast("long").alias("part"), F.sha2("content", 256).alias("sha"))

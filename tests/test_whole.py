@@ -62,3 +62,8 @@ READERS = ["scan.ids.txt", "scan.json.array.streaming", "scan.json.doc", "scan.m
 def test_readers_get_every_row(name, spark, many):
     rows = QUERIES[f"{name}.whole"](spark, many)
     assert (rows.agg({"n": "sum"}).first()[0] if "n" in rows.columns else rows.count()) == 4000
+
+
+@pytest.mark.parametrize("name", ["scan.jsonl.lenient", "sink.jsonl", "sink.jsonl.atomic", "sink.parquet.arrow", "sink.parquet.batched", "sink.cache.step"])
+def test_files_hold_every_row(name, spark, many):
+    assert QUERIES[f"{name}.whole"](spark, many).count() == 4000
