@@ -70,9 +70,10 @@ def _(t: Tables):
     return D.key_components(n, "id", ["a", "b"])
 
 
+@query("graph.group_split", "SELECT k, CASE WHEN count(DISTINCT split) > 2 THEN 'excluded' ELSE min(split) END AS split FROM records GROUP BY k", whole=True)
 @query("graph.group_split", "SELECT k, CASE WHEN count(DISTINCT split) > 2 THEN 'excluded' ELSE min(split) END AS split FROM records WHERE turns <= 2 GROUP BY k")
 def _(t: Tables):
-    g = t.records.where("turns <= 2").groupBy("k").agg(F.countDistinct("split").alias("d"), F.min("split").alias("s"))
+    g = t.part(t.records, "turns <= 2").groupBy("k").agg(F.countDistinct("split").alias("d"), F.min("split").alias("s"))
     return D.assign_groups(g, "k", c("d") > 2, c("s"))
 
 
@@ -120,9 +121,10 @@ def _(t: Tables):
     return acts.groupBy("id").agg(F.count_if(c("kind") == "action").alias("n"), F.bool_and(same).alias("ok"))
 
 
+@query("conv.publish_pair", "SELECT view, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM (SELECT k, unnest(['direct', 'terminate']) AS view FROM records WHERE split = 'train') GROUP BY 1", whole=True)
 @query("conv.publish_pair", "SELECT view, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM (SELECT k, unnest(['direct', 'terminate']) AS view FROM records WHERE split = 'train' AND turns % 10 = 0) GROUP BY 1")
 def _(t: Tables):
-    return P.per_track(t.records.where("split = 'train' AND turns % 10 = 0"), ["direct", "terminate"]).groupBy(c("track").alias("view")).agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    return P.per_track(t.part(t.records.where("split = 'train'"), "turns % 10 = 0"), ["direct", "terminate"]).groupBy(c("track").alias("view")).agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
 @query("conv.parquet_audit", "SELECT 'blank' AS rule, count(*) FILTER (WHERE trim(text) = '') AS n_bad FROM steps UNION ALL SELECT 'role', count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) FROM steps UNION ALL SELECT 'first', count(*) FROM (SELECT id FROM steps GROUP BY 1 HAVING arg_min(role, pos) <> 'user')")
@@ -202,6 +204,13 @@ def _(t: Tables):
     return g.where("n = d").select("episode", F.array_join(F.transform("s", lambda x: x.k), ",").alias("v"))
 
 
+@query("load.group.ordered", "SELECT episode, k % 10 AS part, string_agg(k::VARCHAR, ',' ORDER BY id) AS v FROM records GROUP BY 1, 2 HAVING count(*) = count(DISTINCT turns)", whole=True)
+def _(t: Tables):
+    """Short sequences out of all rows: an episode's rows by the last digit of k."""
+    g = t.records.groupBy("episode", (c("k") % 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", "k"))).alias("s"), F.count("*").alias("n"), F.countDistinct("turns").alias("d"))
+    return g.where("n = d").select("episode", "part", F.array_join(F.transform("s", lambda x: x.k), ",").alias("v"))
+
+
 @query("load.group.examples", "SELECT id, pos, count(*) OVER w AS before FROM steps WHERE id IN (SELECT id FROM steps GROUP BY 1 HAVING count(DISTINCT role) = 2) WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def _(t: Tables):
     same = t.steps.groupBy("id").agg(F.countDistinct("role").alias("d")).where("d = 2").select("id")
@@ -256,6 +265,7 @@ def _(t: Tables):
     return g.withColumn("frozen", (c("n") == c("ids")) & (c("variants") == 5))
 
 
+@query("gen.positions", whole=True)
 @query("gen.positions")
 def _(t: Tables):
     """Eight points a row, none nearer than 90 to another: seeded draws, a grid where draws fail."""
@@ -276,7 +286,7 @@ def _(t: Tables):
                 out += [(i, j, float(x), float(y)) for j, (x, y) in enumerate(pts)]
             yield pd.DataFrame(out, columns=["id", "j", "x", "y"])
 
-    return t.records.where("turns = 1").select("id").mapInPandas(run, "id long, j long, x double, y double")
+    return t.part(t.records, "turns = 1").select("id").mapInPandas(run, "id long, j long, x double, y double")
 
 
 @query("udf.action_types", "SELECT id, CASE WHEN k % 4 = 0 THEN 'no_coordinate' WHEN k % 4 = 1 THEN NULL WHEN k % 4 = 2 THEN 'unknown_kind' END AS reason FROM records")

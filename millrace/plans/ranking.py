@@ -209,10 +209,11 @@ def _tour(points: list | None, start: int) -> list | None:
 nearest_tour = F.udf(_tour, T.ArrayType(T.IntegerType()), useArrow=True)
 
 
+@query("win.nearest_neighbor", whole=True)
 @query("win.nearest_neighbor")
 def _(t: Tables):
     pts = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.array((c("id") * 37 + i * i * 131) % 1280, (c("id") * 17 + i * 97) % 720))
-    return t.records.where("turns = 1").select("id", F.array_join(nearest_tour(pts, F.lit(0)), ",").alias("tour"))
+    return t.part(t.records, "turns = 1").select("id", F.array_join(nearest_tour(pts, F.lit(0)), ",").alias("tour"))
 
 
 @query("win.split_index", "SELECT id, CASE WHEN total = 1 THEN 'smoke' WHEN n <= total // 2 THEN 'iid' ELSE 'ood' END AS part FROM (SELECT id, row_number() OVER (PARTITION BY variant ORDER BY id) AS n, count(*) OVER (PARTITION BY variant) AS total FROM records)")

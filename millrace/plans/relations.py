@@ -246,6 +246,14 @@ def _(t: Tables):
     return s.select("episode", V.scan_sequence(F.transform("s", lambda x: x.kind)).alias("v"))
 
 
+@query("filter.trace_sequence", "SELECT episode, k % 10 AS part, regexp_matches(string_agg(CASE variant WHEN 'view' THEN 'down' WHEN 'error' THEN 'up' ELSE 'move' END, ' ' ORDER BY id), '^(move )+down up$') AS v FROM records GROUP BY 1, 2", whole=True)
+def _(t: Tables):
+    """Short sequences out of all rows: an episode's rows by the last digit of k."""
+    kind = F.when(c("variant") == "view", "down").when(c("variant") == "error", "up").otherwise("move")
+    s = t.records.groupBy("episode", (c("k") % 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", kind.alias("kind")))).alias("s"))
+    return s.select("episode", "part", V.scan_sequence(F.transform("s", lambda x: x.kind)).alias("v"))
+
+
 @query("filter.observation_sequence", "SELECT id, bool_and(p IS NULL OR pos = p + 1) AND min(pos) = 0 AS v FROM (SELECT id, pos, lag(pos) OVER (PARTITION BY id ORDER BY pos) AS p FROM steps) GROUP BY id")
 def _(t: Tables):
     prev = F.lag("pos").over(Window.partitionBy("id").orderBy("pos"))
@@ -486,10 +494,11 @@ def _(t: Tables):
     return t.records.select("id", F.round(F.array_min(d), 6).alias("v"))
 
 
+@query("join.cyclic_index", "SELECT a.id, b.k FROM (SELECT id, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS i FROM records WHERE success) a JOIN (SELECT k, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS j, count(*) OVER (PARTITION BY variant) AS n FROM records WHERE NOT success) b ON a.variant = b.variant AND a.i % b.n = b.j", whole=True)
 @query("join.cyclic_index", "SELECT a.id, b.k FROM (SELECT id, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS i FROM records WHERE success) a JOIN (SELECT k, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS j, count(*) OVER (PARTITION BY variant) AS n FROM records WHERE NOT success AND turns = 1) b ON a.variant = b.variant AND a.i % b.n = b.j")
 def _(t: Tables):
     a = t.records.where("success").select("id", "variant")
-    b = t.records.where("NOT success AND turns = 1").select("variant", "k", c("id").alias("bid"))
+    b = t.part(t.records.where("NOT success"), "turns = 1").select("variant", "k", c("id").alias("bid"))
     return R.cyclic(a, b, ["id"], ["bid"], "variant").select("id", "k")
 
 

@@ -67,3 +67,16 @@ def test_readers_get_every_row(name, spark, many):
 @pytest.mark.parametrize("name", ["scan.jsonl.lenient", "sink.jsonl", "sink.jsonl.atomic", "sink.parquet.arrow", "sink.parquet.batched", "sink.cache.step"])
 def test_files_hold_every_row(name, spark, many):
     assert QUERIES[f"{name}.whole"](spark, many).count() == 4000
+
+
+def test_generators_get_every_row(spark, many):
+    assert QUERIES["gen.positions.whole"](spark, many).count() == 32000
+    assert QUERIES["win.nearest_neighbor.whole"](spark, many).count() == 4000
+
+
+def test_a_key_that_conflicts_only_in_later_turns_is_excluded(spark, tmp_path):
+    """Three splits of one k, two of them in rows with turns > 2."""
+    spark.createDataFrame(
+        [(0, 0, "view", 1.0, '{"k": 5}'), (5, 1, "view", 1.0, '{"k": 5}'), (6, 2, "view", 1.0, '{"k": 5}')], "event_id long, user_id long, event_type string, value double, props string"
+    ).selectExpr("event_id", "timestamp_ntz '2024-01-01' AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["graph.group_split.whole"](spark, str(tmp_path)).collect()] == [(5, "excluded")]
