@@ -64,7 +64,7 @@ class Index:
         self.tables: dict[int, dict[int, list]] = {}
         groups: dict[tuple[int, int], list[int]] = {}
         for i, (h, k) in enumerate(zip(self.hashes, self.widths)):
-            groups.setdefault((k, max(8, 1 << (len(h) - 1).bit_length())), []).append(i)
+            groups.setdefault((k, 1 << (len(h) - 1).bit_length()), []).append(i)
         for (k, u), members in sorted(groups.items()):
             own = np.array(members)
             rows = []
