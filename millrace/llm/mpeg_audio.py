@@ -168,20 +168,32 @@ def _like(a: Header, b: Header | None) -> bool:
     return b is not None and (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
 
 
+def _reaches_end(data: bytes, at: int) -> bool:
+    """Whether fitting frames follow one another from ``at`` to the very end."""
+    h = first = header(data[at : at + 4])
+    while _like(first, h) and at + h.length < len(data):
+        at += h.length
+        h = header(data[at : at + 4])
+    return _like(first, h) and at + h.length == len(data)
+
+
 def parse(data: bytes) -> Audio:
     """Everything a file says; damaged or strange stretches are skipped and counted."""
     out = Audio()
     out.tags, at = _id3v2(data)
     end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
+    tag = end >= 128 and data[end - 128 : end - 125] == b"TAG"
+    if tag:
         end -= 128
-        out.tags.setdefault("title", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     bodies, first = [], True
     synced = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
         if h is not None and at + h.length > end:
-            h = None
+            if synced and tag and _reaches_end(data, at):  # what looked like a tag is a frame's data
+                end, tag = len(data), False
+            else:
+                h = None
         if h is not None and not synced:
             after = at + h.length
             if after != end and not _like(h, header(data[after : after + 4])):
@@ -211,6 +223,8 @@ def parse(data: bytes) -> Audio:
         first = False
         at += h.length
     out.skipped += max(0, end - at)
+    if tag:
+        out.tags.setdefault("title", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     size = out.tags.get("payload_bytes", "")
     out.payload = b"".join(bodies)[: int(size) if size.isdigit() else None]
     return out
