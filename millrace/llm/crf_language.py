@@ -186,24 +186,32 @@ class Model:
 
     def texts(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """Label with the largest mean probability over a text's words, and that mean."""
-        names, scores = [], []
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
+        """What ``texts`` gives, and the mean over a text's words of the probability of each word's own best label."""
+        names, scores, sure = [], [], []
         for i, j, raw, off in slices(texts):
             words = _fold(raw, off)
             sums = np.zeros((words.texts, max(1, len(self.labels))))
+            each = np.zeros(words.texts)
             if self.labels and words.n:
                 p = self.words(words)
                 full = np.flatnonzero(words.counts)
                 sums[full] = np.add.reduceat(p, words.first[:-1][full], axis=0) / words.counts[full, None]
+                each[full] = np.add.reduceat(p.max(1), words.first[:-1][full]) / words.counts[full]
             letters = _has_letter(words, texts.slice(i, j - i))
             best = sums.argmax(1)
             for d in range(words.texts):
                 if letters[d] and words.counts[d] and self.labels:
                     names.append(self.labels[best[d]])
                     scores.append(min(1.0, float(sums[d, best[d]])))
+                    sure.append(min(1.0, float(each[d])))
                 else:
                     names.append("und")
                     scores.append(0.0)
-        return names, scores
+                    sure.append(0.0)
+        return names, scores, sure
 
 
 _LETTER = np.zeros(256, bool)
@@ -352,16 +360,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def with_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language.
 
-    Rejected are texts that are ``und`` and texts whose best label holds less
-    than ``least`` of their words' probability.
+    Rejected are texts that are ``und`` and texts whose words' best labels, each
+    word's own, hold less than ``least`` of the probability on average: a text
+    in several languages stays where its words are labelled with confidence.
     """
     ship(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = sent.value.texts(b.column(at))
-            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
+            names, _, sure = sent.value.judged(b.column(at))
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, sure)], pa.bool_()))
         trim_memory()
 
     return docs.mapInArrow(run, docs.schema)
