@@ -1,10 +1,11 @@
 """MPEG audio as a column: frames, tags, variable-bitrate tables and seek offsets.
 
-``parse`` reads any of MPEG 1, 2 and 2.5, layers I to III: it reads ID3 tags,
-finds the first frame (and the next after damage) by a header whose successor
-has a fitting header too, follows frame lengths, checks the CRC of protected
-layer III frames, reads a Xing, Info or VBRI table, and returns the exact
-duration in samples and the byte offset of each frame.
+``parse`` reads any of MPEG 1, 2 and 2.5, layers I to III: it reads ID3 tags
+(extended headers, unsynchronisation and footers too), finds the first frame
+(and the next after damage) by a header whose successor has a fitting header
+too, follows frame lengths, checks the CRC of protected frames, reads a Xing,
+Info or VBRI table with its seek points and an encoder's delay and padding, and
+returns the exact duration in samples and the byte offset of each frame.
 
 ``encode`` stores bytes losslessly in valid layer III frames: side information
 of zeros leaves the whole main data area of a (silent) frame to ancillary data,
@@ -47,7 +48,12 @@ class Header:
     kbps: int
     rate: int
     padding: int
-    mono: bool
+    mode: int
+    extension: int
+
+    @property
+    def mono(self) -> bool:
+        return self.mode == 3
 
     @property
     def samples(self) -> int:
@@ -81,7 +87,7 @@ def header(word: bytes) -> Header | None:
     bitrate, rate = word[2] >> 4, word[2] >> 2 & 3
     if version is None or layer == 4 or bitrate in (0, 15) or rate == 3 or word[3] & 3 == 2:
         return None
-    return Header(version, layer, not word[1] & 1, _KBPS[min(2, int(version)), layer][bitrate], _RATES[version][rate], word[2] >> 1 & 1, word[3] >> 6 == 3)
+    return Header(version, layer, not word[1] & 1, _KBPS[min(2, int(version)), layer][bitrate], _RATES[version][rate], word[2] >> 1 & 1, word[3] >> 6, word[3] >> 4 & 3)
 
 
 def _crc_table() -> list[int]:
@@ -105,6 +111,62 @@ def crc16(data: bytes) -> int:
     return c
 
 
+# Fixed values of layer II: runs of (subbands, bits of an allocation) by table.
+_ALLOCATION = {
+    "wide": ((11, 4), (12, 3), (4, 2)),
+    "full": ((11, 4), (12, 3), (7, 2)),
+    "low": ((2, 4), (6, 3)),
+    "low32": ((2, 4), (10, 3)),
+    "half": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a layer II frame."""
+    each = h.kbps if h.mono else h.kbps // 2
+    if h.version > 1:
+        kind = "half"
+    elif each <= 48:
+        kind = "low32" if h.rate == 32000 else "low"
+    else:
+        kind = "wide" if each <= 80 or h.rate == 48000 else "full"
+    return [bits for many, bits in _ALLOCATION[kind] for _ in range(many)]
+
+
+def _bits(data: bytes, at: int, n: int) -> int:
+    """``n`` bits from bit ``at`` on; beyond the end they are 0."""
+    first, last = at // 8, -(-(at + n) // 8)
+    return int.from_bytes(data[first:last].ljust(last - first, b"\0"), "big") >> (8 * last - at - n) & ((1 << n) - 1)
+
+
+def _guarded_bits(frame: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    widths = [4] * 32 if h.layer == 1 else _allocation(h)
+    joint = min(len(widths), 4 * h.extension + 4) if h.mode == 1 else len(widths)
+    own = [(w, channels if i < joint else 1) for i, w in enumerate(widths)]
+    total = sum(w * c for w, c in own)
+    if h.layer == 2:  # two bits of scale factor selection for each channel of a subband that has samples
+        at = 48
+        for w, c in own:
+            held = [_bits(frame, at + i * w, w) > 0 for i in range(c)]
+            total += 2 * (sum(held) if c == channels else channels * held[0])
+            at += w * c
+    return total
+
+
+def checksum(frame: bytes, h: Header) -> int:
+    """The CRC that a protected frame should have."""
+    n = _guarded_bits(frame, h)
+    c = crc16(frame[2:4] + frame[6 : 6 + n // 8])
+    for i in range(n // 8 * 8, n):
+        top = c >> 15 ^ _bits(frame, 48 + i, 1)
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
 @dataclass
 class Audio:
     tags: dict[str, str] = field(default_factory=dict)
@@ -117,6 +179,9 @@ class Audio:
     crc_good: int = 0
     crc_bad: int = 0
     skipped: int = 0
+    #: Samples that the encoder put before and after the sound.
+    delay: int = 0
+    padding: int = 0
     payload: bytes = b""
 
 
@@ -127,40 +192,73 @@ def _text(raw: bytes) -> str:
     return body.decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(kind, "latin-1"), "replace")
 
 
+def _plain(b: bytes) -> int:
+    return int.from_bytes(b, "big")
+
+
+def _synch(b: bytes) -> int:
+    """An integer of seven bits a byte."""
+    out = 0
+    for x in b:
+        out = out << 7 | x & 127
+    return out
+
+
 def _id3v2(data: bytes) -> tuple[dict[str, str], int]:
-    """Text frames of a leading ID3v2.3 or 2.4 tag, and where it ends."""
-    if len(data) < 10 or data[:3] != b"ID3":
+    """Text frames of a leading ID3v2 tag (2.2 to 2.4), and where it ends."""
+    if len(data) < 10 or data[:3] != b"ID3" or data[3] not in (2, 3, 4):
         return {}, 0
-    plain = lambda b: int.from_bytes(b, "big")
-    synch = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end = min(len(data), 10 + synch(data[6:10]))
-    tags, at = {}, 10
-    while at + 10 <= end and data[at]:
-        name, n = data[at : at + 4].decode("latin-1"), (synch if data[3] >= 4 else plain)(data[at + 4 : at + 8])
-        body = data[at + 10 : min(end, at + 10 + n)]
-        if name == "TXXX":
-            key, _, value = _text(body).partition("\0")
-            tags[key] = value.rstrip("\0")
+    version, flags = data[3], data[5]
+    end = 10 + _synch(data[6:10])
+    body = data[10:end]
+    end = min(len(data), end + 10 * (version == 4 and flags >> 4 & 1))
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and version > 2:  # its size includes itself in 2.4 only
+        at = _synch(body[:4]) if version == 4 else 4 + _plain(body[:4])
+    key, head = (3, 6) if version == 2 else (4, 10)
+    tags: dict[str, str] = {}
+    while at + head <= len(body) and body[at]:
+        name = body[at : at + key].decode("latin-1")
+        n = (_synch if version == 4 else _plain)(body[at + key : at + (6 if version == 2 else 8)])
+        part, how = body[at + head : at + head + n], body[at + 9] if version == 4 else 0
+        if how & 1:  # a length before the data
+            part = part[4:]
+        if how & 2 or version == 4 and flags & 0x80:
+            part = part.replace(b"\xff\0", b"\xff")
+        if name in ("TXXX", "TXX"):
+            own, _, value = _text(part).partition("\0")
+            tags[own] = value.rstrip("\0")
         elif name.startswith("T"):
-            tags[name] = _text(body).rstrip("\0")
-        at += 10 + n
+            tags[name] = _text(part).rstrip("\0")
+        at += head + n
     return tags, end
 
 
 def _table_of(frame: bytes, h: Header) -> dict:
-    """A Xing, Info or VBRI table in a first frame."""
+    """A Xing, Info or VBRI table in a first frame; ``toc`` holds its seek points."""
     at = h.body
-    if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
+    if h.layer == 3 and frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
         out: dict = {"kind": frame[at : at + 4].decode()}
-        flags, at = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
+        flags, at = _plain(frame[at + 4 : at + 8]), at + 8
         for bit, key, n in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
             if flags & bit and len(frame) >= at + n:
                 part = frame[at : at + n]
-                out[key] = list(part) if key == "toc" else int.from_bytes(part, "big")
+                out[key] = list(part) if key == "toc" else _plain(part)
                 at += n
+        if frame[at : at + 4] in (b"LAME", b"Lavc", b"Lavf") and len(frame) >= at + 24:
+            both = _plain(frame[at + 21 : at + 24])
+            out |= {"encoder": frame[at : at + 9].decode("latin-1").rstrip("\0 "), "delay": both >> 12, "padding": both & 0xFFF}
         return out
-    if frame[36:40] == b"VBRI" and len(frame) >= 54:
-        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames = struct.unpack(">II", frame[46:54])
+        count, scale, width, step = struct.unpack(">4H", frame[54:62])
+        toc, upto = [], 0
+        for i in range(count if 1 <= width <= 4 and len(frame) >= 62 + count * width else 0):
+            upto += scale * _plain(frame[62 + i * width : 62 + (i + 1) * width])
+            toc.append(upto)
+        return {"kind": "VBRI", "bytes": size, "frames": frames, "frames_a_point": step, "toc": toc}
     return {}
 
 
@@ -207,12 +305,13 @@ def parse(data: bytes) -> Audio:
             continue
         synced = True
         frame = data[at : at + h.length]
-        if h.protected and h.layer == 3 and len(frame) >= h.body:
-            good = crc16(frame[2:4] + frame[6 : h.body]) == int.from_bytes(frame[4:6], "big")
+        if h.protected and len(frame) >= (h.body if h.layer == 3 else 6):
+            good = checksum(frame, h) == _plain(frame[4:6])
             out.crc_good += good
             out.crc_bad += not good
         if first and (found := _table_of(frame, h)):
             out.table = found
+            out.delay, out.padding = found.get("delay", 0), found.get("padding", 0)
         else:
             out.rate = out.rate or h.rate
             out.samples += h.samples
@@ -233,6 +332,8 @@ def parse(data: bytes) -> Audio:
 # --- writing ----------------------------------------------------------------
 
 _RATE, _SIDE = 48000, bytes(17)
+#: Bytes of files that a worker sends back at once (a longer file goes alone).
+WRITE_BYTES = 1_000_000
 
 
 @lru_cache(16)
@@ -285,7 +386,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = 0
         while i < b.num_rows:
             j, held, media = i, 0, []
-            while j < b.num_rows and held < 4_000_000:
+            while j < b.num_rows and held < WRITE_BYTES:
                 payload, n = text_payload(texts[j].as_py())
                 media.append(encode(payload, {"n_bytes": str(n)}))
                 held += len(media[-1])
@@ -309,18 +410,31 @@ INFO = "rate int, samples long, duration_s double, frames long, vbr_table string
 
 def _info(a: Audio) -> dict:
     return {
-        "rate": a.rate, "samples": a.samples, "duration_s": a.samples / a.rate if a.rate else 0.0, "frames": len(a.offsets), "vbr_table": a.table.get("kind"),
+        "rate": a.rate, "samples": a.samples, "duration_s": max(0, a.samples - a.delay - a.padding) / a.rate if a.rate else 0.0, "frames": len(a.offsets), "vbr_table": a.table.get("kind"),
         "crc_good": a.crc_good, "crc_bad": a.crc_bad, "skipped": a.skipped, "tags": list(a.tags.items()), "frame_offsets": a.offsets,
     }
 
 
 def audio_columns(files: DataFrame, media: str = "media") -> DataFrame:
-    """``files`` with what ``parse`` finds in its binary column; a null one gives nulls."""
+    """``files`` with what ``parse`` finds in its binary column; a null one gives nulls.
+
+    ``duration_s`` leaves out the samples that the encoder's delay and padding
+    say are not sound. An input column whose name (in any case) is one of these
+    outputs stays, with ``_in`` put behind its name, once more while that is taken.
+    """
     ship(files.sparkSession)
     names = [f.strip().split(" ")[0] for f in INFO.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64())]
-    own = [c for c in files.columns if c not in names]
-    at = own.index(media)
+    taken = {c.lower() for c in [*names, *files.columns]}
+    own = []
+    for c in files.columns:
+        name = c
+        while c.lower() in names and name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        own.append(name)
+    at = files.columns.index(media)
+    files = files.toDF(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,8 +442,8 @@ def audio_columns(files: DataFrame, media: str = "media") -> DataFrame:
             more = [pa.array([None if r is None else r[n] for r in rows], k) for n, k in zip(names, kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*own, *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*own).schema] + [INFO])
-    return files.select(*own).mapInArrow(run, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema] + [INFO])
+    return files.mapInArrow(run, schema)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -212,8 +212,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        #: Strings that the library takes out of a text before it splits the rest.
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.remember, self.longest = remember, longest
@@ -254,6 +255,11 @@ class Encoder:
         starts = units(raw, off)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+        data = raw.tobytes()
+        if any(s in data for s in self.special):
+            of = np.searchsorted(off, starts, "right") - 1
+            odd = np.array([any(s in data[a:b] for s in self.special) for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
+            starts = starts[~odd[of] | (starts == off[of])]
         first = np.searchsorted(starts, off)
         ends = np.append(starts[1:], len(raw))
         keys = [np.empty(0, np.uint64)]
@@ -267,11 +273,9 @@ class Encoder:
         key = np.concatenate(keys)
         _, where, which = np.unique(key, return_index=True, return_inverse=True)
         # Words of one hash must also agree in length and byte sum; if ever two differ, each place is its own word.
-        sums = np.concatenate([[0], np.cumsum(raw, dtype=np.int64)])
-        second = (sums[ends] - sums[starts]) * (1 << 32) + (ends - starts)
+        second = np.add.reduceat(raw, starts, dtype=np.int64) * (1 << 32) + (ends - starts)
         if (second[where][which] != second).any():
             where, which = np.arange(len(key)), np.arange(len(key))
-        data = raw.tobytes()
         if len(self.new) > self.remember:
             self.old, self.new = self.new, {}
         new, old, found, rest = self.new, self.old, [], []
@@ -279,7 +283,7 @@ class Encoder:
             unit = data[a:b]
             ids = new.get(unit)
             if ids is None:
-                ids = old.get(unit) or self._unit(unit)
+                ids = old.get(unit) or (None if any(s in unit for s in self.special) else self._unit(unit))
                 if ids is None:
                     rest.append(k)
                     found.append(unit)
@@ -318,6 +322,20 @@ BATCH_BYTES = 8 << 20
 SEGMENTS = "shard int, seq long, n_ids long, doc_ids array<bigint>, data binary"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches joined to tables of about ``most`` bytes, so that a word is looked up once in each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _writer(path: str, end_id: int, segment_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seq = TaskContext.get().partitionId(), 0
@@ -338,7 +356,7 @@ def _writer(path: str, end_id: int, segment_ids: int) -> Callable[[Iterator[pa.R
             return row
 
         tok = encoder(path)
-        for batch in batches:
+        for batch in _gathered(batches, BATCH_BYTES):
             own = batch.column(0).to_pylist()
             for i, j, raw, off in slices(batch.column(1), BATCH_BYTES):
                 ids, count = tok.encode(raw, off)
