@@ -4,8 +4,8 @@ An ARC file begins with a version block that says how its record lines look:
 version 1 lines have URL, IP, date, type and length; version 2 adds result
 code, checksum, location, offset and file name before the length. ``read_arc``
 follows the declared lengths; ``to_warc`` synthesises what WARC needs and ARC
-lacks: record ids (a name-based UUID of URL, date and payload digest), dates in
-ISO form, record types and SHA-1 digests.
+lacks: record ids (a name-based UUID of URL, date, payload digest and HTTP
+head), dates in ISO form, record types and SHA-1 digests.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ship, table
+from .common import Workspace, pick, ship, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LINES = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -95,8 +95,8 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(url: str, date: str, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {payload_digest}')}>"
+def record_id(url: str, date: str, payload_digest: str, head: bytes = b"") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {payload_digest} {digest(head)}')}>"
 
 
 def warc_date(date: str) -> str:
@@ -109,16 +109,16 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def to_warc(r: ArcRecord, first: tuple[str, str] | None = None) -> bytes:
-    """One ARC record as WARC: a response, or a revisit of the record (url, ARC date) ``first``."""
+def to_warc(r: ArcRecord, first: tuple[str, str, bytes] | None = None) -> bytes:
+    """One ARC record as WARC: a response, or a revisit of the record (url, ARC date, HTTP head) ``first``."""
     http = r.body.startswith(b"HTTP/")
     head, sep, payload = r.body.partition(b"\r\n\r\n") if http else (b"", b"", r.body)
     own = digest(payload)
     kind = ("revisit" if first else "response") if http else "resource"
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(r.url, r.date, own)), ("WARC-Date", warc_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", f"sha1:{own}")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(r.url, r.date, own, head)), ("WARC-Date", warc_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", f"sha1:{own}")]
     block = head + sep if first else r.body
     if first:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(*first, own)), ("WARC-Refers-To-Target-URI", first[0]), ("WARC-Refers-To-Date", warc_date(first[1]))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first[0], first[1], own, first[2])), ("WARC-Refers-To-Target-URI", first[0]), ("WARC-Refers-To-Date", warc_date(first[1]))]
     fields += [("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response" if http else r.mime)]
     return warc_record(fields, block)
 
@@ -145,19 +145,23 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def arc_date(page_id: int | None) -> str:
     """Pages carry no date; theirs is as many seconds after a fixed one as their id says."""
-    return (_EPOCH + timedelta(seconds=(page_id or 0) % 1_000_000_000)).strftime("%Y%m%d%H%M%S")
+    return (_EPOCH + timedelta(seconds=(page_id or 0) % 250_000_000_000)).strftime("%Y%m%d%H%M%S")
+
+
+def page_head(page_id: int | None, n: int) -> bytes:
+    """The HTTP head, without the empty line, of a page with a payload of ``n`` bytes. It makes the page's record id its own."""
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\nX-Page-Id: {'' if page_id is None else page_id}".encode()
 
 
 def page_record(page_id: int | None, url: str | None, html: str | None) -> ArcRecord:
     payload = (html or "").encode("utf-8", "surrogatepass")
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n"
-    return ArcRecord(_word(url or ""), "0.0.0.0", arc_date(page_id), "text/html", head.encode() + payload)
+    return ArcRecord(_word(url or ""), "0.0.0.0", arc_date(page_id), "text/html", page_head(page_id, len(payload)) + b"\r\n\r\n" + payload)
 
 
 def _archives(segment_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        held: list[tuple[ArcRecord, tuple[str, str] | None]] = []
+        held: list[tuple[ArcRecord, tuple[str, str, bytes] | None]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -174,7 +178,8 @@ def _archives(segment_bytes: int):
             for page, url, html, lead, lead_url in zip(*[b.column(i) for i in range(5)]):
                 p, first = page.as_py(), lead.as_py()
                 r = page_record(p, url.as_py(), html.as_py())
-                held.append((r, None if first is None or first == p else (_word(lead_url.as_py() or ""), arc_date(first))))
+                n = len(r.body) - r.body.index(b"\r\n\r\n") - 4
+                held.append((r, None if first is None or first == p else (_word(lead_url.as_py() or ""), arc_date(first), page_head(first, n))))
                 size += len(r.body)
                 if size >= segment_bytes:
                     yield flush()
@@ -222,11 +227,24 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Records of WARC archives; a revisit's page is found through the id it refers to."""
-    ship(archives.sparkSession)
+    """Records of WARC archives; a revisit's page is found through the id it refers to.
+
+    Responses refer to nothing and take no part in the join. A revisit whose
+    response is in none of the archives has a null ``refers_to``.
+    """
+    spark = archives.sparkSession
+    ship(spark)
     rows = archives.select("data").mapInArrow(_records, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string")
-    aims = rows.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers")
-    return rows.join(aims, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    space = Workspace(spark, "records")
+    rows = space.put(rows, "rows")
+    own = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    revisits = rows.where("record_type = 'revisit'")
+    # One row for each record that is revisited, however often.
+    asked = revisits.groupBy("refers").agg(F.count("*").alias("times"))
+    aims = rows.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers"), "page_id")
+    aims = space.put(aims.join(asked, "refers").groupBy("refers").agg(F.max("page_id").alias("refers_to")), "aims")
+    found = pick(revisits, aims, ["refers"], "left").select(*own, "refers_to")
+    return rows.where("record_type <> 'revisit'").select(*own, F.lit(None).cast("long").alias("refers_to")).unionByName(found)
 
 
 def op8_arc_warc(spark, sf_dir):

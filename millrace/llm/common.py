@@ -35,9 +35,10 @@ def ship(spark: SparkSession) -> None:
 class Workspace:
     """A fresh folder below ``spark.checkpoint.dir`` for tables that cut lineage.
 
-    The setting is read from the session; only where it is unset (tests, local
-    use) a temporary folder is made. The JVM removes the folder at its exit, and
-    ``drop`` removes one table as soon as nothing reads it.
+    The setting is read from the session; where it is unset, a temporary folder
+    is made if the whole of Spark is this one process, and else ValueError is
+    raised: no executor would see another's files. The JVM removes the folder at
+    its exit, and ``drop`` removes one table as soon as nothing reads it.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
@@ -45,6 +46,8 @@ class Workspace:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             sc = spark.sparkContext
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             if not getattr(sc, "_millrace_local", None):
                 sc._millrace_local = tempfile.mkdtemp(prefix="millrace")
             base = sc._millrace_local

@@ -25,12 +25,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import Workspace, ship, table
 from .words import U64, Words, constants, slices, text_buffer
 
 WIDTH, HASHES, TENTHS = 5, 64, 8
-#: Bytes of items that are searched for in one pass over the documents.
-BLOCK_BYTES = 16 << 20
+#: Bytes of an index of items, about: they are searched for in one pass over the documents.
+INDEX_BYTES = 48 << 20
+#: What an index takes for each item (minima and places by hash function) and for each byte of its text (the byte, word places, hashes).
+ITEM_BYTES, TEXT_BYTES = 12 * HASHES + 128, 8
 
 
 def _tokens(words: Words, i: int) -> list[bytes]:
@@ -43,38 +45,66 @@ def _exact(tokens: list[bytes], width: int) -> set[tuple[bytes, ...]]:
 
 
 class Index:
-    """The items of one block: exact shingles, their hashes, and MinHash tables by class."""
+    """The items of one block: their words, shingle hashes, and MinHash tables by class.
+
+    Words and hashes of all items lie in a few arrays; an item's exact shingles
+    are made when a candidate is verified.
+    """
 
     def __init__(self, ids: list, texts: list[str | None], width: int = WIDTH, hashes: int = HASHES) -> None:
         words = Words(*text_buffer(pa.array(texts, pa.string())), punct=True)
         wh = words.hashes()
         self.mult = constants(hashes, 500)
-        self.ids, self.exact, self.hashes, self.widths = [], [], [], []
-        for i, n in enumerate(words.counts.tolist()):
-            if not n:
-                continue
-            tokens = _tokens(words, i)
-            k = min(width, n)
-            one = Words(*text_buffer(pa.array([texts[i]], pa.string())), punct=True)
-            self.ids.append(ids[i])
-            self.exact.append(_exact(tokens, k))
-            self.hashes.append(np.unique(one.runs(wh[words.first[i] : words.first[i + 1]], k)[0]))
-            self.widths.append(k)
+        own = np.flatnonzero(words.counts)
+        self.ids = [ids[i] for i in own.tolist()]
+        self.widths = np.minimum(width, words.counts[own]).astype(np.int8)
+        self.raw = words.folded
+        self.starts, self.ends = words.starts.astype(np.uint32), words.ends.astype(np.uint32)
+        self.words = np.append(words.first[:-1][own], words.first[-1]).astype(np.int64)
+        parts = []
+        of = words.of()
+        for k in np.unique(self.widths).tolist():
+            h, at = words.runs(wh, k)
+            item = np.searchsorted(own, of[at])
+            fits = self.widths[item] == k
+            parts.append((item[fits], h[fits]))
+        item, h = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64 if i == 0 else U64) for i in (0, 1))
+        order = np.lexsort((h, item))
+        item, h = item[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (item[1:] != item[:-1]) | (h[1:] != h[:-1])
+        self.hashes, self.bounds = h[new], np.searchsorted(item[new], np.arange(len(own) + 1))
         #: {shingle width: {class: [(sorted minima, items, filter) by hash function]}}
         self.tables: dict[int, dict[int, list]] = {}
+        if not len(own):
+            return
+        size = np.diff(self.bounds)
+        classes = 1 << np.ceil(np.log2(size)).astype(np.int64)
+        #: A filter of the low bits of the minima, with room for the items.
+        self.mask = U64((1 << min(16, max(8, int(len(own)).bit_length() + 4))) - 1)
         groups: dict[tuple[int, int], list[int]] = {}
-        for i, (h, k) in enumerate(zip(self.hashes, self.widths)):
-            groups.setdefault((k, 1 << (len(h) - 1).bit_length()), []).append(i)
-        for (k, u), members in sorted(groups.items()):
-            own = np.array(members)
-            rows = []
-            for m in self.mult:
-                low = np.array([(self.hashes[i] * m).min() for i in members], U64)
-                order = np.argsort(low, kind="stable")
-                seen = np.zeros(1 << 16, bool)
-                seen[(low & U64(0xFFFF)).astype(np.int64)] = True
-                rows.append((low[order], own[order], seen))
-            self.tables.setdefault(k, {})[u] = rows
+        for i, key in enumerate(zip(self.widths.tolist(), classes.tolist())):
+            groups.setdefault(key, []).append(i)
+        rows: dict[tuple[int, int], list] = {key: [] for key in groups}
+        for m in self.mult:
+            low = np.minimum.reduceat(self.hashes * m, self.bounds[:-1])
+            for key, members in groups.items():
+                mine = np.array(members, np.int32)
+                order = np.argsort(low[mine], kind="stable")
+                seen = np.zeros(int(self.mask) + 1, bool)
+                seen[(low[mine] & self.mask).astype(np.int64)] = True
+                rows[key].append((low[mine][order], mine[order], seen))
+        for k, u in sorted(rows):
+            self.tables.setdefault(k, {})[u] = rows[k, u]
+
+    def exact(self, j: int) -> set[tuple[bytes, ...]]:
+        """The shingles of item ``j``."""
+        a, b = self.words[j], self.words[j] + self._count(j)
+        tokens = [self.raw[s:e].tobytes() for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())]
+        return _exact(tokens, int(self.widths[j]))
+
+    def _count(self, j: int) -> int:
+        return int(self.words[j + 1] - self.words[j])
 
     def candidates(self, hashes: np.ndarray, bounds: np.ndarray, tables: dict[int, list]) -> set[tuple[int, int]]:
         """(text, item) pairs with an agreeing minimum; ``bounds`` are the texts' shingle offsets."""
@@ -103,7 +133,7 @@ class Index:
                 same = text[:-1] == text[1:]
                 block[:-1][same] = np.minimum(low[:-1][same], low[1:][same])
                 minima, items, seen = tables[u][f]
-                at = np.flatnonzero(seen[(block & U64(0xFFFF)).astype(np.int64)])
+                at = np.flatnonzero(seen[(block & self.mask).astype(np.int64)])
                 if len(at):
                     v = block[at]
                     a, b = np.searchsorted(minima, v, "left"), np.searchsorted(minima, v, "right")
@@ -127,32 +157,44 @@ class Index:
                 for d, items in sorted(found.items()):
                     own, have = h[bounds[d] : bounds[d + 1]], None
                     for j in sorted(items):
-                        q = len(self.exact[j])
-                        if 10 * int(np.isin(self.hashes[j], own).sum()) < tenths * q:
+                        asked = self.hashes[self.bounds[j] : self.bounds[j + 1]]
+                        if 10 * int(np.isin(asked, own).sum()) < tenths * len(asked):
                             continue
                         have = _exact(_tokens(words, d), k) if have is None else have
-                        shared = len(self.exact[j] & have)
+                        mine = self.exact(j)
+                        q, shared = len(mine), len(mine & have)
                         if 10 * shared >= tenths * q:
                             yield i + d, j, q, shared
 
 
-def _indexes(items: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
-    """Broadcast indexes of the items, block by block."""
+def _indexes(items: DataFrame, index_bytes: int) -> tuple[int, Iterator[Broadcast]]:
+    """How many indexes the items take, and these, broadcast one by one."""
     spark = items.sparkSession
     ship(spark)
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        got = block.collect()
-        yield spark.sparkContext.broadcast(Index([r.item_id for r in got], [r.text for r in got]))
+    total = asked.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) * TEXT_BYTES + ITEM_BYTES)).first()[0] or 0
+    blocks = max(1, -(-total // index_bytes))
+
+    def built() -> Iterator[Broadcast]:
+        for b in range(blocks):
+            block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+            got = block.collect()
+            yield spark.sparkContext.broadcast(Index([r.item_id for r in got], [r.text for r in got]))
 
+    return blocks, built()
 
-def without_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text contains no item (see ``find_items``)."""
+
+def without_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text contains no item (see ``find_items``).
+
+    With several blocks of items, the rows are written after each, so that one
+    index at a time is in memory. Null texts, repeated rows and extra columns of
+    any name stay; an empty table stays empty.
+    """
     at = docs.columns.index("text")
-    for index in _indexes(items, block_bytes):
+    blocks, indexes = _indexes(items, index_bytes)
+    space = Workspace(docs.sparkSession, "clean") if blocks > 1 else None
+    for b, index in enumerate(indexes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -161,10 +203,15 @@ def without_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, block
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if space:
+            docs = space.put(docs, f"after-{b}")
+            index.destroy()
+            if b:
+                space.drop(f"after-{b - 1}")
     return docs
 
 
-def find_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Documents that contain a test item: doc_id, item_id, n_item, n_shared.
 
     Words are runs of ASCII letters, digits and non-ASCII characters with A-Z
@@ -172,15 +219,17 @@ def find_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, block_by
     its words, if fewer). A row says that ``n_shared`` of the item's ``n_item``
     shingles, at least tenths/10 of them, are in the document.
 
-    The items are the query set: they are searched for in blocks of about
-    ``block_bytes``, one pass over the documents each, so what is broadcast is
-    bounded however many there are. Items and texts without words match nothing;
-    null ids stay null; repeated rows give rows of their own. Extra columns are
-    ignored; empty tables give an empty result.
+    The items are the query set: they are searched for in blocks whose index
+    takes about ``index_bytes``, one pass over the documents each, so what is
+    broadcast is bounded however many there are. Items and texts without words
+    match nothing; null ids stay null; repeated rows give rows of their own.
+    Extra columns are ignored; empty tables give an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks, indexes = _indexes(items, index_bytes)
+    space = Workspace(docs.sparkSession, "found") if blocks > 1 else None
     out = None
-    for index in _indexes(items, block_bytes):
+    for b, index in enumerate(indexes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -193,6 +242,9 @@ def find_items(docs: DataFrame, items: DataFrame, tenths: int = TENTHS, block_by
                 )
 
         part = rows.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
+        if space:
+            part = space.put(part, f"items-{b}")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 

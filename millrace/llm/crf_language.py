@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, table
@@ -30,6 +30,8 @@ from .words import U64, Words, slices, text_buffer, trim_memory
 FEATURES = 1 << 16
 #: Bounds of the training sample: rows in all, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 6000
+#: Most labels that a model learns: the most frequent ones.
+LABELS = 128
 FOLDS = 5
 _CHUNK = 32
 
@@ -101,9 +103,14 @@ def _grid(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Label probabilities of each word; ``emit`` (words, labels) scores, ``first`` offsets by text."""
+    return forward_backward(emit, first, trans, start)[0]
+
+
+def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label probabilities, forward vectors up to a factor) of each word."""
     total, k = emit.shape
     if not total:
-        return np.empty((0, k))
+        return np.empty((0, k)), np.empty((0, k))
     lengths = np.diff(first)
     texts = np.flatnonzero(lengths)
     lengths, begin = lengths[texts], first[:-1][texts]
@@ -161,9 +168,9 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.
         b = np.where(live, scaled((grid[:, j] * b) @ t.T, (1,)), b)
     flat = out[inside]
     flat /= flat.sum(1, keepdims=True)
-    res = np.empty((total, k))
-    res[pos[inside]] = flat
-    return res
+    res, ahead = np.empty((total, k)), np.empty((total, k))
+    res[pos[inside]], ahead[pos[inside]] = flat, forward[inside]
+    return res, ahead
 
 
 class Model:
@@ -275,7 +282,7 @@ def train(rows: list[tuple[str, str]], sequences: int = 2400, length: int = 40,
             s, size, y, bounds = np.concatenate(slots), np.concatenate(sizes), np.concatenate(gold), np.array(first)
             word_at = np.cumsum(size) - size
             emit = np.add.reduceat(model.weights[s], word_at, axis=0).astype(np.float64)
-            p = marginals(emit, bounds, model.trans, model.start)
+            p, ahead = forward_backward(emit, bounds, model.trans, model.start)
             err = -p
             err[np.arange(len(y)), y] += 1.0
             touched, inverse = np.unique(s, return_inverse=True)
@@ -284,11 +291,10 @@ def train(rows: list[tuple[str, str]], sequences: int = 2400, length: int = 40,
             grad -= 1e-5 * model.weights[touched]
             seen_w[touched] += grad**2
             model.weights[touched] += (rate * grad / np.sqrt(seen_w[touched])).astype(np.float32)
-            # Expected transitions: pairwise marginals from the neighbours' vectors.
             inner = np.ones(len(y), bool)
             inner[bounds[:-1]] = False
             right = np.flatnonzero(inner)
-            pair = _pairs(emit, p, right, model.trans)
+            pair = transitions(p, ahead, right, model.trans)
             real = np.zeros((k, k))
             np.add.at(real, (y[right - 1], y[right]), 1.0)
             g = (real - pair) / batch
@@ -301,44 +307,48 @@ def train(rows: list[tuple[str, str]], sequences: int = 2400, length: int = 40,
     return model
 
 
-def _pairs(emit: np.ndarray, p: np.ndarray, right: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Expected transitions, each pair's joint fitted to the marginals of its two words.
+def transitions(p: np.ndarray, ahead: np.ndarray, right: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Expected transitions into the words ``right``, by forward-backward.
 
-    The joint of neighbours is proportional to left * transition * right with
-    vectors that make its margins the words' marginals; a few rounds of
-    proportional fitting find it.
+    A pair's joint is forward(left) * transition * emission(right) *
+    backward(right), and a word's probability is (forward(left) @ transition) *
+    emission * backward: so the last two come from the probabilities.
     """
-    a, b = p[right - 1], p[right]
-    joint = np.broadcast_to(np.exp(trans - trans.max()), (len(right), *trans.shape)).copy()
-    for _ in range(12):
-        joint *= (a / np.maximum(joint.sum(2), 1e-300))[:, :, None]
-        joint *= (b / np.maximum(joint.sum(1), 1e-300))[:, None, :]
-    return joint.sum(0)
+    a, t = ahead[right - 1], np.exp(trans - trans.max())
+    rest = p[right] / np.maximum(a @ t, 1e-300)
+    return t * (a.T @ rest)
 
 
 def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, labels: int = LABELS) -> list[tuple[str, str]]:
     """A bounded sample of the labelled documents outside the held-out fold; none gives an empty list.
 
-    Equally many documents of each language, ``rows`` in all at most, chosen by
-    a hash of their id; of a longer text one stretch of ``chars`` characters at
-    a place that the hash gives.
+    Of the ``labels`` most frequent languages (ties by name) equally many
+    documents each, ``rows`` in all at most, chosen by a hash of their id; of a
+    longer text one stretch of ``chars`` characters at a place that the hash
+    gives. Rows that repeat a document and its label count once.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where((fold("doc_id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = known.groupBy("lang").agg(F.count("*").alias("rows"))
-    each = max(1, rows // max(1, langs.count()))
-    # A hash threshold leaves about twice the sample, however many rows there are; its first rows are taken.
-    marked = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("train")).alias("h")).join(langs, "lang")
-    few = marked.where(F.col("h") / 2.0**64 + 0.5 < 2.0 * each / F.col("rows")).select("doc_id", "lang", "h").distinct()
-    pick = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = few.withColumn("nth", pick).where(F.col("nth") <= each).select("doc_id", "lang", "h")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.where((fold("doc_id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", F.lit("train")))
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(min(labels, rows)).collect()
+    if not counts:
+        return []
+    each = max(1, rows // len(counts))
+    # A hash threshold for each language, before any exchange, leaves about twice the sample however many rows there are.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, 2.0 * each / r.rows)])
+    few = known.where(F.col("h") / 2.0**64 + 0.5 < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "h", "doc_id").distinct().collect()
+    taken: dict[str, list[int]] = {}
+    for lang, _, doc_id in sorted(few):
+        if len(taken.setdefault(lang, [])) < each:
+            taken[lang].append(doc_id)
+    ids = docs.sparkSession.createDataFrame([(d, y) for y, ds in taken.items() for d in ds], "doc_id long, lang string")
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("text") - chars + 1)).cast("int") + 1
-    # ``ids`` holds at most ``rows`` rows (or one for each language).
-    got = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.substr("text", at, F.lit(chars)).alias("text")).collect()
-    return [(r.lang, r.text) for r in got]
+    # ``ids`` holds at most ``rows`` rows.
+    got = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.substr("text", at, F.lit(chars)).alias("text"))
+    return [(r.lang, r.text) for r in got.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

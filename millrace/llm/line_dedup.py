@@ -3,10 +3,11 @@
 Keys of long lines become 128-bit hashes with their document and place. They
 are range-partitioned by (hash, document), so a line that a third of the
 documents holds is dealt to many tasks, and sorted by hash, document downwards
-and place. One pass over each sorted run sees a key's largest document first;
-the lines of the others are dropped once enough documents hold the key. Only
-the first and last key of a run may go on in a neighbour: their rows wait for
-the sum of the (at most two a run) counts of such keys.
+and place. One pass streams each sorted run and sees a key's largest document
+first; the lines of the others are dropped once enough documents hold the key.
+Only the first and last key of a run may go on in a neighbour: the first key's
+rows, and the last one's while too few documents hold it, wait for the sum of
+the (at most two a run) counts of such keys.
 """
 
 from __future__ import annotations
@@ -58,34 +59,88 @@ def _lines(least: int):
     return run
 
 
+class _Open:
+    """A run's key that may go on: how many documents hold it so far, and the rows that wait for more."""
+
+    def __init__(self, key: tuple[int, int], top: int, first: bool) -> None:
+        self.key, self.top, self.last, self.first, self.docs = key, top, top, first, 0
+        self.waiting: list[list[np.ndarray]] = []
+
+    def end(self) -> list[np.ndarray]:
+        return [np.array([x], np.int64) for x in (*self.key, self.top, 0, 0)]
+
+
 def _drops(least_docs: int):
-    """Rows of one sorted run -> dropped rows (kind 0), waiting rows (1), open keys (2)."""
+    """Rows of one sorted run -> dropped rows (kind 0), waiting rows (1), open keys (2).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+    Batches stream through: between them only the open key is held, with the
+    rows of fewer than ``least_docs`` documents. The largest document of a key
+    comes first, so once enough hold the key its other rows go at once.
+    """
+
+    def rows(kind: int, part: list[np.ndarray], docs: int = 0) -> pa.RecordBatch:
+        n = len(part[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(x) for x in part], pa.array(np.full(n, docs, np.int64))], ["kind", "h1", "h2", "d", "th", "place", "docs"])
+
+    def grow(key: _Open, part: list[np.ndarray], docs: int) -> Iterator[pa.RecordBatch]:
+        """The next rows of the open key, ``docs`` of whose documents are new."""
+        key.docs += docs
+        key.last = int(part[2][-1])
+        if key.first:
+            yield rows(1, part)
             return
-        h1, h2, d, th, place = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(5))
-        n = len(h1)
-        new = np.ones(n, bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        other = new.copy()
-        other[1:] |= d[1:] != d[:-1]
-        docs = np.add.reduceat(other.astype(np.int64), first)
-        kept = d[first]
-        waits = (group == 0) | (group == group[-1])
-        drop = ~waits & (docs[group] >= least_docs) & (d != kept[group])
-
-        def rows(kind: int, at: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *[pa.array(x[at]) for x in (h1, h2, d, th, place)], pa.array(count)], ["kind", "h1", "h2", "d", "th", "place", "docs"])
-
-        none = np.zeros(n, np.int64)
-        yield rows(0, np.flatnonzero(drop), none[: int(drop.sum())])
-        yield rows(1, np.flatnonzero(waits), none[: int(waits.sum())])
-        ends = np.unique([0, len(first) - 1])
-        yield rows(2, first[ends], docs[ends])
+        rest = [x[part[2] != key.top] for x in part]
+        key.waiting.append(rest)
+        if key.docs >= least_docs:
+            for held in key.waiting:
+                if len(held[0]):
+                    yield rows(0, held)
+            key.waiting = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: _Open | None = None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            cols = [b.column(i).to_numpy() for i in range(5)]
+            h1, h2, d = cols[:3]
+            new, other = np.ones(n, bool), np.ones(n, bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            other[1:] = new[1:] | (d[1:] != d[:-1])
+            if key and key.key == (int(h1[0]), int(h2[0])):
+                new[0], other[0] = False, key.last != d[0]
+            first = np.flatnonzero(new)
+            head = int(first[0]) if len(first) else n
+            if head:  # goes on from the batch before
+                yield from grow(key, [c[:head] for c in cols], int(other[:head].sum()))
+            if not len(first):
+                continue
+            if key and key.first:
+                yield rows(2, key.end(), key.docs)
+            start = 0
+            if key is None:  # the run's first key may have begun in the run before
+                key, start = _Open((int(h1[0]), int(h2[0])), int(d[0]), True), 1
+                end = int(first[1]) if len(first) > 1 else n
+                yield from grow(key, [c[:end] for c in cols], int(other[:end].sum()))
+                if len(first) == 1:
+                    continue
+                yield rows(2, key.end(), key.docs)
+            if start < len(first) - 1:  # keys that begin and end here
+                a, z = int(first[start]), int(first[-1])
+                bounds = first[start:-1] - a
+                docs = np.add.reduceat(other[a:z].astype(np.int64), bounds)
+                size = np.diff(np.append(bounds, z - a))
+                gone = np.flatnonzero(np.repeat(docs >= least_docs, size) & (d[a:z] != np.repeat(d[a + bounds], size))) + a
+                if len(gone):
+                    yield rows(0, [c[gone] for c in cols])
+            a = int(first[-1])
+            key = _Open((int(h1[a]), int(h2[a])), int(d[a]), False)
+            yield from grow(key, [c[a:] for c in cols], int(other[a:].sum()))
+        if key:  # may go on in the next run
+            for held in key.waiting:
+                yield rows(1, held)
+            yield rows(2, key.end(), key.docs)
 
     return run
 
@@ -165,7 +220,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    maps = line_bitmaps(docs).where("n_dropped > 0").select("d", "th", "n_dropped", "keep").hint("shuffle_hash")
+    maps = line_bitmaps(docs).where("n_dropped > 0").select("d", "th", "n_dropped", "keep")
     joined = _keyed(docs).join(maps, ["d", "th"], "left").select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), "text", "keep")
     return joined.mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 

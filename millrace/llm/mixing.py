@@ -3,10 +3,11 @@
 Every document gets a hash-random key. Within its source, documents are sorted
 by that key, and a prefix sum of their word counts is cut at the source's exact
 budget. The prefix sum is distributed: the key space of each source is cut into
-``16 ** digits`` equal ranges (the keys are uniform, so ranges of keys hold
-nearly equal shares, and a source with a third of all rows is dealt to as many
-tasks as any other rows). A range's total is a pre-aggregated sum, and the
-offset of a range is a running sum over the few totals.
+equal ranges, as many as ``SPAN_ROWS`` and the number of rows ask for (the keys
+are uniform, so ranges of keys hold nearly equal shares, and a source with a
+third of all rows is dealt to as many tasks as any other rows). A range's total
+is a pre-aggregated sum, and the offset of a range is a running sum over the few
+totals. The targets come from one row for each source.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import WORD, Workspace, as_text, table
 
 #: Weights in code-point order of the sources, repeating.
 WEIGHTS = (1, 2, 3)
+#: Rows of all sources together that a range of keys may hold, about.
+SPAN_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -58,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: str = "mix", digits: int = 3, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: str = "mix", digits: int | None = None, carry: bool = False) -> DataFrame:
     """What the mix takes of every document; with ``carry``, its whole row too, as ``row``.
 
     Returns doc_id, size (words), source_size, target, taken and copies. ``taken``
@@ -69,7 +72,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3,
     it is within the budget. ``taken`` never exceeds ``max_epochs`` sizes.
 
     Null texts count no words, a null source is a source of its own (the last),
-    a null doc_id is keyed like the text ``null`` and sorts first. Repeated rows
+    a null doc_id is keyed like the text ``null`` and sorts first. ``digits``, hex
+    digits of a range's name, follows from the rows if not given. Repeated rows
     are rows of their own; equal rows may swap their cuts. Columns other than
     doc_id, text and source are ignored. An empty table gives an empty result.
     """
@@ -78,6 +82,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3,
     carried = ["row"] if carry else []
     if not carry:  # read twice below: the texts are counted once, and a few bytes a row are written
         rows = Workspace(docs.sparkSession, "mix").put(rows, "rows")
+    if digits is None:
+        digits, total = 3, rows.count()
+        while 16**digits * SPAN_ROWS < total:
+            digits += 1
     rows = rows.withColumn("span", F.substring("key", 1, digits))
     spans = rows.groupBy("source", "span").agg(F.sum("size").alias("span_size"))
     sizes = spans.groupBy("source").agg(F.sum("span_size").alias("source_size"))

@@ -334,7 +334,10 @@ def without_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     left = pick(docs, gone, ["doc_id"], "left_anti")
     twice = space.put(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "twice")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    one = pick(left, twice, ["doc_id"], "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    name = "nth"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    one = pick(left, twice, ["doc_id"], "left_semi").withColumn(name, nth).where(F.col(name) == 1).drop(name)
     return pick(left, twice, ["doc_id"], "left_anti").unionByName(one)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, ship, shuffle_parts, table
-from .words import SLICE_BYTES, WORKER_CACHES, slices, span_hashes
+from .words import WORKER_CACHES, slices, span_hashes
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 0.9, 1 << 18
 END_ID = 0
@@ -262,15 +262,7 @@ class Encoder:
             starts = starts[~odd[of] | (starts == off[of])]
         first = np.searchsorted(starts, off)
         ends = np.append(starts[1:], len(raw))
-        keys = [np.empty(0, np.uint64)]
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES)))
-            at = starts[i]
-            part = raw[at : ends[j - 1]]
-            keys.append(span_hashes(part, starts[i:j] - at, ends[i:j] - at))
-            i = j
-        key = np.concatenate(keys)
+        key = span_hashes(raw, starts, ends)
         _, where, which = np.unique(key, return_index=True, return_inverse=True)
         # Words of one hash must also agree in length and byte sum; if ever two differ, each place is its own word.
         second = np.add.reduceat(raw, starts, dtype=np.int64) * (1 << 32) + (ends - starts)

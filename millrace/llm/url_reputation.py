@@ -58,9 +58,16 @@ def _tail(host: Column, labels: int) -> Column:
 
 
 def host_ladder(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
-    """Suffix and registered domain of a host; a short host is both itself."""
-    wide = _tail(host, 2).isin(*suffixes)
-    return F.when(wide, _tail(host, 2)).otherwise(_tail(host, 1)), F.when(wide, _tail(host, 3)).otherwise(_tail(host, 2))
+    """Suffix and registered domain of a host; a short host is both itself.
+
+    A user name before ``@``, a port and dots at the end are left out. An
+    address (four numbers, or in brackets) is its own suffix and domain.
+    """
+    name = F.rtrim(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", ""), F.lit("."))
+    address = name.rlike(r"^(\[|[0-9]{1,3}(\.[0-9]{1,3}){3}$)")
+    wide = _tail(name, 2).isin(*suffixes)
+    suffix = F.when(address, name).when(wide, _tail(name, 2)).otherwise(_tail(name, 1))
+    return suffix, F.when(address, name).when(wide, _tail(name, 3)).otherwise(_tail(name, 2))
 
 
 def prior_weight(units: DataFrame) -> float:
@@ -89,6 +96,12 @@ def _posterior(units: DataFrame, *keys: str) -> DataFrame:
     return units.select(*keys, ((F.col("good") + weight * F.col("mean")) / (F.col("n") + weight)).alias("mean"), (F.col("n") + weight).alias("known"))
 
 
+def _below(units: DataFrame, parents: DataFrame, *keys: str) -> DataFrame:
+    """``units`` with what their parents pass down; a null key is a key of its own."""
+    fits = [F.col(f"u.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    return units.alias("u").join(parents.alias("p"), fits).select("u.*", "p.mean", "p.known")
+
+
 def reputation(hosts: DataFrame) -> DataFrame:
     """Posterior of each of ``hosts(host, suffix, domain, n, good)``, a written table.
 
@@ -103,17 +116,18 @@ def reputation(hosts: DataFrame) -> DataFrame:
     domains = hosts.groupBy("suffix", "domain").agg(*counts)
     suffixes = domains.groupBy("suffix").agg(*counts).withColumns({"mean": F.lit(rate), "known": F.lit(known)})
     down = _posterior(suffixes, "suffix")
-    down = _posterior(domains.join(down, "suffix"), "domain")
-    own = _posterior(hosts.join(down, "domain"), "host", "n", "good")
+    down = _posterior(_below(domains, down, "suffix"), "suffix", "domain")
+    own = _posterior(_below(hosts, down, "suffix", "domain"), "host", "n", "good")
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("known") + 1))
     return own.select("host", "n", "good", F.col("known").alias("post_n"), F.col("mean").alias("post_mean"), F.least(F.lit(1.0), F.col("mean") + Z * spread).alias("upper"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_good: float = LEAST_GOOD, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Verdict on every page url.
 
     ``outcomes(page_id, good)`` holds labelled pages: good 1 or 0; rows with a
-    null are ignored, and repeated rows count once each. Returns page_id, host,
+    null are ignored, and repeated rows count once each. ``suffixes`` are the
+    public suffixes of two labels under which names are registered. Returns page_id, host,
     path, rule, verdict, labelled (pages of the host), post_mean and upper. A
     null url, or one without ``://``, has an empty host and path; empty hosts
     share one reputation. Null page_ids have no label. Extra columns are ignored.
@@ -123,7 +137,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
     known = outcomes.select(F.col("page_id"), F.col("good").cast("long").alias("good")).dropna()
     labelled = parts.select("page_id", "host").join(known, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     hosts = parts.groupBy("host").agg(F.count("*").alias("pages")).join(labelled, "host", "left").fillna(0, ["n", "good"])
-    suffix, domain = host_ladder(F.col("host"))
+    suffix, domain = host_ladder(F.col("host"), suffixes)
     hosts = Workspace(pages.sparkSession, "hosts").put(hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "good"), "hosts")
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("upper") < least_good, "block").otherwise("allow")
@@ -155,18 +169,20 @@ p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '(?s)^([^/?#]
              regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
 k AS (SELECT doc_id AS page_id, CASE WHEN coalesce(quality, 0) = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END AS good FROM labels WHERE doc_id IS NOT NULL),
 c AS (SELECT host, count(*) AS n, sum(good) AS good FROM p JOIN k USING (page_id) GROUP BY host),
-s AS (SELECT host, string_split(host, '.') AS parts, coalesce(n, 0)::DOUBLE AS n, coalesce(good, 0)::DOUBLE AS good FROM (SELECT DISTINCT host FROM p) LEFT JOIN c USING (host)),
-h AS (SELECT host, n, good, array_to_string(parts[-w:], '.') AS suffix, array_to_string(parts[-(w + 1):], '.') AS domain
+b AS (SELECT DISTINCT host, rtrim(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.') AS name FROM p),
+s AS (SELECT host, name, regexp_matches(name, '^(\[|[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$)') AS address, string_split(name, '.') AS parts,
+             coalesce(n, 0)::DOUBLE AS n, coalesce(good, 0)::DOUBLE AS good FROM b LEFT JOIN c USING (host)),
+h AS (SELECT host, n, good, CASE WHEN address THEN name ELSE array_to_string(parts[-w:], '.') END AS suffix, CASE WHEN address THEN name ELSE array_to_string(parts[-(w + 1):], '.') END AS domain
       FROM (SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN ({_TWO}) THEN 2 ELSE 1 END AS w FROM s)),
 rate AS (SELECT CASE WHEN sum(n) > 0 THEN sum(good) / sum(n) ELSE 1.0 END AS mean, coalesce(sum(n), 0) AS known FROM h),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM h GROUP BY 1, 2),
 l1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(mean) AS mean, any_value(known) AS known FROM d, rate GROUP BY 1),
 {_level("l1", "w1")},
 m1 AS (SELECT suffix, (good + w * mean) / (n + w) AS mean, n + w AS known FROM (SELECT *, greatest(2.0, least(weight, known)) AS w FROM l1, w1)),
-l2 AS (SELECT d.domain, d.n, d.good, m1.mean, m1.known FROM d JOIN m1 USING (suffix)),
+l2 AS (SELECT suffix, d.domain, d.n, d.good, m1.mean, m1.known FROM d JOIN m1 USING (suffix)),
 {_level("l2", "w2")},
-m2 AS (SELECT domain, (good + w * mean) / (n + w) AS mean, n + w AS known FROM (SELECT *, greatest(2.0, least(weight, known)) AS w FROM l2, w2)),
-l3 AS (SELECT h.host, h.n, h.good, m2.mean, m2.known FROM h JOIN m2 USING (domain)),
+m2 AS (SELECT suffix, domain, (good + w * mean) / (n + w) AS mean, n + w AS known FROM (SELECT *, greatest(2.0, least(weight, known)) AS w FROM l2, w2)),
+l3 AS (SELECT h.host, h.n, h.good, m2.mean, m2.known FROM h JOIN m2 USING (suffix, domain)),
 {_level("l3", "w3")},
 m3 AS (SELECT host, n, (good + w * mean) / (n + w) AS mean, n + w AS post_n FROM (SELECT *, greatest(2.0, least(weight, known)) AS w FROM l3, w3)),
 v AS (SELECT host, n::BIGINT AS labelled, CASE WHEN mean + 1.6448536269514722 * sqrt(mean * (1 - mean) / (post_n + 1)) < 0.5 THEN 'block' ELSE 'allow' END AS judged FROM m3),

@@ -100,7 +100,22 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hashes of byte spans; equal bytes give equal hashes wherever they stand."""
+    """Hashes of byte spans, in ascending order; equal bytes give equal hashes wherever they stand.
+
+    Long buffers are taken in stretches of about ``SLICE_BYTES`` (one longer span alone).
+    """
+    if len(raw) <= 2 * SLICE_BYTES or not len(starts):
+        return _span_hashes(raw, starts, ends, seed)
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + SLICE_BYTES, "right")))
+        out[i:j] = _span_hashes(raw[at : ends[j - 1]], starts[i:j] - at, ends[i:j] - at, seed)
+        i = j
+    return out
+
+
+def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     p = _POWERS[seed]
     n = len(raw)
     up, down = p.upto(n + 1)

@@ -27,6 +27,15 @@ def as_rows(df, *cols):
 # --- hashing ------------------------------------------------------------------
 
 
+def test_hashes_do_not_depend_on_the_stretch():
+    """Words of a buffer longer than a stretch, and a word longer than one."""
+    raw = ("ab c " * 700_000 + "x" * 1_200_000 + " tail ab").encode()
+    w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    h = w.hashes()
+    one = Words(*text_buffer(pa.array(["ab c tail"]))).hashes()
+    assert (h[:1_400_000:2] == one[0]).all() and (h[1:1_400_000:2] == one[1]).all() and (h[-2], h[-1]) == (one[2], one[0])
+
+
 def test_words_and_shingles_match_plain_python():
     texts = [t for _, t in ROWS]
     w = Words(*text_buffer(pa.array(texts, pa.string())))
@@ -65,6 +74,23 @@ def test_bad_hosts_are_blocked_and_little_known_ones_follow_their_domain(spark):
     assert out[300] == "block" and out[301] == "allow" and out[302] == "allow"
 
 
+def test_null_domains_and_suffixes_are_units(spark):
+    rows = [("a.com", "com", "a.com", 3.0, 1.0), ("x", None, None, 2.0, 2.0), ("y", "com", None, 1.0, 0.0), (None, None, "z", 0.0, 0.0)]
+    got = {r.host: r for r in url_reputation.reputation(spark.createDataFrame(rows, "host string, suffix string, domain string, n double, good double")).collect()}
+    assert set(got) == {"a.com", "x", "y", None} and all(0 <= r.post_mean <= r.upper <= 1 for r in got.values())
+
+
+def test_ports_users_and_addresses(spark):
+    hosts = {
+        "a.b.example.com:8080": ("com", "example.com"), "me:pw@x.co.uk": ("co.uk", "x.co.uk"), "10.1.2.3:80": ("10.1.2.3", "10.1.2.3"), "[::1]:8080": ("[::1]", "[::1]"),
+        "example.com.": ("com", "example.com"), "": ("", ""), "localhost": ("localhost", "localhost"), "1.2.3.4.com": ("com", "4.com"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    suffix, domain = url_reputation.host_ladder(F.col("host"))
+    assert {r.host: (r.s, r.d) for r in df.select("host", suffix.alias("s"), domain.alias("d")).collect()} == hosts
+    assert df.where("host like 'me%'").select(url_reputation.host_ladder(F.col("host"), ())[1]).first()[0] == "co.uk"
+
+
 def test_urls_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_reputation.filter_urls(pages, spark.createDataFrame([], "page_id long, good long")).count() == 0
@@ -90,7 +116,7 @@ def test_containment(spark):
                 if 10 * got >= 8 * len(s):
                     want[(doc, i, len(s), got)] += 1
     for block_bytes in (1 << 20, 60):
-        assert as_rows(containment.find_items(d, b, block_bytes=block_bytes), "doc_id", "item_id", "n_item", "n_shared") == want
+        assert as_rows(containment.find_items(d, b, index_bytes=block_bytes), "doc_id", "item_id", "n_item", "n_shared") == want
     kept = containment.without_items(d, b)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {2, 4}
     assert containment.find_items(d.limit(0), b).count() == 0 and containment.find_items(d, b.limit(0)).count() == 0
@@ -244,6 +270,29 @@ def test_marginals_match_all_paths():
         assert np.allclose(p / p.sum(1, keepdims=True), crf_language.marginals(e, np.array([0, n]), t, s))
 
 
+def test_expected_transitions_match_all_paths():
+    rng = np.random.default_rng(1)
+    k, first = 3, np.array([0, 4, 4, 5, 8])
+    emit, trans, start = rng.normal(size=(8, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    p, ahead = crf_language.forward_backward(emit, first, trans, start)
+    right = np.array([i for a, b in zip(first[:-1], first[1:]) for i in range(a + 1, b)])
+    want = np.zeros((k, k))
+    for a, b in zip(first[:-1], first[1:]):
+        paths = list(np.ndindex(*[k] * (b - a)))
+        score = [np.exp(start[y[0]] + sum(emit[a + i, v] for i, v in enumerate(y)) + sum(trans[u, v] for u, v in zip(y, y[1:]))) if y else 1.0 for y in paths]
+        for y, s in zip(paths, score):
+            for u, v in zip(y, y[1:]):
+                want[u, v] += s / sum(score)
+    assert np.allclose(crf_language.transitions(p, ahead, right, trans), want)
+
+
+def test_the_training_sample_is_bounded_and_even(spark):
+    rows = [(i, f"text {i}", "en" if i % 10 else f"l{i % 70}", "s") for i in range(1, 3001)] + [(7, "text 7", "en", "s")] * 500
+    got = crf_language.training_rows(spark.createDataFrame(rows, SCHEMA), rows=60, labels=3)
+    count = Counter(y for y, _ in got)
+    assert len(count) == 3 and count["en"] == 20 and max(count.values()) <= 20 and len(set(got)) == len(got)
+
+
 def test_language_on_awkward_rows(spark):
     got = crf_language.identify(docs(spark)).collect()
     assert Counter(r.doc_id for r in got) == Counter(d for d, _ in ROWS)
@@ -327,6 +376,42 @@ def test_lines_on_awkward_rows(spark):
     assert line_bitmaps(docs(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_lines_stream_in_any_batches(seed):
+    """Sorted rows, cut anywhere into runs and batches, give what the whole gives."""
+    rng = random.Random(seed)
+    rows = sorted({(rng.choice([1, 2, 3, 9]), rng.choice([0, 5]), d, 0, p) for d in range(rng.choice([3, 30])) for p in range(rng.choice([1, 6])) if rng.random() < 0.6}, key=lambda r: (r[0], r[1], -r[2], r[4]))
+    held = {}
+    for r in rows:
+        held.setdefault(r[:2], set()).add(r[2])
+    want = Counter((r[2], r[4], r[:2]) for r in rows if len(held[r[:2]]) >= 5 and r[2] != max(held[r[:2]]))
+    cuts = [i for i in range(1, len(rows)) if rows[i][:3] != rows[i - 1][:3] and rng.random() < 0.2]  # equal keys and documents share a run
+    got, waits, open_keys = Counter(), [], {}
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        batches, at = [], a
+        while at < b:
+            n = rng.randint(1, 4)
+            part = rows[at : min(b, at + n)]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(5)], list("abcde")))
+            at += n
+        ends = 0
+        for out in line_dedup._drops(5)(iter(batches)):
+            for kind, h1, h2, d, _, place, n in zip(*[c.to_pylist() for c in out.columns]):
+                if kind == 0:
+                    got[(d, place, (h1, h2))] += 1
+                elif kind == 1:
+                    waits.append((d, place, (h1, h2)))
+                else:
+                    ends += 1
+                    docs_, top = open_keys.get((h1, h2), (0, d))
+                    open_keys[(h1, h2)] = (docs_ + n, max(top, d))
+        assert ends <= 2
+    for d, place, key in waits:
+        n, top = open_keys[key]
+        got[(d, place, key)] += n >= 5 and d != top
+    assert +got == want
+
+
 def test_a_line_in_many_runs(spark):
     rows = [(i, LINE + f"\nown {i}") for i in range(300)]
     got = line_dedup.line_bitmaps(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).collect()
@@ -352,13 +437,26 @@ def test_archives(spark, least):
     assert got == want
 
 
+def test_record_ids_are_the_pages_own(spark):
+    """Pages of one url and payload, whose dates are the same."""
+    far = 250_000_000_000
+    pages = spark.createDataFrame([(1, "http://a/", "x"), (1 + far, "http://a/", "x"), (1 + 2 * far, "http://a/", "y")], "page_id long, url string, html string")
+    space = Workspace(spark, "t")
+    names = []
+    for r in arc_warc.write_archives(pages, space).collect():
+        names += [f["warc-record-id"] for f, _ in arc_warc.read_warc(bytes(r.data)) if f["warc-type"] != "warcinfo"]
+    assert len(set(names)) == 3
+    got = {r.page_id: (r.record_type, r.refers_to) for r in arc_warc.read_archives(arc_warc.write_archives(pages, space, name="again")).collect()}
+    assert got == {1: ("revisit", 1 + far), 1 + far: ("response", None), 1 + 2 * far: ("response", None)}
+
+
 def test_arc_versions():
     r = arc_warc.ArcRecord("http://x/%20", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nbody\n\n")
     for version in (1, 2):
         assert list(arc_warc.read_arc(arc_warc.arc_bytes([r, r], "n.arc", version))) == [r, r]
     (fields, block), = arc_warc.read_warc(arc_warc.to_warc(r))
     assert fields["warc-date"] == "2001-02-03T04:05:06Z" and fields["warc-type"] == "response" and block == r.body
-    (fields, block), = arc_warc.read_warc(arc_warc.to_warc(r, ("http://y", "20010203040507")))
+    (fields, block), = arc_warc.read_warc(arc_warc.to_warc(r, ("http://y", "20010203040507", b"")))
     assert fields["warc-type"] == "revisit" and block.endswith(b"\r\n\r\n") and fields["warc-refers-to"] == arc_warc.record_id("http://y", "20010203040507", arc_warc.digest(b"body\n\n"))
     plain = arc_warc.ArcRecord("dns:x", "0.0.0.0", "2001", "text/dns", b"raw")
     assert next(arc_warc.read_warc(arc_warc.to_warc(plain)))[0]["warc-type"] == "resource"
