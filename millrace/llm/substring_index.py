@@ -5,21 +5,27 @@ nine five-word runs in it, so equal windows have equal fingerprints, and
 neighbouring windows mostly share theirs: the index holds about a fifth as many
 rows as there are windows.
 
-The index is a list of immutable runs. A run is a table bucketed and sorted by
-fingerprint, one row each, with the first and the last document that holds it.
-A new batch becomes a run of its own; it is merge-joined with every older run,
-bucket by bucket and without a shuffle, which says which of its fingerprints
-other documents hold. Once ``fanout`` runs are there they are compacted into one
-by merge joins, again without a shuffle.
-
-Shared fingerprints only nominate. The documents that hold one are read again,
-their windows with such fingerprints are hashed in full by a second family, and
-the smallest document of each whole window decides what is removed.
+The index is a folder of immutable runs, tables bucketed and sorted by their
+key, of three kinds: ``grams`` (fingerprint, first and last document that holds
+it), ``windows`` (128-bit hash of a whole window whose fingerprint several
+documents hold, first and last document) and ``texts`` (digest of a text, first
+document). A new batch becomes a run of each kind. It is merge-joined with the
+older runs, bucket by bucket and without a shuffle. Two runs of a level are
+compacted into one of the next, again by a merge join, so a row is rewritten
+once a level. A manifest names the runs; a later session opens the index by it
+and adds batches without reading the earlier documents, but those that turn out
+to be a fingerprint's only holder so far.
+
+Shared fingerprints only nominate. Their windows are hashed in full by two
+families, 64 bits each and both compared, and the smallest document of each
+whole window decides what is removed. A text that an earlier document has is
+found by its digest and isn't indexed, as all its windows are that one's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +38,9 @@ from .common import Workspace, pick, release, ship, shuffle_parts, table
 from .words import U64, Words, constants, mix64, slices
 
 WINDOW, GRAM = 13, 5
-BATCHES, FANOUT = 2, 2
+BATCHES = 2
+#: Runs of a level that become one of the next.
+FANOUT = 2
 NO_ID = -(1 << 63)
 
 
@@ -46,22 +54,23 @@ def _rolled(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
     return mix64(h)
 
 
-def windows(words: Words, window: int = WINDOW, gram: int = GRAM, full: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """(first word, fingerprint, full hash if asked for) of every window inside a text."""
+def windows(words: Words, window: int = WINDOW, gram: int = GRAM, full: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """(first word, fingerprint, full hashes by two families if asked for) of every window inside a text."""
     m = words.n - window + 1
     none = np.empty(0, U64)
     if m <= 0:
-        return np.empty(0, np.int64), none, none if full else None
+        return np.empty(0, np.int64), none, (none, none) if full else None
     of = words.of()
     at = np.flatnonzero(of[:m] == of[window - 1 :])
-    low = _rolled(words.hashes(0), gram, 0)
+    one = words.hashes(0)
+    low = _rolled(one, gram, 0)
     span, wide = 1, window - gram + 1
     while 2 * span <= wide:
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
     if span < wide:
         low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
-    return at, low[at], _rolled(words.hashes(1), window, 1)[at] if full else None
+    return at, low[at], (_rolled(words.hashes(1), window, 1)[at], _rolled(one, window, 2)[at]) if full else None
 
 
 def _fingerprints(window: int, gram: int):
@@ -84,31 +93,36 @@ def _fingerprints(window: int, gram: int):
 
 
 def _windows_of(window: int, gram: int):
-    """d, text, fps -> (w, d) of the distinct windows whose fingerprint is listed."""
+    """d, text, fps -> (w, v, d) of the distinct windows whose fingerprint is listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, listed = b.column(0).to_numpy(), b.column(2)
             for i, j, raw, off in slices(b.column(1)):
                 words = Words(raw, off, lower=False)
-                at, fp, w = windows(words, window, gram, True)
+                at, fp, (w, v) = windows(words, window, gram, True)
                 bounds = np.searchsorted(words.of()[at] if len(at) else at, np.arange(j - i + 1))
                 parts, docs = [], []
                 for d in range(j - i):
                     x, y = bounds[d], bounds[d + 1]
-                    # The 64 bits of the second family are completed by the fingerprint's, so both must agree.
-                    wanted = np.isin(fp[x:y], np.array(listed[i + d].as_py(), np.int64).view(U64))
-                    own = np.unique(mix64(w[x:y][wanted] ^ (fp[x:y][wanted] * U64(0x9E3779B97F4A7C15))))
-                    parts.append(own)
-                    docs.append(np.full(len(own), ids[i + d], np.int64))
+                    wanted = x + np.flatnonzero(np.isin(fp[x:y], listed[i + d].values.to_numpy().view(U64)))
+                    own = wanted[np.lexsort((v[wanted], w[wanted]))]
+                    new = np.ones(len(own), bool)
+                    new[1:] = (w[own[1:]] != w[own[:-1]]) | (v[own[1:]] != v[own[:-1]])
+                    parts.append(own[new])
+                    docs.append(np.full(int(new.sum()), ids[i + d], np.int64))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(docs))], ["w", "d"])
+                    own = np.concatenate(parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[own].view(np.int64)), pa.array(v[own].view(np.int64)), pa.array(np.concatenate(docs))], ["w", "v", "d"])
 
     return run
 
 
 def _cleaned(window: int, gram: int):
-    """d, text, gone (window hashes, or null) -> the document's result row."""
+    """d, text, gone (windows by one family, or null) -> the document's result row.
+
+    Both families were compared between documents; inside one document 64 bits tell its windows apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,13 +131,13 @@ def _cleaned(window: int, gram: int):
                 words = Words(raw, off, lower=False)
                 drop = np.zeros(words.n + 1, np.int64)
                 if gone.null_count < len(gone):
-                    at, fp, w = windows(words, window, gram, True)
+                    at, _, (w, _) = windows(words, window, gram, True)
                     bounds = np.searchsorted(words.of()[at] if len(at) else at, np.arange(j - i + 1))
                     for d in range(j - i):
                         listed = gone[i + d].as_py()
                         if listed:
                             x, y = bounds[d], bounds[d + 1]
-                            hit = at[x:y][np.isin(mix64(w[x:y] ^ (fp[x:y] * U64(0x9E3779B97F4A7C15))), np.array(listed, np.int64).view(U64))]
+                            hit = at[x:y][np.isin(w[x:y], np.array(listed, np.int64).view(U64))]
                             np.add.at(drop, hit, 1)
                             np.add.at(drop, hit + window, -1)
                 lost = np.cumsum(drop)[:-1] > 0
@@ -141,68 +155,173 @@ def _cleaned(window: int, gram: int):
     return run
 
 
+#: Of each kind of run: its key and its columns.
+KINDS = {"grams": (["fp"], "fp long, lo long, hi long"), "windows": (["w", "v"], "w long, v long, lo long, hi long"), "texts": (["sum"], "sum string, lo long, hi long")}
+
+
 class SubstringIndex:
-    """Fingerprint runs that grow batch by batch."""
+    """Runs in a folder that grow batch by batch, in one session or in many.
 
-    def __init__(self, spark: SparkSession, space: Workspace, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> None:
+    A folder with a manifest is opened as it is (its ``window``, ``gram`` and
+    buckets hold); else an empty index begins. The runs are tables of the
+    session's catalog only between opening and ``close``. One writer at a time:
+    a manifest that another has written meanwhile raises RuntimeError.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> None:
         ship(spark)
-        self.spark, self.space, self.window, self.gram, self.fanout = spark, space, window, gram, fanout
-        self.buckets = shuffle_parts(spark)
-        self.runs: list[str] = []
-        self.tag = uuid.uuid4().hex[:12]
-        self.made = 0
-
-    def _write(self, run: DataFrame) -> str:
-        """``run(fp, lo, hi)`` as a bucketed, sorted table in the shared folder."""
-        name = f"millrace_run_{self.tag}_{self.made}"
-        self.made += 1
-        run.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.space.path}/{name}").option("compression", "zstd").saveAsTable(name)
-        return name
-
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.space.drop(name)
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Index ``batch(d, text)``; returns the (fp, d) that its shared fingerprints nominate.
-
-        These are the batch's own holders and, for a fingerprint that was no
-        other's so far, its one holder in the history.
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+        self.window, self.gram, self.buckets = window, gram, shuffle_parts(spark)
+        #: The largest document indexed, the manifest's number, and how many rows compaction has written so far.
+        self.last: int | None = None
+        self.version, self.rewritten = 0, 0
+        self.runs: list[dict] = []
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._at(self.path))
+        self._open()
+
+    def __enter__(self) -> SubstringIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _open(self) -> None:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._at(self.path))]
+        known = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+        if not known:
+            return
+        text = self.spark.read.text(f"{self.path}/manifest-{known[-1]:08d}.json", wholetext=True).first()[0]
+        state = json.loads(text)
+        self.version = known[-1]
+        self.window, self.gram, self.buckets, self.last, self.rewritten, self.runs = (state[k] for k in ("window", "gram", "buckets", "last", "rewritten", "runs"))
+        for r in self.runs:
+            key = ", ".join(KINDS[r["kind"]][0])
+            self.spark.sql(f"CREATE TABLE {r['name']} ({KINDS[r['kind']][1].replace('long', 'bigint')}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{r['name']}'")
+
+    def _save(self, gone: list[dict]) -> None:
+        """The next manifest, by a rename; then the runs that it doesn't name go."""
+        state = {k: getattr(self, k) for k in ("window", "gram", "buckets", "last", "rewritten", "runs")}
+        draft, final = self._at(f"{self.path}/draft-{uuid.uuid4().hex}"), self._at(f"{self.path}/manifest-{self.version + 1:08d}.json")
+        out = self._fs.create(draft)
+        out.writeBytes(json.dumps(state))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError(f"another session has written {final.getName()}")
+        self._fs.delete(self._at(f"{self.path}/manifest-{self.version:08d}.json"), False)
+        self.version += 1
+        for r in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r['name']}")
+            self._fs.delete(self._at(f"{self.path}/{r['name']}"), True)
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalog; their files stay."""
+        for r in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r['name']}")
+
+    def _write(self, kind: str, rows: DataFrame, level: int = 0) -> dict:
+        """``rows`` as a run: a bucketed, sorted table in the index's folder."""
+        name, key = f"millrace_run_{uuid.uuid4().hex}", KINDS[kind][0]
+        rows.write.bucketBy(self.buckets, *key).sortBy(*key).option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        return {"kind": kind, "name": name, "level": level}
+
+    def _of(self, kind: str) -> list[dict]:
+        return [r for r in self.runs if r["kind"] == kind]
+
+    def _against(self, run: dict) -> DataFrame:
+        """The rows of a new run with the first and last document (``olo``, ``ohi``) of the older runs."""
+        kind, key = run["kind"], KINDS[run["kind"]][0]
+        both = self.spark.table(run["name"])
+        lows, highs = [], []
+        for i, old in enumerate(self._of(kind)):
+            both = both.join(self.spark.table(old["name"]).select(*key, F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")), key, "left")
+            lows.append(F.col(f"lo{i}")), highs.append(F.col(f"hi{i}"))
+        none = F.lit(None).cast("long")
+        least = F.least(*lows) if len(lows) > 1 else lows[0] if lows else none
+        most = F.greatest(*highs) if len(highs) > 1 else highs[0] if highs else none
+        return both.select(*key, "lo", "hi", least.alias("olo"), most.alias("ohi"))
+
+    def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """Index ``batch(d, text)`` and return its result rows (RESULT).
+
+        The batch's documents must be larger than all indexed ones, else
+        ValueError is raised; earlier ones are not judged again. ``history(d,
+        text)`` gives the indexed documents; of it only those are read that were
+        the one holder of a fingerprint which the batch has too.
         """
-        held = batch.select("d", "text").mapInArrow(_fingerprints(self.window, self.gram), "fp long, d long")
-        fresh = self._write(held.groupBy("fp").agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
-        new = self.spark.table(fresh)
-        shared = [new.where("lo < hi").select("fp")]
-        earlier = []
-        for run in self.runs:
-            both = new.select("fp", F.col("lo").alias("own")).join(self.spark.table(run), "fp")
-            shared.append(both.select("fp"))
-            earlier.append(both.where("lo = hi").select("fp", F.col("lo").alias("d")))
-        known = shared[0]
-        for s in shared[1:]:
-            known = known.unionByName(s)
-        shared_name = f"shared-{self.made}"
-        known = self.space.put(known.distinct(), shared_name)
-        found = held.join(known, "fp")
-        for e in earlier:
-            found = found.unionByName(e)
-        found = self.space.put(found, f"nominated-{self.made}")
-        self.space.drop(shared_name)
-        self.runs.append(fresh)
-        if len(self.runs) >= self.fanout:
-            self.compact()
-        return found
-
-    def compact(self) -> None:
-        """Merge all runs into one; their rows are merge-joined by bucket."""
-        merged = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            other = self.spark.table(run).select("fp", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-            merged = merged.join(other, "fp", "full").select("fp", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
-        whole = self._write(merged)
-        for run in self.runs:
-            self._drop(run)
-        self.runs = [whole]
+        ends = batch.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).first()
+        if self.last is not None and ends.lo is not None and ends.lo <= self.last:
+            raise ValueError(f"document {ends.lo} is not larger than {self.last}, which is indexed")
+        space = Workspace(self.spark, "substrings")
+        batch = batch.select("d", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("sum"), "text")
+        fresh: list[dict] = []
+
+        # Texts that an earlier document has.
+        sums = batch.select("d", "sum")
+        held_by = self._write("texts", sums.groupBy("sum").agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
+        fresh.append(held_by)
+        first = self._against(held_by).select("sum", F.least("lo", "olo").alias("first"), "hi").where("first < hi").select("sum", "first")
+        copies = space.put(sums.join(first, "sum").where("first < d").select("d", "sum").distinct(), "copies")
+        own = pick(batch, copies, ["d", "sum"], "left_anti").select("d", "text")
+
+        # Fingerprints, and which of them several documents hold.
+        held = own.mapInArrow(_fingerprints(self.window, self.gram), "fp long, d long")
+        grams = self._write("grams", held.groupBy("fp").agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
+        fresh.append(grams)
+        shared = space.put(self._against(grams).where("lo < hi OR olo IS NOT NULL").select("fp", F.when(F.col("olo") == F.col("ohi"), F.col("olo")).alias("alone")), "shared")
+        found = held.join(shared.select("fp"), "fp").select("fp", "d").unionByName(shared.where("alone IS NOT NULL").select("fp", F.col("alone").alias("d")))
+        # One document's own fingerprints, so a list is bounded by the document.
+        lists = space.put(found.groupBy("d").agg(F.collect_set("fp").alias("fps")), "lists")
+        del found
+        release(self.spark)
+
+        # Their windows in full, and which of these a smaller document has.
+        texts = own if history is None or self.last is None else own.unionByName(history.select("d", "text").where(F.col("d") <= self.last))
+        read = pick(texts, lists.select("d"), ["d"], "left_semi").join(lists, "d").select("d", "text", "fps")
+        whole = space.put(read.mapInArrow(_windows_of(self.window, self.gram), "w long, v long, d long"), "windows")
+        space.drop("lists")
+        windows_run = self._write("windows", whole.groupBy("w", "v").agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
+        fresh.append(windows_run)
+        first = self._against(windows_run).select("w", "v", F.least("lo", "olo").alias("first"), "hi").where("first < hi").select("w", "v", "first")
+        new = F.lit(True) if self.last is None else F.col("d") > self.last
+        lost = whole.where(new).join(first, ["w", "v"]).where("first < d")
+        gone = space.put(lost.groupBy("d").agg(F.collect_set("w").alias("gone")), "gone")
+        space.drop("windows")
+        space.drop("shared")
+
+        self.runs += fresh
+        self.last = ends.hi if ends.hi is not None else self.last
+        self._save(self._compact())
+        release(self.spark)
+
+        clean, none = _cleaned(self.window, self.gram), F.lit(None).cast("array<bigint>")
+        kept = pick(own, gone.select("d"), ["d"], "left_anti").select("d", "text", none.alias("gone")).mapInArrow(clean, RESULT)
+        cut = pick(own, gone.select("d"), ["d"], "left_semi").join(gone, "d").select("d", "text", "gone").mapInArrow(clean, RESULT)
+        copy = pick(batch, copies, ["d", "sum"], "left_semi").select("d", "text").mapInArrow(_copied(self.window), RESULT)
+        return kept.unionByName(cut).unionByName(copy)
+
+    def _compact(self) -> list[dict]:
+        """Merge runs of one level while there are ``fanout`` of them; returns those that are no longer needed."""
+        gone: list[dict] = []
+        for kind, (key, _) in KINDS.items():
+            level = 0
+            while any(r["level"] >= level for r in self._of(kind)):
+                same = [r for r in self._of(kind) if r["level"] == level]
+                while len(same) >= self.fanout:
+                    part, same = same[: self.fanout], same[self.fanout :]
+                    whole = part[0]
+                    for other in part[1:]:
+                        more = self.spark.table(other["name"]).select(*key, F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+                        merged = self.spark.table(whole["name"]).join(more, key, "full")
+                        gone.append(whole)
+                        whole = self._write(kind, merged.select(*key, F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi")), level + 1)
+                        gone.append(other)
+                        self.rewritten += self.spark.table(whole["name"]).count()
+                    self.runs = [r for r in self.runs if r not in part] + [whole]
+                level += 1
+        return gone
 
 
 def _copied(window: int):
@@ -226,72 +345,11 @@ def _copied(window: int):
 RESULT = "d long, n_words long, n_removed long, kept_sha256 string"
 
 
-class _Job:
-    """The phases of ``dedup``; each leaves only written tables, so its shuffle files can go."""
-
-    def __init__(self, docs: DataFrame, batches: int, window: int, gram: int, fanout: int) -> None:
-        self.spark = docs.sparkSession
-        ship(self.spark)
-        self.space = Workspace(self.spark, "substrings")
-        self.batches, self.window, self.gram = batches, window, gram
-        self.index = SubstringIndex(self.spark, self.space, window, gram, fanout)
-        text = F.col("text").cast("string")
-        self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.md5(F.coalesce(text, F.lit(""))).alias("sum"), text.alias("text"))
-
-    def copies(self) -> None:
-        """Texts that an earlier document has: all their windows are its windows, so they needn't be indexed."""
-        sums = self.rows.select("d", "sum")
-        first = sums.groupBy("sum").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("sum", "lo")
-        self.space.put(sums.join(first, "sum").where("lo < d").select("d", "sum").distinct(), "copies")
-        self.copied = self.table("copies", "d long, sum string")
-        self.own = pick(self.rows, self.copied, ["d", "sum"], "left_anti").select("d", "text")
-
-    def table(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.space.path}/{name}")
-
-    def nominate(self) -> None:
-        cuts: list = []
-        if self.batches > 1:
-            cuts = self.rows.agg(F.percentile_approx("d", [i / self.batches for i in range(1, self.batches)], 10_000).alias("cuts")).first().cuts or []
-        cuts = sorted(set(cuts))
-        found = None
-        for low, high in zip([None, *cuts], [*cuts, None]):
-            part = self.own
-            part = part if low is None else part.where(F.col("d") > low)
-            part = part if high is None else part.where(F.col("d") <= high)
-            more = self.index.add(part)
-            found = more if found is None else found.unionByName(more)
-            del part, more
-            release(self.spark)
-        # One document's own fingerprints, so a list is bounded by the document.
-        self.space.put(found.groupBy("d").agg(F.collect_set("fp").alias("fps")), "lists")
-
-    def hold(self) -> None:
-        """The windows whose fingerprint several documents have."""
-        lists = self.table("lists", "d long, fps array<bigint>")
-        read = pick(self.own, lists.select("d"), ["d"], "left_semi").join(lists, "d").select("d", "text", "fps")
-        self.space.put(read.mapInArrow(_windows_of(self.window, self.gram), "w long, d long"), "windows")
-
-    def judge(self) -> None:
-        """Each document's windows that also start in a smaller one."""
-        held = self.table("windows", "w long, d long")
-        first = held.groupBy("w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("w", "lo")
-        self.space.put(held.join(first, "w").where("lo < d").groupBy("d").agg(F.collect_set("w").alias("gone")), "gone")
-
-    def result(self) -> DataFrame:
-        gone = self.table("gone", "d long, gone array<bigint>")
-        clean, none = _cleaned(self.window, self.gram), F.lit(None).cast("array<bigint>")
-        whole = pick(self.own, gone.select("d"), ["d"], "left_anti").select("d", "text", none.alias("gone")).mapInArrow(clean, RESULT)
-        cut = pick(self.own, gone.select("d"), ["d"], "left_semi").join(gone, "d").select("d", "text", "gone").mapInArrow(clean, RESULT)
-        copy = pick(self.rows, self.copied, ["d", "sum"], "left_semi").select("d", "text").mapInArrow(_copied(self.window), RESULT)
-        return whole.unionByName(cut).unionByName(copy).select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
-
-
 def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
     """Every document without the words that an earlier document's windows cover.
 
     A word goes if a window of ``window`` words over it also starts in a document
-    with a smaller doc_id; windows are those of the input. Documents enter the
+    with a smaller doc_id; windows are those of the input. Documents enter a new
     index in ``batches`` ranges of doc_id, as if they had come one after another.
 
     Returns doc_id, n_words, n_removed and kept_sha256 (of the kept words joined
@@ -299,17 +357,19 @@ def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: i
     other. Rows that repeat a doc_id are one document, so they don't remove from
     each other. Extra columns are ignored; an empty table gives an empty result.
     """
-    job = _Job(docs, batches, window, gram, fanout)
-    job.copies()
-    job.nominate()
-    release(job.spark)
-    job.hold()
-    job.space.drop("lists")
-    release(job.spark)
-    job.judge()
-    job.space.drop("windows")
-    release(job.spark)
-    return job.result()
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
+    cuts: list = []
+    if batches > 1:
+        cuts = rows.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first().cuts or []
+    cuts = sorted(set(cuts))
+    out = None
+    with SubstringIndex(spark, f"{Workspace(spark, 'substring-index').path}/runs", window, gram, fanout) as index:
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            part = rows if low is None else rows.where(F.col("d") > low)
+            more = index.add(part if high is None else part.where(F.col("d") <= high), rows)
+            out = more if out is None else out.unionByName(more)
+    return out.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def op6_substring_index(spark, sf_dir):

@@ -343,16 +343,39 @@ def test_substrings_on_awkward_rows(spark, batches):
     assert substring_index.dedup(docs(spark).limit(0), batches).count() == 0
 
 
-def test_runs_are_compacted(spark):
-    space = Workspace(spark, "t")
-    index = substring_index.SubstringIndex(spark, space, fanout=2)
-    rows = spark.createDataFrame([(1, BASE), (2, BASE), (3, "other " * 20)], "d long, text string")
-    index.add(rows.where("d = 1"))
-    assert len(index.runs) == 1
-    found = index.add(rows.where("d > 1"))
-    assert len(index.runs) == 1 and {r.d for r in found.collect()} == {1, 2}
-    run = spark.table(index.runs[0])
-    assert run.count() == run.select("fp").distinct().count() and run.where("lo > hi").count() == 0
+def test_an_index_grows_in_two_sessions(spark):
+    """Batches added by different sessions give what one pass over all gives; rows are rewritten once a level."""
+    rng = random.Random(2)
+    passages = [" ".join(rng.choices([f"p{i}" for i in range(300)], k=30)) for _ in range(6)]
+    rows = [(i, " ".join([" ".join(rng.choices([f"q{k}" for k in range(400)], k=20)), *rng.sample(passages, rng.randint(0, 2)), f"tail {i}"])) for i in range(1, 41)]
+    rows += [(41, rows[3][1]), (42, rows[40 - 30][1])]
+    df = spark.createDataFrame(rows, "d long, text string")
+    path = Workspace(spark, "t").path + "/index"
+    tables = {t.name for t in spark.catalog.listTables()}
+    got, sizes = Counter(), []
+    for session, ranges in ((spark, [(0, 10), (10, 20), (20, 25)]), (spark.newSession(), [(25, 40), (40, 42)])):
+        own = session.createDataFrame(rows, "d long, text string")
+        with substring_index.SubstringIndex(session, path) as index:
+            for low, high in ranges:
+                out = index.add(own.where((F.col("d") > low) & (F.col("d") <= high)), own)
+                got += as_rows(out, "d", "n_words", "n_removed", "kept_sha256")
+                sizes.append(sum(session.table(r["name"]).count() for r in index.runs))
+            assert all(len([r for r in index.runs if (r["kind"], r["level"]) == (k, n)]) < 2 for k in substring_index.KINDS for n in range(4))
+            with pytest.raises(ValueError):
+                index.add(own.where("d = 7"), own)
+            rewritten, runs = index.rewritten, index.runs
+    assert got == Counter((d, n, gone, hashlib.sha256(" ".join(kept).encode()).hexdigest()) for d, n, gone, kept in removed_words(rows))
+    assert {t.name for t in spark.catalog.listTables()} == tables  # no run stays in the catalog
+    # Five batches: the first two are rewritten twice, the third and fourth too, the last not at all.
+    assert {(r["kind"], r["level"]) for r in runs} == {(k, n) for k in substring_index.KINDS for n in (0, 2)}
+    assert rewritten <= 2 * sizes[3] + sizes[0]
+    assert df.count() == 42
+
+
+def test_hot_fingerprints_and_the_two_families():
+    words = Words(*text_buffer(pa.array([BASE])), lower=False)
+    at, fp, (w, v) = substring_index.windows(words, full=True)
+    assert len(at) == words.n - 12 == len(set(w.tolist())) == len(set(v.tolist())) and not set(w.tolist()) & set(v.tolist()) and len(set(fp.tolist())) < len(at)
 
 
 # --- 7 ------------------------------------------------------------------------
