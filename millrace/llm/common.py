@@ -25,10 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, and bound batches between Spark and Python by bytes.
 
-    Rows here are whole texts. A setting of the user's stays.
+    Rows here are whole texts, and a batch is held several times over: in Spark's
+    vectors, in the buffer to or from Python, and there. A setting of the user's stays.
     """
     if spark.conf.get(BATCH_SETTING) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(BATCH_SETTING):
-        spark.conf.set(BATCH_SETTING, "16m")
+        spark.conf.set(BATCH_SETTING, "2m")
     send_code(spark)
 
 
@@ -61,9 +62,9 @@ class Workspace:
         fs.deleteOnExit(path)
 
     def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the written table."""
+        """Write ``df`` as Parquet and return the written table. A writer holds a row group, so these are small."""
         at = f"{self.path}/{name}"
-        df.write.options(**{"compression": "zstd", **options}).parquet(at)
+        df.write.options(**{"compression": "zstd", "parquet.block.size": str(32 << 20), **options}).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
