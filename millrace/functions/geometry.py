@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def half_up(c: Column, digits: int = 0) -> Column:
     return F.round(c.cast("decimal(30,10)"), digits).cast("double")
@@ -76,7 +78,8 @@ def distance_bbox(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2
 def point_in_polygon(px: Column, py: Column, points: Column) -> Column:
     """Ray casting; points on an edge are inside. Fewer than three points: null."""
     n = F.size(points)
-    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(points[i].alias("a"), points[(i + 1) % n].alias("b")))
+    turned = let(points, lambda p: F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1)))
+    edges = let(points, lambda p: F.zip_with(p, turned, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
     def on(e: Column) -> Column:
         cross = (e.b.x - e.a.x) * (py - e.a.y) - (e.b.y - e.a.y) * (px - e.a.x)
@@ -87,8 +90,10 @@ def point_in_polygon(px: Column, py: Column, points: Column) -> Column:
         at = e.a.x + (py - e.a.y) * (e.b.x - e.a.x) / F.when(spans, e.b.y - e.a.y).otherwise(1.0)
         return F.when(spans & (px < at), 1).otherwise(0)
 
-    odd = F.aggregate(F.transform(edges, crosses), F.lit(0), lambda s, x: s + x) % 2 == 1
-    return F.when(n >= 3, F.exists(edges, on) | odd)
+    def judge(e: Column) -> Column:
+        return F.exists(e, on) | (F.aggregate(F.transform(e, crosses), F.lit(0), lambda s, x: s + x) % 2 == 1)
+
+    return F.when(n >= 3, let(edges, judge))
 
 
 def score(x: Column, y: Column, w: Column, h: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

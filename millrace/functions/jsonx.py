@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,8 +88,12 @@ def _strict(text: str | None) -> tuple | None:
     return (str(data["kind"]), float(data["x"]), float(data["y"]), None)
 
 
-#: Duplicate keys, NaN and non-integers are rejected: that needs the raw text.
-parse_strict_action = F.udf(_strict, ACTION, useArrow=True)
+@F.pandas_udf(ACTION)
+def parse_strict_action(texts: pd.Series) -> pd.DataFrame:
+    """An action from its raw text, a batch at a time: duplicate keys, NaN and non-integers are rejected, which VARIANT would not see."""
+    seen: dict = {}
+    rows = [seen[t] if t in seen else seen.setdefault(t, _strict(t)) for t in texts]
+    return pd.DataFrame([r or (None,) * len(ACTION.names) for r in rows], columns=ACTION.names)
 
 
 def parse_actions(c: Column) -> Column:
@@ -120,5 +125,7 @@ def _equal(a: str | None, b: str | None) -> bool | None:
         return False
 
 
-#: 1 and 1.0 and true differ, which VARIANT would not see.
-equal_exact = F.udf(_equal, T.BooleanType(), useArrow=True)
+@F.pandas_udf(T.BooleanType())
+def equal_exact(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Equal JSON, a batch at a time: 1 and 1.0 and true differ, which VARIANT would not see."""
+    return pd.Series([_equal(x, y) for x, y in zip(a, b)], dtype=object)

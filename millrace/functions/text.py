@@ -19,11 +19,14 @@ FORBIDDEN = (
     "ground truth", "provided action", "fixed action", "given action", "oracle", "offline supervision", "source trace", "source motion", "original move", "aggregated motion",
     "hidden target", "hidden label", "target answer", "annotation metadata", "this ablation", "compressed trace", "macro version",
 )
-CLICKS = r"(?i)\b(click|double[- ]click|right[- ]click|tap|press)\b"
-SELECTS = r"(?i)(^|\b(and|then)\s+)(then\s+)?select\b"
-HOVERS = r"(?i)\bhover\b"
-CURSOR_MOVES = r"(?i)\b(aim|bring|hover|move|pass|pinpoint|place|point|position|use|zero\s+in)\b.{0,160}\b((your|the)\s+)?(mouse(\s+(cursor|pointer))?|cursor|pointer)\b"
-CURSOR_STATES = r"(?i)\b(cursor|pointer|mouse)\b.{0,40}\b(is\s+)?(located|placed|positioned)\b"
+CLICKS = r"\b(?:click|double[- ]click|right[- ]click|tap|press)\b"
+SELECTS = r"(?:^|\b(?:and|then)\s+)(?:then\s+)?select\b"
+HOVERS = r"\bhover\b"
+CURSOR_MOVES = r"\b(?:aim|bring|hover|move|pass|pinpoint|place|point|position|use|zero\s+in)\b.{0,160}\b(?:(?:your|the)\s+)?(?:mouse(?:\s+(?:cursor|pointer))?|cursor|pointer)\b"
+CURSOR_STATES = r"\b(?:cursor|pointer|mouse)\b.{0,40}\b(?:is\s+)?(?:located|placed|positioned)\b"
+SENTENCE_ENDS = r"[.!?。！？\n]+"
+# Thresholds of the repetition rule.
+UNIQUE_SHARE, MOST_SAME, LEAST_WORDS, LEAST_GRAMS, SENTENCE_WORDS, WIDEST_TAIL = 0.55, 3, 24, 20, 6, 20
 
 
 def normalize_ws(c: Column) -> Column:
@@ -78,7 +81,8 @@ def id_split(c: Column, marker: str) -> Column:
 
 def cursor_only(c: Column) -> Column:
     """An instruction to point, not to click or select."""
-    return ~(c.rlike(CLICKS) | c.rlike(SELECTS)) & (c.rlike(HOVERS) | c.rlike(CURSOR_MOVES) | c.rlike(CURSOR_STATES))
+    has = lambda p: c.rlike(f"(?i){p}")
+    return ~(has(CLICKS) | has(SELECTS)) & (has(HOVERS) | has(CURSOR_MOVES) | has(CURSOR_STATES))
 
 
 def batch_key(c: Column) -> Column:
@@ -118,16 +122,18 @@ def think_issues(c: Column, forbidden: Sequence[str] = FORBIDDEN) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(ok, code) for code, ok in rules])), ",")
 
 
-def repetition_issues(c: Column, unique_share: float = 0.55, most: int = 3, least_words: int = 24, least_grams: int = 20, sentence: int = 6, widest: int = 20) -> Column:
+def repetition_issues(c: Column, unique_share: float = UNIQUE_SHARE, most: int = MOST_SAME, least_words: int = LEAST_WORDS, least_grams: int = LEAST_GRAMS, sentence: int = SENTENCE_WORDS, widest: int = WIDEST_TAIL) -> Column:
     """Codes of repetition in a text of at least ``least_words`` words.
 
     duplicate_sentence: one of at least ``sentence`` words comes twice; ngram: of
     ``least_grams`` or more runs of four words few differ and one comes ``most``
     times; tail: the last 4 to ``widest`` words stand there three times in a row.
     """
-    def tail(t: Column, k: Column) -> Column:
-        part = lambda w, i: F.slice(t, F.greatest(k - i * w + 1, F.lit(1)), w)
-        return F.exists(F.sequence(F.lit(4), F.lit(widest)), lambda w: (k >= 3 * w) & (part(w, 1) == part(w, 2)) & (part(w, 1) == part(w, 3)))
+    def tail(t: Column) -> Column:
+        # The last words, backwards and cut once: position i stands there again w places on.
+        back = F.reverse(F.slice(t, F.greatest(F.size(t) - 3 * widest + 1, F.lit(1)), 3 * widest))
+        again = lambda b, w: F.slice(b, 1, 2 * w) == F.slice(b, w + 1, 2 * w)
+        return let(back, lambda b: F.exists(F.sequence(F.lit(4), F.lit(widest)), lambda w: (F.size(b) >= 3 * w) & (F.get(b, 0) == F.get(b, w)) & again(b, w)))
 
     def few(grams: Column) -> Column:
         n = F.size(grams)
@@ -137,8 +143,8 @@ def repetition_issues(c: Column, unique_share: float = 0.55, most: int = 3, leas
         return F.size(F.array_distinct(own)) < F.size(own)
 
     def judge(t: Column) -> Column:
-        sentences = F.filter(F.transform(F.split(F.lower(c), r"[.!?\u3002\uff01\uff1f\n]+"), words), lambda x: F.size(x) >= sentence)
-        rules = [("duplicate_sentence", let(sentences, doubled)), ("ngram", let(ngrams(t, 4), few)), ("tail", tail(t, F.size(t)))]
+        sentences = F.filter(F.transform(F.split(F.lower(c), SENTENCE_ENDS), words), lambda x: F.size(x) >= sentence)
+        rules = [("duplicate_sentence", let(sentences, doubled)), ("ngram", let(ngrams(t, 4), few)), ("tail", tail(t))]
         codes = F.array_join(F.array_compact(F.array(*[F.when(ok, code) for code, ok in rules])), ",")
         return F.when(F.size(t) >= least_words, codes).otherwise("")
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def exact(df: DataFrame, content: Column, order: Sequence[str]) -> DataFrame:
@@ -32,6 +33,31 @@ def sign_hash(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda v: F.when(v > median, "1").otherwise("0")), "")
 
 
+def _dct(n: int = 32, low: int = 8) -> np.ndarray:
+    """The first ``low`` rows of the orthonormal cosine transform of n values."""
+    rows = np.cos(np.pi / n * (np.arange(n) + 0.5) * np.arange(low)[:, None])
+    return rows * np.sqrt(np.where(np.arange(low) == 0, 1.0, 2.0) / n)[:, None]
+
+
+@F.pandas_udf(T.StringType())
+def perceptual_hash(pixels: pd.Series) -> pd.Series:
+    """64 bits of 32 x 32 grey pixels (1,024 bytes), as text: which of the 8 x 8 lowest frequencies exceed their median.
+
+    The mean (the lowest frequency) doesn't count for the median. A null, or another number of bytes, gives null.
+    """
+    good = [i for i, p in enumerate(pixels) if p is not None and len(p) == 1024]
+    out: list[str | None] = [None] * len(pixels)
+    if good:
+        grey = np.frombuffer(b"".join(bytes(pixels.iloc[i]) for i in good), np.uint8).reshape(-1, 32, 32).astype(float)
+        c = _dct()
+        low = (c @ grey @ c.T).reshape(-1, 64)
+        low[np.abs(low) < 1e-9] = 0.0
+        bits = low > np.median(low[:, 1:], axis=1)[:, None]
+        for i, row in zip(good, bits):
+            out[i] = "".join("1" if b else "0" for b in row)
+    return pd.Series(out, dtype=object)
+
+
 def greedy_clusters(df: DataFrame, bucket: str, key: str, vector: str, most: float) -> DataFrame:
     """Within a bucket of equal hashes: a row joins the first cluster all of whose members differ by at most ``most``.
 
@@ -59,19 +85,25 @@ def greedy_clusters(df: DataFrame, bucket: str, key: str, vector: str, most: flo
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, or a temporary one where that is unset; gone when the JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A fresh folder below spark.checkpoint.dir; gone when the JVM ends.
+
+    Where that is unset it is a temporary one if all of Spark is this process, else ValueError is raised.
+    """
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.gettempdir()
     where = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return where
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, label): smallest reachable node, by rounds of neighbour minima and pointer jumps.
 
     Each round is a written table, so no lineage builds up and a lost executor
-    repeats one round at most.
+    repeats one round at most; the tables of the round before are deleted.
     """
     spark, folder = edges.sparkSession, shared_folder(edges.sparkSession)
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -89,6 +121,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         new.write.parquet(f"{folder}/new{i}")
         new = spark.read.parquet(f"{folder}/new{i}")
         labels = new.select("u", "label")
+        for old in (f"{folder}/{i}", *([f"{folder}/new{i - 1}"] if i else [])):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         if new.where("old <> label").isEmpty():
             break
     else:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .window import id_range, ranked
+
 
 def coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     """Each id that isn't seen exactly once as expected: missing, unexpected or duplicate."""
@@ -93,8 +95,8 @@ def overlaps(df: DataFrame, key: str, split: str) -> DataFrame:
 
 
 def cyclic(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str], shard: str) -> DataFrame:
-    """The i-th row of a with row i mod |b| of b, within a shard."""
-    left = a.withColumn("__i", F.row_number().over(Window.partitionBy(shard).orderBy(*order_a)) - 1)
-    right = b.withColumn("__j", F.row_number().over(Window.partitionBy(shard).orderBy(*order_b)) - 1)
+    """The i-th row of a with row i mod |b| of b, within a shard; each order begins with an integer column."""
+    left = ranked(a, [shard], order_a, id_range(F.col(order_a[0])), "__i")
+    right = ranked(b, [shard], order_b, id_range(F.col(order_b[0])), "__j")
     n = right.groupBy(shard).agg(F.count("*").alias("__n"))
     return left.join(n, shard).withColumn("__j", F.col("__i") % F.col("__n")).join(right, [shard, "__j"]).drop("__i", "__j", "__n")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .window import id_range, ranked
+
 
 def trajectories(steps: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
     """One row a trajectory: ``steps`` as an array of structs in order."""
@@ -69,19 +71,20 @@ def companion(episodes: DataFrame, overrides: dict[str, Column]) -> DataFrame:
 
 def explode_actions(steps: DataFrame, variant: str, key: str = "id", pos: str = "pos") -> DataFrame:
     """One row an action with its index in the trajectory and the running index in its variant."""
-    w = Window.partitionBy(variant).orderBy(key, pos)
     own = Window.partitionBy(key).orderBy(pos)
     acts = steps.where("kind = 'action'")
-    return acts.withColumn("action_index", F.row_number().over(own) - 1).withColumn("row_index", F.row_number().over(w) - 1)
+    return ranked(acts, [variant], [key, pos], id_range(F.col(key)), "row_index").withColumn("action_index", F.row_number().over(own) - 1)
 
 
 def history(steps: DataFrame, key: str = "id", pos: str = "pos", images: int = 3) -> DataFrame:
     """Each action with its last observations (at most ``images``) and all earlier actions."""
-    before = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    obs = F.collect_list(F.when(F.col("kind") == "observation", F.col(pos))).over(before)
-    acts = F.collect_list(F.when(F.col("kind") == "action", F.col(pos))).over(before)
-    all_ = steps.withColumn("images", obs).withColumn("responses", acts)
-    return all_.where("kind = 'action'").withColumn("images", F.slice("images", F.greatest(F.lit(1), F.size("images") - images + 1), images))
+    here = Window.partitionBy(key).orderBy(pos)
+    acts = F.collect_list(F.when(F.col("kind") == "action", F.col(pos))).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.count_if(F.col("kind") == "observation").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # By the count of observations so far, the last ones are a range that ends here.
+    last = Window.partitionBy(key).orderBy("__seen").rangeBetween(1 - images, Window.currentRow)
+    obs = F.array_sort(F.collect_list(F.when(F.col("kind") == "observation", F.col(pos))).over(last))
+    return steps.withColumn("responses", acts).withColumn("__seen", seen).withColumn("images", obs).where("kind = 'action'").drop("__seen")
 
 
 def with_observation(steps: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
@@ -94,5 +97,5 @@ def with_observation(steps: DataFrame, key: str = "id", pos: str = "pos") -> Dat
 def expand_release(episodes: DataFrame, variant: str, key: str, seeds: dict[str, int]) -> DataFrame:
     """Rows numbered in their variant, with a seed of the variant's base plus the number."""
     base = F.create_map(*[F.lit(x) for kv in seeds.items() for x in kv])
-    out = episodes.withColumn("row_index", F.row_number().over(Window.partitionBy(variant).orderBy(key)) - 1)
+    out = ranked(episodes, [variant], [key], id_range(F.col(key)), "row_index")
     return out.withColumn("seed", base[F.col(variant)] + F.col("row_index"))

@@ -41,12 +41,8 @@ def _with_roles(sql: str) -> str:
 class Tables:
     """The tables of a folder, and the roles as DataFrames."""
 
-    def __init__(self, spark: SparkSession, where: str, whole: bool = False) -> None:
-        self.spark, self.where, self.whole = spark, where, whole
-
-    def part(self, df: DataFrame, rows: str) -> DataFrame:
-        """The rows that a query's SQL is given for; all of them in its ``.whole`` twin."""
-        return df if self.whole else df.where(rows)
+    def __init__(self, spark: SparkSession, where: str) -> None:
+        self.spark, self.where = spark, where
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -82,25 +78,20 @@ class Tables:
         return self.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("platform"), F.col("lang").alias("category"), "text", F.length("text").cast("long").alias("n"))
 
 
-def query(name: str, sql: str | None = None, whole: bool = False):
-    """Register a function of ``Tables``; ``sql`` gives the same rows in DuckDB.
-
-    Where the SQL of a query is given for some rows only, ``whole`` registers
-    the function over all rows, with SQL of its own, as ``name.whole``.
-    """
+def query(name: str, sql: str | None = None):
+    """Register a function of ``Tables``; ``sql`` gives the same rows in DuckDB."""
 
     def add(f: Callable[[Tables], DataFrame]):
-        own = f"{name}.whole" if whole else name
-        if own in QUERIES:
-            raise ValueError(f"{own} is there already")
+        if name in QUERIES:
+            raise ValueError(f"{name} is there already")
 
         def run(spark: SparkSession, where: str) -> DataFrame:
             ship(spark)
-            return f(Tables(spark, where, whole))
+            return f(Tables(spark, where))
 
-        QUERIES[own] = run
+        QUERIES[name] = run
         if sql:
-            ORACLES[own] = _with_roles(sql.strip())
+            ORACLES[name] = _with_roles(sql.strip())
         return f
 
     return add

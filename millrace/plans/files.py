@@ -20,10 +20,9 @@ ROW = "id long, variant string, k long, note string"
 
 
 def _rows(t: Tables):
-    return t.part(t.records, "turns = 1").select("id", "variant", "k", F.lit(None).cast("string").alias("note"))
+    return t.records.select("id", "variant", "k", F.lit(None).cast("string").alias("note"))
 
 
-_ROWS = "SELECT id, variant, k, NULL::VARCHAR AS note FROM records WHERE turns = 1"
 _ALL = "SELECT id, variant, k, NULL::VARCHAR AS note FROM records"
 
 
@@ -48,39 +47,34 @@ def _with_noise(t: Tables):
     return good.unionByName(bad).select("value")
 
 
-@query("scan.jsonl.lenient", _ALL, whole=True)
-@query("scan.jsonl.lenient", _ROWS)
+@query("scan.jsonl.lenient", _ALL)
 def _(t: Tables):
     blank = _rows(t).select(F.to_json(F.struct("id", "variant", "k")).alias("value")).unionByName(t.spark.range(3).select(F.lit("").alias("value")))
     return R.jsonl(t.spark, _text(t, blank), ROW)
 
 
-@query("scan.jsonl.strict", f"SELECT 'rows' AS part, count(*) AS n FROM ({_ALL}) UNION ALL SELECT CASE id % 60 WHEN 20 THEN 'not_json' ELSE 'not_an_object' END, count(*) FROM ({_ALL}) WHERE id % 60 > 0 GROUP BY 1", whole=True)
-@query("scan.jsonl.strict", f"SELECT 'rows' AS part, count(*) AS n FROM ({_ROWS}) UNION ALL SELECT CASE id % 60 WHEN 20 THEN 'not_json' ELSE 'not_an_object' END, count(*) FROM ({_ROWS}) WHERE id % 60 > 0 GROUP BY 1")
+@query("scan.jsonl.strict", f"SELECT 'rows' AS part, count(*) AS n FROM ({_ALL}) UNION ALL SELECT CASE id % 60 WHEN 20 THEN 'not_json' ELSE 'not_an_object' END, count(*) FROM ({_ALL}) WHERE id % 60 > 0 GROUP BY 1")
 def _(t: Tables):
     rows, bad = R.jsonl_strict(t.spark, _text(t, _with_noise(t)), ROW)
     return rows.select(F.lit("rows").alias("part")).unionByName(bad.select(c("reason").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("scan.jsonl.noblank", f"SELECT CASE id % 60 WHEN 0 THEN 'blank' WHEN 20 THEN 'not_json' ELSE 'not_an_object' END AS reason, count(*) AS n FROM ({_ALL}) GROUP BY 1", whole=True)
-@query("scan.jsonl.noblank", f"SELECT CASE id % 60 WHEN 0 THEN 'blank' WHEN 20 THEN 'not_json' ELSE 'not_an_object' END AS reason, count(*) AS n FROM ({_ROWS}) GROUP BY 1")
+@query("scan.jsonl.noblank", f"SELECT CASE id % 60 WHEN 0 THEN 'blank' WHEN 20 THEN 'not_json' ELSE 'not_an_object' END AS reason, count(*) AS n FROM ({_ALL}) GROUP BY 1")
 def _(t: Tables):
     _, bad = R.jsonl_strict(t.spark, _text(t, _with_noise(t)), ROW, blank_is_bad=True)
     return bad.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("scan.json.doc", "SELECT id, k FROM records", whole=True)
-@query("scan.json.doc", "SELECT id, k FROM records WHERE id < 200")
+@query("scan.json.doc", "SELECT id, k FROM records")
 def _(t: Tables):
-    path = _documents(t, t.part(t.records, "id < 200"), F.to_json(F.collect_list(F.struct("id", "k"))))
+    path = _documents(t, t.records, F.to_json(F.collect_list(F.struct("id", "k"))))
     return R.json_document(t.spark, path, "id long, k long").select("id", "k")
 
 
-@query("scan.json.array.streaming", "SELECT id // 100 AS part, count(*) AS n FROM records GROUP BY 1", whole=True)
-@query("scan.json.array.streaming", "SELECT id // 100 AS part, count(*) AS n FROM records WHERE id < 1000 GROUP BY 1")
+@query("scan.json.array.streaming", "SELECT id // 100 AS part, count(*) AS n FROM records GROUP BY 1")
 def _(t: Tables):
     """An array split into files of a hundred elements: a task each."""
-    docs = t.part(t.records, "id < 1000").groupBy(F.floor(c("id") / 100).alias("part")).agg(F.to_json(F.collect_list(F.struct("id", "k"))).alias("value"))
+    docs = t.records.groupBy(F.floor(c("id") / 100).alias("part")).agg(F.to_json(F.collect_list(F.struct("id", "k"))).alias("value"))
     path = f"{shared_folder(t.spark)}/arrays"
     docs.write.partitionBy("part").text(path)
     rows = t.spark.read.schema("id long, k long, part long").option("multiLine", True).json(path)
@@ -103,17 +97,15 @@ def _manifest(t: Tables):
     episodes = F.collect_list(F.struct("id", F.concat(F.lit("pub-"), "variant").alias("variant"), "episode")).alias("episodes")
     doc = F.to_json(F.struct(F.lit("suite-1").alias("schema_id"), F.lit(True).alias("frozen"), episodes))
     names = {f"pub-{v}": v for v in ("view", "click", "error", "signup", "purchase")}
-    return R.manifest(t.spark, _documents(t, t.part(t.records, "id < 600"), doc), "id:bigint,variant:string,episode:bigint", "suite-1", names, parts=True)
+    return R.manifest(t.spark, _documents(t, t.records, doc), "id:bigint,variant:string,episode:bigint", "suite-1", names, parts=True)
 
 
-@query("scan.manifest", "SELECT id, variant, episode FROM records", whole=True)
-@query("scan.manifest", "SELECT id, variant, episode FROM records WHERE id < 600")
+@query("scan.manifest", "SELECT id, variant, episode FROM records")
 def _(t: Tables):
     return _manifest(t).select("id", "variant", "episode")
 
 
-@query("scan.manifest.frozen", "SELECT variant, count(*) AS n, true AS frozen FROM records GROUP BY 1", whole=True)
-@query("scan.manifest.frozen", "SELECT variant, count(*) AS n, true AS frozen FROM records WHERE id < 600 GROUP BY 1")
+@query("scan.manifest.frozen", "SELECT variant, count(*) AS n, true AS frozen FROM records GROUP BY 1")
 def _(t: Tables):
     rows = _manifest(t)
     V.require(V.unique_gate(rows, ["id"]).unionByName(V.gate(rows, [("not_frozen", ~c("frozen"))])))
@@ -122,11 +114,10 @@ def _(t: Tables):
 
 def _records(t: Tables):
     status = F.when(c("k") % 4 == 0, "running").otherwise("complete")
-    return t.part(t.records, "turns = 2").select("id", "variant", "k", status.alias("record_status"))
+    return t.records.select("id", "variant", "k", status.alias("record_status"))
 
 
-@query("scan.records.dir", "SELECT id, variant FROM records WHERE k % 4 > 0", whole=True)
-@query("scan.records.dir", "SELECT id, variant FROM records WHERE turns = 2 AND k % 4 > 0")
+@query("scan.records.dir", "SELECT id, variant FROM records WHERE k % 4 > 0")
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/records"
     _records(t).write.partitionBy("variant").json(path)
@@ -134,8 +125,7 @@ def _(t: Tables):
     return rows.select("id", "variant")
 
 
-@query("scan.records.shards", "SELECT id, CAST(id % 4 AS INT) AS shard FROM records WHERE k % 4 > 0", whole=True)
-@query("scan.records.shards", "SELECT id, CAST(id % 4 AS INT) AS shard FROM records WHERE turns = 2 AND k % 4 > 0")
+@query("scan.records.shards", "SELECT id, CAST(id % 4 AS INT) AS shard FROM records WHERE k % 4 > 0")
 def _(t: Tables):
     path = shared_folder(t.spark)
     for i in range(4):
@@ -143,16 +133,14 @@ def _(t: Tables):
     return R.shard_records(t.spark, f"{path}/shards/shard_*/records", "id long, record_status string").select("id", "shard")
 
 
-@query("scan.ids.txt", "SELECT id::VARCHAR AS id FROM records", whole=True)
-@query("scan.ids.txt", "SELECT id::VARCHAR AS id FROM records WHERE id % 50 = 0")
+@query("scan.ids.txt", "SELECT id::VARCHAR AS id FROM records")
 def _(t: Tables):
-    return R.ids(t.spark, _text(t, t.part(t.records, "id % 50 = 0").select(c("id").cast("string"))))
+    return R.ids(t.spark, _text(t, t.records.select(c("id").cast("string"))))
 
 
-@query("scan.mixed", "SELECT id, CASE WHEN id % 3 < 2 THEN k END AS k FROM records", whole=True)
-@query("scan.mixed", "SELECT id, CASE WHEN id % 3 < 2 THEN k END AS k FROM records WHERE id < 300")
+@query("scan.mixed", "SELECT id, CASE WHEN id % 3 < 2 THEN k END AS k FROM records")
 def _(t: Tables):
-    path, rows = shared_folder(t.spark), t.part(t.records, "id < 300").select("id", "k")
+    path, rows = shared_folder(t.spark), t.records.select("id", "k")
     rows.where("id % 3 = 0").write.parquet(f"{path}/a.parquet")
     rows.where("id % 3 = 1").write.json(f"{path}/b.jsonl")
     docs = _documents(t, rows.where("id % 3 = 2"), F.to_json(F.collect_list(F.struct("id"))), "c.json")
@@ -202,8 +190,7 @@ def _(t: Tables):
     return t.spark.createDataFrame([(n,) for n in sorted(R.LOADERS)], "name string")
 
 
-@query("scan.tar", "SELECT 'f' || id || '.txt' AS name, length(variant) AS size FROM records", whole=True)
-@query("scan.tar", "SELECT 'f' || id || '.txt' AS name, length(variant) AS size FROM records WHERE id < 100")
+@query("scan.tar", "SELECT 'f' || id || '.txt' AS name, length(variant) AS size FROM records")
 def _(t: Tables):
     """Archives of some three hundred names, written by the tasks: the line end of a text file falls behind an archive's end."""
 
@@ -216,7 +203,7 @@ def _(t: Tables):
                 tar.addfile(info, io.BytesIO(v.encode()))
         return pd.DataFrame({"part": [p["part"].iloc[0]], "g": [p["g"].iloc[0]], "value": [buf.getvalue().decode()]})
 
-    rows = t.part(t.records, "id < 100").select("id", "variant", F.floor(c("id") / 1000).alias("part"), (c("id") % 3).alias("g"))
+    rows = t.records.select("id", "variant", F.floor(c("id") / 1000).alias("part"), (c("id") % 3).alias("g"))
     path = f"{shared_folder(t.spark)}/tars"
     rows.groupBy("part", "g").applyInPandas(pack, "part long, g long, value string").write.partitionBy("part", "g").text(path)
     return R.tar_members(t.spark, path).select("name", "size")
@@ -234,22 +221,20 @@ def _(t: Tables):
 # --- sinks ---------------------------------------------------------------------------
 
 
-@query("sink.jsonl", _ALL, whole=True)
-@query("sink.jsonl", _ROWS)
+@query("sink.jsonl", _ALL)
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/out"
     W.jsonl(_rows(t), path)
     return R.jsonl(t.spark, path, ROW)
 
 
-@query("sink.jsonl.string", """SELECT variant, string_agg('{"id":' || id || ',"variant":"' || variant || '","k":' || k || ',"note":null}', chr(10) ORDER BY id) AS text FROM records GROUP BY 1""", whole=True)
-@query("sink.jsonl.string", """SELECT variant, string_agg('{"id":' || id || ',"variant":"' || variant || '","k":' || k || ',"note":null}', chr(10) ORDER BY id) AS text FROM records WHERE turns = 1 GROUP BY 1""")
+@query("sink.jsonl.string", """SELECT id // 1000 AS part, string_agg('{"id":' || id || ',"variant":"' || variant || '","k":' || k || ',"note":null}', chr(10) ORDER BY id) AS text FROM records GROUP BY 1""")
 def _(t: Tables):
-    return W.jsonl_text(_rows(t), "variant", "id")
+    """One text of a thousand ids each, so a text is bounded."""
+    return W.jsonl_text(_rows(t), F.floor(c("id") / 1000).alias("part"), "id")
 
 
-@query("sink.jsonl.exclusive", f"SELECT count(*) AS n, true AS refused FROM ({_ALL})", whole=True)
-@query("sink.jsonl.exclusive", f"SELECT count(*) AS n, true AS refused FROM ({_ROWS})")
+@query("sink.jsonl.exclusive", f"SELECT count(*) AS n, true AS refused FROM ({_ALL})")
 def _(t: Tables):
     path, rows = f"{shared_folder(t.spark)}/out", _rows(t)
     gates = V.gate(rows, [("leak", F.lower("variant").contains("oracle"))])
@@ -262,8 +247,7 @@ def _(t: Tables):
     return R.jsonl(t.spark, path, ROW).agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
 
 
-@query("sink.jsonl.atomic", _ALL, whole=True)
-@query("sink.jsonl.atomic", _ROWS)
+@query("sink.jsonl.atomic", _ALL)
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/out"
     for _i in range(2):
@@ -274,16 +258,14 @@ def _(t: Tables):
 _SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("tools", T.ArrayType(T.StringType()))])
 
 
-@query("sink.parquet.batched", "SELECT id, CAST(k AS INT) AS k, 0 AS tools FROM records", whole=True)
-@query("sink.parquet.batched", "SELECT id, CAST(k AS INT) AS k, 0 AS tools FROM records WHERE turns = 1")
+@query("sink.parquet.batched", "SELECT id, CAST(k AS INT) AS k, 0 AS tools FROM records")
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/out"
     W.parquet(_rows(t).withColumn("tools", F.array().cast("array<string>")), path, _SCHEMA)
     return t.spark.read.parquet(path).select("id", "k", F.size("tools").alias("tools"))
 
 
-@query("sink.parquet.pandas", "SELECT true AS refused, count(*) AS n FROM records", whole=True)
-@query("sink.parquet.pandas", "SELECT true AS refused, count(*) AS n FROM records WHERE turns = 1")
+@query("sink.parquet.pandas", "SELECT true AS refused, count(*) AS n FROM records")
 def _(t: Tables):
     path = shared_folder(t.spark)
     try:
@@ -295,8 +277,7 @@ def _(t: Tables):
     return t.spark.createDataFrame([(refused, n)], "refused boolean, n long")
 
 
-@query("sink.parquet.arrow", _ALL, whole=True)
-@query("sink.parquet.arrow", _ROWS)
+@query("sink.parquet.arrow", _ALL)
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/out"
     _rows(t).write.parquet(path)
@@ -329,15 +310,13 @@ def _facts(tables):
     return {"rows": tables["rows"].count()}
 
 
-@query("sink.release.atomic", "SELECT count(*) AS \"rows\" FROM records", whole=True)
-@query("sink.release.atomic", "SELECT count(*) AS \"rows\" FROM records WHERE turns = 1")
+@query("sink.release.atomic", "SELECT count(*) AS \"rows\" FROM records")
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/release"
     W.release(t.spark, path, {"rows": _rows(t)}, _facts)
     return R.json_document(t.spark, f"{path}/summary.json", "rows long")
 
 
-@query("sink.release.rollback", "SELECT true AS refused, false AS there", whole=True)
 @query("sink.release.rollback", "SELECT true AS refused, false AS there")
 def _(t: Tables):
     path = f"{shared_folder(t.spark)}/release"
@@ -350,8 +329,7 @@ def _(t: Tables):
     return t.spark.createDataFrame([(refused, bool(fs.exists(p)))], "refused boolean, there boolean")
 
 
-@query("sink.cache.step", "SELECT id, CASE WHEN k % 2 = 0 THEN 'cached' ELSE variant END AS v FROM records", whole=True)
-@query("sink.cache.step", "SELECT id, CASE WHEN k % 2 = 0 THEN 'cached' ELSE variant END AS v FROM records WHERE turns = 1")
+@query("sink.cache.step", "SELECT id, CASE WHEN k % 2 = 0 THEN 'cached' ELSE variant END AS v FROM records")
 def _(t: Tables):
     rows = _rows(t)
     cache = rows.where("k % 2 = 0").select("id", F.lit("cached").alias("v"))
@@ -364,19 +342,7 @@ def _(t: Tables):
     return t.spark.sql("SELECT event_type, count(*) AS n FROM millrace_events GROUP BY 1")
 
 
-@query("hash.file_sha256", "SELECT split, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id)) AS sha FROM records WHERE turns = 1 GROUP BY 1")
-def _(t: Tables):
-    """Three files, hashed as wholes."""
-    lines = F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string"))
-    texts = t.records.where("turns = 1").groupBy("split").agg(F.array_join(lines, "\n").alias("text"))
-    path = shared_folder(t.spark)
-    for r in texts.collect():
-        W.bytes_file(t.spark, r.text.encode(), f"{path}/files/{r.split}.txt")
-    files = t.spark.read.format("binaryFile").load(f"{path}/files")
-    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("split"), F.sha2("content", 256).alias("sha"))
-
-
-@query("hash.file_sha256", "SELECT split, id // 10000 AS part, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id) || chr(10)) AS sha FROM records GROUP BY 1, 2", whole=True)
+@query("hash.file_sha256", "SELECT split, id // 10000 AS part, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id) || chr(10)) AS sha FROM records GROUP BY 1, 2")
 def _(t: Tables):
     """Files of a split's lines among ten thousand ids, written by the tasks and hashed as wholes."""
     lines = F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string"))

@@ -40,16 +40,28 @@ def _(t: Tables):
     return g.where("n > 1").select("size", "id", "n")
 
 
-@query("dedup.phash", "SELECT vec_id AS id, array_to_string(list_transform(embedding::DOUBLE[], lambda v: CASE WHEN v > list_median(embedding::DOUBLE[]) THEN '1' ELSE '0' END), '') AS v FROM embeddings")
+@query("dedup.phash", """WITH p AS (SELECT vec_id AS id, i, j, ('0x' || substr(sha256(vec_id || '|' || i), 2 * j + 1, 2))::INT AS g FROM embeddings, (SELECT unnest(range(0, 32)) AS i), (SELECT unnest(range(0, 32)) AS j)),
+a AS (SELECT id, i, y, sum(g * cos(pi() / 32 * (j + 0.5) * y)) * sqrt(CASE y WHEN 0 THEN 1 ELSE 2 END / 32.0) AS s FROM p, (SELECT unnest(range(0, 8)) AS y) GROUP BY id, i, y),
+b AS (SELECT id, x, y, sum(s * cos(pi() / 32 * (i + 0.5) * x)) * sqrt(CASE x WHEN 0 THEN 1 ELSE 2 END / 32.0) AS f FROM a, (SELECT unnest(range(0, 8)) AS x) GROUP BY id, x, y),
+m AS (SELECT id, median(f) FILTER (WHERE x + y > 0) AS mid FROM b GROUP BY id)
+SELECT id, string_agg(CASE WHEN f > mid THEN '1' ELSE '0' END, '' ORDER BY x, y) AS v FROM b JOIN m USING (id) GROUP BY id""")
+def _(t: Tables):
+    """Images of 32 x 32 grey pixels, a row of which is the hash of the image's id and the row."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.unhex(F.sha2(F.concat_ws("|", c("vec_id").cast("string"), i.cast("string")), 256)))
+    pixels = F.aggregate(rows, F.lit(b""), lambda s, x: F.concat(s, x))
+    return t.embeddings.select(c("vec_id").alias("id"), D.perceptual_hash(pixels).alias("v"))
+
+
+@query("dedup.sign_hash", "SELECT vec_id AS id, array_to_string(list_transform(embedding::DOUBLE[], lambda v: CASE WHEN v > list_median(embedding::DOUBLE[]) THEN '1' ELSE '0' END), '') AS v FROM embeddings")
 def _(t: Tables):
     return t.embeddings.select(c("vec_id").alias("id"), D.sign_hash(c("embedding").cast("array<double>")).alias("v"))
 
 
 @query("dedup.near_confirm")
 def _(t: Tables):
-    """Rounded vectors whose hash agrees, clustered greedily within a difference of 0.5."""
+    """Vectors whose whole hash agrees, clustered greedily within a difference of 0.5; a bucket is one hash."""
     e = t.embeddings.select(c("vec_id").alias("id"), c("embedding").cast("array<double>").alias("v"))
-    head = e.withColumn("bucket", F.substring(D.sign_hash(c("v")), 1, 8))
+    head = e.withColumn("bucket", D.sign_hash(c("v")))
     return D.greedy_clusters(head, "bucket", "id", "v", 0.5)
 
 
@@ -58,25 +70,27 @@ def _(t: Tables):
     return D.text_pool(t.cands, X.mask_email(X.required_text(F.concat(F.lit(" "), "category", F.lit(" "), "platform", F.lit("@x.org ")))), "id")
 
 
-@query("graph.components", "SELECT id AS node, min(id) OVER (PARTITION BY id // 35) AS label FROM records", whole=True)
-@query(
-    "graph.components",
-    """WITH RECURSIVE n AS (SELECT id, id // 7 AS a, CASE WHEN id % 7 = 0 THEN id // 35 END AS b FROM records WHERE id < 3000),
-r AS (SELECT id AS node, a, id AS label FROM n) SELECT n.id AS node, min(m.id) AS label FROM n JOIN n m ON n.a // 5 = m.a // 5 GROUP BY 1""",
-)
+@query("graph.components", "SELECT id AS node, min(id) OVER (PARTITION BY id // 35) AS label FROM records")
 def _(t: Tables):
     """Rows of one of seven share ``a``, and every fifth of those share ``b``: blocks of 35 ids."""
-    n = t.part(t.records, "id < 3000").select("id", F.floor(c("id") / 7).alias("a"), F.when(c("id") % 7 == 0, F.floor(c("id") / 35)).alias("b"))
+    n = t.records.select("id", F.floor(c("id") / 7).alias("a"), F.when(c("id") % 7 == 0, F.floor(c("id") / 35)).alias("b"))
     return D.key_components(n, "id", ["a", "b"])
 
 
-@query("graph.group_split", "SELECT k, CASE WHEN count(DISTINCT split) > 2 THEN 'excluded' ELSE min(split) END AS split FROM records GROUP BY k", whole=True)
-@query("graph.group_split", "SELECT k, CASE WHEN count(DISTINCT split) > 2 THEN 'excluded' ELSE min(split) END AS split FROM records WHERE turns <= 2 GROUP BY k")
+@query("graph.group_split", "SELECT k, CASE WHEN count(DISTINCT split) > 2 THEN 'excluded' ELSE min(split) END AS split FROM records GROUP BY k")
 def _(t: Tables):
-    g = t.part(t.records, "turns <= 2").groupBy("k").agg(F.countDistinct("split").alias("d"), F.min("split").alias("s"))
+    g = t.records.groupBy("k").agg(F.countDistinct("split").alias("d"), F.min("split").alias("s"))
     return D.assign_groups(g, "k", c("d") > 2, c("s"))
 
 
+@query("graph.group_split.fold")
+def _(t: Tables):
+    """Groups of a leakage key with the hashes they hold, folded into splits; the key has at most a hundred values."""
+    g = t.records.groupBy("k").agg(F.count("*").alias("n"), F.collect_set(F.floor(c("k") / 3) * 10 + c("k") % 2).alias("hashes")).collect()
+    rows = W.fold_groups([(r.k, r.n, sorted(r.hashes), (r.k or 0) % 10 == 0) for r in g], "episode-split")
+    return t.spark.createDataFrame(rows, "k long, split string")
+
+
 @query("graph.group_assign", "SELECT episode, CASE WHEN max((k > 97)::INT) = 1 THEN 'excluded' ELSE min(split) END AS split FROM records GROUP BY 1")
 def _(t: Tables):
     g = t.records.groupBy("episode").agg(F.bool_or(c("k") > 97).alias("conflict"), F.min("split").alias("s"))
@@ -121,10 +135,9 @@ def _(t: Tables):
     return acts.groupBy("id").agg(F.count_if(c("kind") == "action").alias("n"), F.bool_and(same).alias("ok"))
 
 
-@query("conv.publish_pair", "SELECT view, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM (SELECT k, unnest(['direct', 'terminate']) AS view FROM records WHERE split = 'train') GROUP BY 1", whole=True)
-@query("conv.publish_pair", "SELECT view, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM (SELECT k, unnest(['direct', 'terminate']) AS view FROM records WHERE split = 'train' AND turns % 10 = 0) GROUP BY 1")
+@query("conv.publish_pair", "SELECT view, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM (SELECT k, unnest(['direct', 'terminate']) AS view FROM records WHERE split = 'train') GROUP BY 1")
 def _(t: Tables):
-    return P.per_track(t.part(t.records.where("split = 'train'"), "turns % 10 = 0"), ["direct", "terminate"]).groupBy(c("track").alias("view")).agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    return P.per_track(t.records.where("split = 'train'"), ["direct", "terminate"]).groupBy(c("track").alias("view")).agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
 @query("conv.parquet_audit", "SELECT 'blank' AS rule, count(*) FILTER (WHERE trim(text) = '') AS n_bad FROM steps UNION ALL SELECT 'role', count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) FROM steps UNION ALL SELECT 'first', count(*) FROM (SELECT id FROM steps GROUP BY 1 HAVING arg_min(role, pos) <> 'user')")
@@ -198,13 +211,7 @@ def _(t: Tables):
     return t.steps.where("kind = 'action'").select("id", "pos", "x", "y")
 
 
-@query("load.group.ordered", "SELECT episode, string_agg(k::VARCHAR, ',' ORDER BY id) AS v FROM records WHERE turns < 4 GROUP BY 1 HAVING count(*) = count(DISTINCT turns)")
-def _(t: Tables):
-    g = t.records.where("turns < 4").groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("id", "k"))).alias("s"), F.count("*").alias("n"), F.countDistinct("turns").alias("d"))
-    return g.where("n = d").select("episode", F.array_join(F.transform("s", lambda x: x.k), ",").alias("v"))
-
-
-@query("load.group.ordered", "SELECT episode, k % 10 AS part, string_agg(k::VARCHAR, ',' ORDER BY id) AS v FROM records GROUP BY 1, 2 HAVING count(*) = count(DISTINCT turns)", whole=True)
+@query("load.group.ordered", "SELECT episode, k % 10 AS part, string_agg(k::VARCHAR, ',' ORDER BY id) AS v FROM records GROUP BY 1, 2 HAVING count(*) = count(DISTINCT turns)")
 def _(t: Tables):
     """Short sequences out of all rows: an episode's rows by the last digit of k."""
     g = t.records.groupBy("episode", (c("k") % 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", "k"))).alias("s"), F.count("*").alias("n"), F.countDistinct("turns").alias("d"))
@@ -218,11 +225,10 @@ def _(t: Tables):
     return t.steps.join(same, "id", "left_semi").select("id", "pos", F.size(F.collect_list("pos").over(w)).cast("long").alias("before"))
 
 
-@query("load.group.contiguous", "SELECT variant, count(*) AS islands FROM (SELECT variant, lag(variant) OVER (ORDER BY id) AS p FROM records) WHERE p IS DISTINCT FROM variant GROUP BY 1", whole=True)
-@query("load.group.contiguous", "SELECT variant, count(*) AS islands FROM (SELECT variant, lag(variant) OVER (ORDER BY id) AS p FROM records WHERE id < 2000) WHERE p IS DISTINCT FROM variant GROUP BY 1")
+@query("load.group.contiguous", "SELECT variant, count(*) AS islands FROM (SELECT variant, lag(variant) OVER (ORDER BY id) AS p FROM records) WHERE p IS DISTINCT FROM variant GROUP BY 1")
 def _(t: Tables):
     """Islands by an explicit line index: of a block of 100 lines by its key, and between blocks by their ends."""
-    rows = t.part(t.records, "id < 2000").withColumn("block", F.floor(c("id") / 100))
+    rows = t.records.withColumn("block", F.floor(c("id") / 100))
     own = rows.withColumn("p", F.lag("variant").over(Window.partitionBy("block").orderBy("id"))).where("p IS NOT NULL AND p <> variant").select("variant")
     ends = rows.groupBy("block").agg(F.min_by("variant", "id").alias("first"), F.max_by("variant", "id").alias("last"))
     after = ends.select((c("block") + 1).alias("block"), c("last").alias("prev"))
@@ -265,7 +271,6 @@ def _(t: Tables):
     return g.withColumn("frozen", (c("n") == c("ids")) & (c("variants") == 5))
 
 
-@query("gen.positions", whole=True)
 @query("gen.positions")
 def _(t: Tables):
     """Eight points a row, none nearer than 90 to another: seeded draws, a grid where draws fail."""
@@ -286,7 +291,7 @@ def _(t: Tables):
                 out += [(i, j, float(x), float(y)) for j, (x, y) in enumerate(pts)]
             yield pd.DataFrame(out, columns=["id", "j", "x", "y"])
 
-    return t.part(t.records, "turns = 1").select("id").mapInPandas(run, "id long, j long, x double, y double")
+    return t.records.select("id").mapInPandas(run, "id long, j long, x double, y double")
 
 
 @query("udf.action_types", "SELECT id, CASE WHEN k % 4 = 0 THEN 'no_coordinate' WHEN k % 4 = 1 THEN NULL WHEN k % 4 = 2 THEN 'unknown_kind' END AS reason FROM records")
@@ -322,8 +327,8 @@ def _(t: Tables):
     good, _ = V.split_rejects(t.cands, [("short", c("n") < 100), ("shouting", c("text").contains("!!"))])
     first = W.first_by(good.withColumn("sha", F.sha2("text", 256)), ["sha"], ["id"])
     clean = first.join(t.labels.where("toxic = 1").select(c("doc_id").alias("id")), "id", "left_anti")
-    r = F.row_number().over(Window.partitionBy("category").orderBy(W.hash_order("c", "id"), "id"))
-    return clean.select("id", "category", F.when(r <= 5, "eval").otherwise("train").alias("part"))
+    held = W.first_by(clean.select("id", "category"), ["category"], [W.hash_order("c", "id"), "id"], 5).select("id", F.lit("eval").alias("part"))
+    return clean.select("id", "category").join(held, "id", "left").select("id", "category", F.coalesce("part", F.lit("train")).alias("part"))
 
 
 @query("flow.evaluate", "SELECT variant, count(*) AS n, round(avg(success::INT), 6) AS rate, round(median(value), 6) AS mid FROM records WHERE episode IN (SELECT episode FROM records WHERE split = 'train') GROUP BY ROLLUP (variant)")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..operators import window as W
@@ -34,7 +33,7 @@ def _(t: Tables):
 
 @query("win.rank_stable", "SELECT id, row_number() OVER (PARTITION BY split ORDER BY sha256('7|' || split || '|' || id), id) AS nth FROM records")
 def _(t: Tables):
-    return t.records.select("id", F.row_number().over(Window.partitionBy("split").orderBy(W.hash_order("7", "split", "id"), "id")).alias("nth"))
+    return W.hash_ranked(t.records, ["split"], "7", "split", "id").select("id", (c("place") + 1).alias("nth"))
 
 
 _AT = "SELECT id, i FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY variant) AS n FROM records) JOIN (SELECT unnest(range(0, 7)) AS j) ON i = {}"
@@ -62,13 +61,13 @@ def _(t: Tables):
 
 @query("win.interleave", "SELECT id, j, variant FROM (SELECT id, variant, (row_number() OVER (PARTITION BY variant ORDER BY id) - 1) // 4 AS j, (row_number() OVER (PARTITION BY variant ORDER BY id) - 1) % 4 AS r FROM records) WHERE r = 0")
 def _(t: Tables):
-    i = F.row_number().over(Window.partitionBy("variant").orderBy("id")) - 1
-    return t.records.withColumn("i", i).where("i % 4 = 0").select("id", F.floor(c("i") / 4).alias("j"), "variant").orderBy("j", "variant")
+    return W.ranked(t.records, ["variant"], ["id"], W.id_range(c("id")), "i").where("i % 4 = 0").select("id", F.floor(c("i") / 4).alias("j"), "variant").orderBy("j", "variant")
 
 
 @query("win.shuffle.seeded", "SELECT id, row_number() OVER (PARTITION BY variant ORDER BY sha256('42|a|' || id), id) AS place FROM records")
 def _(t: Tables):
-    return t.records.select("id", F.row_number().over(Window.partitionBy("variant").orderBy(H.sha_text("42", "a", c("id")), "id")).alias("place"))
+    rows = t.records.withColumn("h", H.sha_text("42", "a", c("id")))
+    return W.ranked(rows, ["variant"], ["h", "id"], W.hash_range(c("h"))).select("id", (c("place") + 1).alias("place"))
 
 
 @query("win.dedup_first", "SELECT episode, id FROM (SELECT episode, id, row_number() OVER (PARTITION BY episode ORDER BY sha256('3|' || id), id) AS n FROM records) WHERE n = 1")
@@ -147,10 +146,15 @@ def _fold(t: Tables, key):
     return t.spark.createDataFrame(rows, "g long, split string, n long")
 
 
+QUOTAS = {"train": {"direct": 12, "functional": 8}, "val": {"direct": 2, "functional": 2}, "test": {"direct": 2, "functional": 2}}
+
+
 @query("win.greedy_quota")
 def _(t: Tables):
-    """Sixty-four groups of documents folded into splits: largest first, balanced by category."""
-    return _fold(t, c("id") % 64)
+    """Documents as targets of images: quotas of two categories by split, neighbouring images in one split, icons among the direct ones."""
+    rows = t.cands.select("id", F.floor(c("id") / 6).alias("leak"), F.floor(c("id") / 3).alias("image"), c("platform").alias("software"), F.when(c("n") % 5 < 3, "direct").otherwise("functional").alias("category"), (c("n") % 10 == 0).alias("icon"))
+    pool = W.quota_pool(rows, QUOTAS, W.hash_order("q", "id"), 2).select("order", "id", "leak", "image", F.coalesce("software", F.lit("")).alias("software"), "category", "icon")
+    return t.spark.createDataFrame(W.fill_quotas([tuple(r) for r in pool.collect()], QUOTAS), "id long, split string")
 
 
 @query("win.greedy_split")
@@ -159,17 +163,20 @@ def _(t: Tables):
     return _fold(t, F.pmod(F.xxhash64("platform"), F.lit(32)))
 
 
-@query("win.target_balance", "SELECT id, k FROM (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM records) WHERE n <= 5")
+@query("win.target_balance", """WITH e AS (SELECT id, episode, k % 10 AS target, CASE WHEN variant = 'view' THEN 0 ELSE 1 END AS pool FROM records),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, pool, episode ORDER BY sha256('d|' || id), id) AS nth FROM e) WHERE pool = 1 OR nth = 1)
+SELECT id, target, turn FROM (SELECT id, target, row_number() OVER (PARTITION BY target ORDER BY pool, sha256('b|' || id), id) AS turn FROM d) ORDER BY turn, target LIMIT 47""")
 def _(t: Tables):
-    """Unconstrained pools: the least-filled target always is the one with the fewest rows so far."""
-    n = F.row_number().over(Window.partitionBy("k").orderBy("id"))
-    return t.records.withColumn("n", n).where("n <= 5").select("id", "k")
+    """Ten targets filled evenly, traces (of which an episode has one for a target) before episodes, and every target covered."""
+    rows = t.records.select("id", "episode", (c("k") % 10).alias("target"), F.when(c("variant") == "view", 0).otherwise(1).alias("pool"))
+    traces = W.first_by(rows.where("pool = 0"), ["target", "pool", "episode"], [W.hash_order("d", "id"), "id"])
+    return W.least_filled(traces.unionByName(rows.where("pool = 1")), "target", 10, "pool", "id", "b", 47).select("id", "target", "turn")
 
 
 @query("win.augment_cycle", "SELECT id, copy, 1 + (i * 3 + copy) % 10 AS rank FROM (SELECT id, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS i FROM records WHERE split = 'test') JOIN (SELECT unnest(range(0, 3)) AS copy) ON true")
 def _(t: Tables):
-    i = F.row_number().over(Window.partitionBy("variant").orderBy("id")) - 1
-    rows = t.records.where("split = 'test'").withColumn("i", i).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    numbered = W.ranked(t.records.where("split = 'test'"), ["variant"], ["id"], W.id_range(c("id")), "i")
+    rows = numbered.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return rows.select("id", "copy", (1 + (c("i") * 3 + c("copy")) % 10).alias("rank"))
 
 
@@ -192,36 +199,21 @@ def _(t: Tables):
     return W.balanced(t.records.withColumn("band", band), "band", ["a", "b", "c"], "8", "id").select("id", "class")
 
 
-def _tour(points: list | None, start: int) -> list | None:
-    if points is None:
-        return None
-    left, at, out = set(range(len(points))), start, [start]
-    left.discard(start)
-    while left:
-        x, y = points[at]
-        at = min(left, key=lambda i: ((points[i][0] - x) ** 2 + (points[i][1] - y) ** 2, i))
-        left.discard(at)
-        out.append(at)
-    return out
-
-
-#: A greedy tour of at most ten centres is sequential: each step depends on the last.
-nearest_tour = F.udf(_tour, T.ArrayType(T.IntegerType()), useArrow=True)
-
-
-@query("win.nearest_neighbor", whole=True)
-@query("win.nearest_neighbor")
+@query("win.nearest_neighbor", """WITH RECURSIVE p AS (SELECT id, list_transform(range(0, 10), lambda i: [(id * 37 + i * i * 131) % 1280, (id * 17 + i * 97) % 720]) AS pts FROM records),
+w AS (SELECT id, pts, [0::BIGINT] AS tour FROM p UNION ALL
+  SELECT id, pts, list_append(tour, list_sort(list_transform(list_filter(range(0, 10), lambda i: NOT list_contains(tour, i)),
+    lambda i: [(pts[i + 1][1] - pts[tour[-1] + 1][1]) * (pts[i + 1][1] - pts[tour[-1] + 1][1]) + (pts[i + 1][2] - pts[tour[-1] + 1][2]) * (pts[i + 1][2] - pts[tour[-1] + 1][2]), i]))[1][2]) FROM w WHERE len(tour) < 10)
+SELECT id, array_to_string(tour, ',') AS tour FROM w WHERE len(tour) = 10""")
 def _(t: Tables):
+    """A greedy tour of ten centres: each step of it is taken for a whole batch of rows."""
     pts = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.array((c("id") * 37 + i * i * 131) % 1280, (c("id") * 17 + i * 97) % 720))
-    return t.part(t.records, "turns = 1").select("id", F.array_join(nearest_tour(pts, F.lit(0)), ",").alias("tour"))
+    return t.records.select("id", F.array_join(W.nearest_tour(pts), ",").alias("tour"))
 
 
 @query("win.split_index", "SELECT id, CASE WHEN total = 1 THEN 'smoke' WHEN n <= total // 2 THEN 'iid' ELSE 'ood' END AS part FROM (SELECT id, row_number() OVER (PARTITION BY variant ORDER BY id) AS n, count(*) OVER (PARTITION BY variant) AS total FROM records)")
 def _(t: Tables):
-    w = Window.partitionBy("variant")
-    n = F.count("*").over(w)
-    half = F.row_number().over(w.orderBy("id")) <= F.floor(n / 2)
-    return t.records.select("id", F.when(n == 1, "smoke").when(half, "iid").otherwise("ood").alias("part"))
+    rows = W.ranked(t.records, ["variant"], ["id"], W.id_range(c("id")), "i", "n")
+    return rows.select("id", F.when(c("n") == 1, "smoke").when(c("i") < F.floor(c("n") / 2), "iid").otherwise("ood").alias("part"))
 
 
 @query("win.sensitivity", "SELECT id, CASE id % 2 WHEN 0 THEN 'low' ELSE 'high' END AS band, round_even((CASE id % 2 WHEN 0 THEN 500 ELSE 1200 END + (id * 73 + 29) % 301) / 1000, 3) AS v FROM records")
@@ -233,7 +225,8 @@ def _(t: Tables):
 
 @query("win.top_n_pairs", "SELECT variant, k, id FROM (SELECT *, dense_rank() OVER (PARTITION BY variant ORDER BY k) AS r FROM records) WHERE r <= 3")
 def _(t: Tables):
-    return t.records.withColumn("r", F.dense_rank().over(Window.partitionBy("variant").orderBy("k"))).where("r <= 3").select("variant", "k", "id")
+    top = W.first_by(t.records.select("variant", "k").distinct(), ["variant"], ["k"], 3)
+    return t.records.join(top, ["variant", "k"]).select("variant", "k", "id")
 
 
 @query("win.holdout", "SELECT id, CASE WHEN n <= greatest(1, floor(total * 0.05)) THEN 'eval' ELSE 'train' END AS part FROM (SELECT id, row_number() OVER (PARTITION BY variant ORDER BY sha256('6|' || id), id) AS n, count(*) OVER (PARTITION BY variant) AS total FROM records)")

@@ -239,14 +239,7 @@ def _(t: Tables):
     return t.boxes.select("id", ((F.size(xy) == 2) & F.forall(xy, lambda v: F.coalesce(v.between(0, 1000), F.lit(False)))).alias("v"))
 
 
-@query("filter.trace_sequence", "SELECT episode, regexp_matches(string_agg(CASE variant WHEN 'view' THEN 'down' WHEN 'error' THEN 'up' ELSE 'move' END, ' ' ORDER BY id), '^(move )+down up$') AS v FROM records WHERE turns <= 3 GROUP BY episode")
-def _(t: Tables):
-    kind = F.when(c("variant") == "view", "down").when(c("variant") == "error", "up").otherwise("move")
-    s = t.records.where("turns <= 3").groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("id", kind.alias("kind")))).alias("s"))
-    return s.select("episode", V.scan_sequence(F.transform("s", lambda x: x.kind)).alias("v"))
-
-
-@query("filter.trace_sequence", "SELECT episode, k % 10 AS part, regexp_matches(string_agg(CASE variant WHEN 'view' THEN 'down' WHEN 'error' THEN 'up' ELSE 'move' END, ' ' ORDER BY id), '^(move )+down up$') AS v FROM records GROUP BY 1, 2", whole=True)
+@query("filter.trace_sequence", "SELECT episode, k % 10 AS part, regexp_matches(string_agg(CASE variant WHEN 'view' THEN 'down' WHEN 'error' THEN 'up' ELSE 'move' END, ' ' ORDER BY id), '^(move )+down up$') AS v FROM records GROUP BY 1, 2")
 def _(t: Tables):
     """Short sequences out of all rows: an episode's rows by the last digit of k."""
     kind = F.when(c("variant") == "view", "down").when(c("variant") == "error", "up").otherwise("move")
@@ -267,37 +260,45 @@ def _(t: Tables):
     return t.spark.createDataFrame([(p,) for p in found], "path string")
 
 
-@query("filter.oracle_keys", "SELECT id, k % 2 = 0 AS v FROM records")
+_KEYS = (*V.ORACLE_KEYS, "the", "a", "so")
+_FIRST = r"([A-Za-z]+)"
+
+
+@query("filter.oracle_keys", "SELECT id, lower(regexp_extract(text, '" + _FIRST + "', 1)) IN ('" + "', '".join(_KEYS) + "') AS v FROM cands WHERE text IS NOT NULL")
 def _(t: Tables):
-    text = F.when(c("k") % 2 == 0, F.lit('{"a":[{"BBox" : 1}]}')).otherwise(F.lit('{"a":"bbox"}'))
-    return t.records.select("id", V.json_has_key(text, V.ORACLE_KEYS).alias("v"))
+    """The first word of every text as a nested key."""
+    text = F.concat(F.lit('{"b":[{"'), F.regexp_extract("text", _FIRST, 1), F.lit('" : 1}]}'))
+    return t.cands.where("text IS NOT NULL").select("id", V.json_has_key(text, _KEYS).alias("v"))
 
 
-@query("filter.clean", "SELECT id, k % 5 IN (0, 3) AS v FROM records")
+@query("filter.clean", r"""WITH r AS (SELECT id, lower(text || ' {"' || platform || '_sha' || id || '": 1, "' || category || 'hash": 2}') AS x FROM cands UNION ALL SELECT -id - 1, lower(text) FROM cands)
+SELECT id, NOT regexp_matches(x, '</?think>') AND len(list_filter(regexp_extract_all(x, '"([^"\\]*)"\s*:', 1), lambda k: regexp_matches(k, '(^|[_-])(sha(\d+)?|hash|digest)($|[_-])'))) = 0 AS v FROM r""")
 def _(t: Tables):
-    texts = ['{"t":"sha256"}', '{"a":{"image_sha256" :"x"}}', '{"t":"<Think>a"}', '{"sharp":1,"hashtag":2}', '[{"digest-x":1}]']
-    text = F.get(F.array(*[F.lit(x) for x in texts]), (c("k") % 5).cast("int"))
-    return t.records.select("id", V.publishable(text).alias("v"))
+    """Every text, alone (under -id - 1) and with a JSON row behind it whose keys are made of its columns."""
+    keyed = F.concat("text", F.lit(' {"'), "platform", F.lit("_sha"), c("id").cast("string"), F.lit('": 1, "'), "category", F.lit('hash": 2}'))
+    rows = t.cands.select("id", keyed.alias("x")).unionByName(t.cands.select((-c("id") - 1).alias("id"), c("text").alias("x")))
+    return rows.select("id", V.publishable(c("x")).alias("v"))
 
 
-@query("filter.prompt_leak", "SELECT id, k % 3 = 0 AS v FROM records")
+@query("filter.prompt_leak", "SELECT id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in (*V.PRIVATE_WORDS, "thing", "attion")) + " AS v FROM cands")
 def _(t: Tables):
-    prompt = F.array(F.struct(F.lit("user").alias("role"), F.when(c("k") % 3 == 0, F.lit("the Ground_Truth is 3")).otherwise(c("variant")).alias("content")))
-    return t.records.select("id", V.has_word(F.to_json(prompt)).alias("v"))
+    """Every text as the content of a prompt; two ordinary words are private here too."""
+    prompt = F.array(F.struct(F.lit("user").alias("role"), c("text").alias("content")))
+    return t.cands.select("id", V.has_word(F.to_json(prompt), (*V.PRIVATE_WORDS, "thing", "attion")).alias("v"))
 
 
-@query("filter.policy_keys", "SELECT id, CASE WHEN k % 2 = 1 THEN 'my_target_index,variant' ELSE '' END AS v FROM records")
+@query("filter.policy_keys", "SELECT id, array_to_string(list_sort(list_filter(string_split(lower(category || ' ' || platform || '_oracle ' || coalesce(text, '')), ' '), lambda w: " + " OR ".join(f"contains(w, '{p}')" for p in V.EVALUATOR_PARTS) + ")), ',') AS v FROM cands WHERE text IS NOT NULL")
 def _(t: Tables):
-    odd = c("k") % 2 == 1
-    keys = F.array(F.lit("split"), F.when(odd, F.lit("Variant")).otherwise(F.lit("source")), F.when(odd, F.lit("my_Target_Index")).otherwise(F.lit("frame")))
-    return t.records.select("id", F.array_join(V.leaking_keys(keys), ",").alias("v"))
+    """The words of every text as keys, with two made of its columns."""
+    keys = F.split(F.concat_ws(" ", "category", F.concat("platform", F.lit("_oracle")), "text"), " ")
+    return t.cands.where("text IS NOT NULL").select("id", F.array_join(V.leaking_keys(keys), ",").alias("v"))
 
 
-@query("filter.non_click", "SELECT id, variant IN ('view', 'signup', 'error') AS v FROM records")
+@query("filter.non_click", "SELECT id, pos, NOT regexp_matches(s, '(?i){}') AND NOT regexp_matches(s, '(?i){}') AND (regexp_matches(s, '(?i){}') OR regexp_matches(s, '(?i){}') OR regexp_matches(s, '(?i){}')) AS v FROM (SELECT id, pos, CASE x % 4 WHEN 0 THEN 'move the mouse ' WHEN 1 THEN 'the cursor is placed ' WHEN 2 THEN 'then select ' ELSE '' END || text AS s FROM steps)".format(X.CLICKS, X.SELECTS, X.HOVERS, X.CURSOR_MOVES, X.CURSOR_STATES))
 def _(t: Tables):
-    said = {"view": "Hover over the logo", "signup": "move the mouse cursor to the menu", "error": "the pointer is placed there", "click": "move the mouse there and click on it", "purchase": "hover, then select the first"}
-    names = F.create_map(*[F.lit(x) for kv in said.items() for x in kv])
-    return t.records.select("id", X.cursor_only(names[c("variant")]).alias("v"))
+    """Every text of the conversations, some behind the beginning of an instruction."""
+    lead = F.when(c("x") % 4 == 0, "move the mouse ").when(c("x") % 4 == 1, "the cursor is placed ").when(c("x") % 4 == 2, "then select ").otherwise("")
+    return t.steps.select("id", "pos", X.cursor_only(F.concat(lead, "text")).alias("v"))
 
 
 @query("filter.record_contract", "SELECT id FROM records WHERE variant = 'click' AND split = 'train' AND success AND k >= 10 AND turns <= 12")
@@ -309,19 +310,31 @@ def _(t: Tables):
     return t.records.where(keep).select("id")
 
 
-@query("filter.think_quality", "SELECT id, concat_ws(',', CASE WHEN turns = 1 THEN 'empty' END, CASE WHEN turns IN (1, 2) THEN 'no_latin' END, CASE WHEN turns = 3 THEN 'cjk' END, CASE WHEN turns = 4 THEN 'forbidden' END, CASE WHEN turns IN (4, 5) THEN 'nested_tag' END) AS v FROM records")
+_THOUGHTS = "(SELECT id, pos, CASE x % 5 WHEN 0 THEN regexp_replace(text, '[A-Za-z]', '', 'g') WHEN 1 THEN text || ' 中' WHEN 2 THEN text || ' by the Oracle' WHEN 3 THEN '<Think>' || text ELSE text END AS s FROM steps)"
+
+
+@query("filter.think_quality", "SELECT id, pos, concat_ws(',', CASE WHEN trim(s) = '' THEN 'empty' END, CASE WHEN NOT regexp_matches(s, '[A-Za-z]') THEN 'no_latin' END, CASE WHEN regexp_matches(s, '{}') THEN 'cjk' END, CASE WHEN {} THEN 'forbidden' END, CASE WHEN regexp_matches(lower(s), '</?think>') THEN 'nested_tag' END) AS v FROM {}".format(X.CJK, " OR ".join(f"contains(lower(s), '{p}')" for p in X.FORBIDDEN), _THOUGHTS))
 def _(t: Tables):
-    texts = ["  ", "123 !", "see 中文", "By the Oracle </think>", "so <think> again"]
-    text = F.coalesce(F.get(F.array(*[F.lit(x) for x in texts]), (c("turns") - 1).cast("int")), c("variant"))
-    return t.records.select("id", X.think_issues(text).alias("v"))
+    """Every text of the conversations as a thought, four in five of them spoilt in one way."""
+    s = F.when(c("x") % 5 == 0, F.regexp_replace("text", "[A-Za-z]", "")).when(c("x") % 5 == 1, F.concat("text", F.lit(" 中"))).when(c("x") % 5 == 2, F.concat("text", F.lit(" by the Oracle"))).when(c("x") % 5 == 3, F.concat(F.lit("<Think>"), "text")).otherwise(c("text"))
+    return t.steps.select("id", "pos", X.think_issues(s).alias("v"))
+
+
+_SAID = "(SELECT id, lower(CASE WHEN id % 4 = 1 THEN text || ' ' || repeat(right(text, 40) || ' ', 3) ELSE text END) AS s FROM cands WHERE text IS NOT NULL)"
 
 
-@query("filter.repetition", "SELECT id, CASE turns % 5 WHEN 0 THEN 'duplicate_sentence,ngram,tail' WHEN 1 THEN 'duplicate_sentence' WHEN 2 THEN 'tail' ELSE '' END AS v FROM records")
+@query("filter.repetition", f"""WITH s AS {_SAID}, w AS (SELECT id, s, regexp_extract_all(s, '[a-z0-9_]+') AS t FROM s),
+g AS (SELECT id, list_transform(range(1, greatest(len(t) - 2, 1)), lambda i: array_to_string(t[i : i + 3], ' ')) AS g FROM w),
+c AS (SELECT id, max(n) AS most, count(*) AS different, sum(n) AS grams FROM (SELECT id, x, count(*) AS n FROM (SELECT id, unnest(g) AS x FROM g) GROUP BY id, x) GROUP BY id),
+d AS (SELECT id, list_filter(list_transform(string_split_regex(s, '{X.SENTENCE_ENDS}'), lambda x: regexp_extract_all(x, '[a-z0-9_]+')), lambda x: len(x) >= 6) AS d FROM w)
+SELECT id, CASE WHEN len(t) < 24 THEN '' ELSE concat_ws(',', CASE WHEN len(list_distinct(list_transform(d, lambda x: array_to_string(x, ' ')))) < len(d) THEN 'duplicate_sentence' END,
+  CASE WHEN grams >= 20 AND different / grams < 0.55 AND most >= 3 THEN 'ngram' END,
+  CASE WHEN len(list_filter(range(4, 21), lambda n: len(t) >= 3 * n AND t[len(t) - n + 1 : len(t)] = t[len(t) - 2 * n + 1 : len(t) - n] AND t[len(t) - n + 1 : len(t)] = t[len(t) - 3 * n + 1 : len(t) - 2 * n])) > 0 THEN 'tail' END) END AS v
+FROM w JOIN d USING (id) LEFT JOIN c USING (id)""")
 def _(t: Tables):
-    once, other = "Look at the red box over there. ", "Now press on it and wait until the next page has come. "
-    free = " ".join(f"word{i}" for i in range(30))
-    texts = [once * 5, once + other + once, free + " go on and on go on and on go on and on", once + other + "Then drag the small handle to the right.", once * 3]
-    return t.records.select("id", X.repetition_issues(F.get(F.array(*[F.lit(x) for x in texts]), (c("turns") % 5).cast("int"))).alias("v"))
+    """Every text, one in four with its end three times over."""
+    said = F.when(c("id") % 4 == 1, F.concat("text", F.lit(" "), F.repeat(F.concat(F.right("text", F.lit(40)), F.lit(" ")), 3))).otherwise(c("text"))
+    return t.cands.where("text IS NOT NULL").select("id", X.repetition_issues(said).alias("v"))
 
 
 @query("filter.loop", "SELECT episode, coalesce(l[-1] = l[-2], false) OR coalesce(l[-1] = l[-3] AND l[-2] = l[-4] AND l[-1] <> l[-2], false) AS v FROM (SELECT episode, list(variant ORDER BY id) AS l FROM records GROUP BY episode)")
@@ -330,10 +343,13 @@ def _(t: Tables):
     return s.select("episode", A.repeats(c("l")).alias("v"))
 
 
-@query("filter.meaningful_delta", "SELECT id, k % 4 > 0 AS v FROM records")
+@query("filter.meaningful_delta", "SELECT id, abs(k - lag_k) * 1e-10 > 1e-9 OR abs(value - lag_v) > 1e-9 AS v FROM (SELECT id, k, floor(value / 40) AS value, lag(k, 1, k) OVER w AS lag_k, lag(floor(value / 40), 1, floor(value / 40)) OVER w AS lag_v FROM records WINDOW w AS (PARTITION BY episode ORDER BY id))")
 def _(t: Tables):
-    m = F.create_map(F.lit("a"), F.lit(1e-12), F.lit("b"), (c("k") % 4).cast("double"))
-    return t.records.select("id", V.meaningful(m).alias("v"))
+    """What changed since the row before: a tiny unit of k, and the value's step of forty."""
+    w = Window.partitionBy("episode").orderBy("id")
+    step = F.floor(c("value") / 40)
+    moved = t.records.select("id", (c("k") - F.coalesce(F.lag("k").over(w), c("k"))).alias("k"), (step - F.coalesce(F.lag(step).over(w), step)).cast("double").alias("v"))
+    return moved.select("id", V.meaningful(F.create_map(F.lit("k"), c("k") * 1e-10, F.lit("v"), c("v"))).alias("v"))
 
 
 @query("filter.range", "SELECT id, value FROM records WHERE value BETWEEN 12.5 AND 40 AND k BETWEEN 10 AND 20")
@@ -494,11 +510,10 @@ def _(t: Tables):
     return t.records.select("id", F.round(F.array_min(d), 6).alias("v"))
 
 
-@query("join.cyclic_index", "SELECT a.id, b.k FROM (SELECT id, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS i FROM records WHERE success) a JOIN (SELECT k, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS j, count(*) OVER (PARTITION BY variant) AS n FROM records WHERE NOT success) b ON a.variant = b.variant AND a.i % b.n = b.j", whole=True)
-@query("join.cyclic_index", "SELECT a.id, b.k FROM (SELECT id, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS i FROM records WHERE success) a JOIN (SELECT k, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS j, count(*) OVER (PARTITION BY variant) AS n FROM records WHERE NOT success AND turns = 1) b ON a.variant = b.variant AND a.i % b.n = b.j")
+@query("join.cyclic_index", "SELECT a.id, b.k FROM (SELECT id, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS i FROM records WHERE success) a JOIN (SELECT k, variant, row_number() OVER (PARTITION BY variant ORDER BY id) - 1 AS j, count(*) OVER (PARTITION BY variant) AS n FROM records WHERE NOT success) b ON a.variant = b.variant AND a.i % b.n = b.j")
 def _(t: Tables):
     a = t.records.where("success").select("id", "variant")
-    b = t.part(t.records.where("NOT success"), "turns = 1").select("variant", "k", c("id").alias("bid"))
+    b = t.records.where("NOT success").select("variant", "k", c("id").alias("bid"))
     return R.cyclic(a, b, ["id"], ["bid"], "variant").select("id", "k")
 
 

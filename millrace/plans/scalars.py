@@ -338,13 +338,13 @@ def _(t: Tables):
     return t.boxes.select("id", G.rect_overlap(c("x1"), c("y1"), c("px"), c("py"), 60).alias("v"))
 
 
-@query("geo.overshoot", "SELECT id, k > 51 AND id % 3 > 0 AS v FROM boxes")
+@query("geo.overshoot", """WITH p AS (SELECT id, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS norm, (px - x1) * (x2 - x1) + (py - y1) * (y2 - y1) AS a, (x2 + id % 5 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS z FROM boxes)
+SELECT id, norm > 1e-6 AND coalesce(a / norm > 1.02 AND abs(z / norm - 1) <= 0.02, false) AS v FROM p""")
 def _(t: Tables):
-    """Points along the x axis to 1000: the middle one goes to k * 20, the last ends near or short."""
-    z = F.lit(0.0)
-    pt = lambda x: F.struct(x.cast("double").alias("x"), z.alias("y"))
-    pts = F.array(pt(F.lit(10)), pt(c("k") * 20), pt(F.when(c("id") % 3 > 0, 1000).otherwise(900)))
-    return t.boxes.select("id", G.overshoots(pts, z, z, F.lit(1000.0), z).alias("v"))
+    """A box's diagonal is the way; the row's point comes first, the last ends beside the far corner."""
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    pts = F.array(pt(c("px"), c("py")), pt(c("x2") + c("id") % 5, c("y2")))
+    return t.boxes.select("id", G.overshoots(pts, c("x1"), c("y1"), c("x2"), c("y2")).alias("v"))
 
 
 # --- arrays -------------------------------------------------------------------
@@ -361,19 +361,22 @@ def _(t: Tables):
     return t.steps.groupBy("id").agg(pos.alias("l")).select("id", F.array_join(A.last_n(c("l"), 3), ",").alias("v"))
 
 
-@query("arr.loss_mask", "SELECT id, CASE WHEN id % 2 = 0 THEN '0,1,0' ELSE '0,0,0' END AS v FROM records")
+@query("arr.loss_mask", "SELECT id, string_agg((CASE WHEN trainable THEN loss * attention ELSE 0 END)::VARCHAR, ',' ORDER BY pos) AS v FROM (SELECT id, pos, (kind = 'action')::INT AS loss, (n > 60)::INT AS attention, count(*) OVER (PARTITION BY id) % 2 = 0 AS trainable FROM steps) GROUP BY id")
 def _(t: Tables):
-    m = A.loss_mask(F.array(F.lit(0), F.lit(1), F.lit(1)), F.array(F.lit(1), F.lit(1), F.lit(0)), c("id") % 2 == 0)
-    return t.records.select("id", F.array_join(m, ",").alias("v"))
+    """Every conversation: its actions are trained on where attended, if it has an even number of steps."""
+    g = t.steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (c("kind") == "action").cast("int").alias("loss"), (c("n") > 60).cast("int").alias("attention")))).alias("s"))
+    m = A.loss_mask(c("s.loss"), c("s.attention"), F.size("s") % 2 == 0)
+    return g.select("id", F.array_join(m, ",").alias("v"))
 
 
-@query("arr.drag_phases", "SELECT id, id % 3 = 0 AS ok, CASE WHEN id % 3 = 0 THEN 1 END AS free, CASE WHEN id % 3 = 0 THEN 2 END AS held FROM records")
+@query("arr.drag_phases", """WITH g AS (SELECT episode, id // 50 AS part, string_agg(CASE variant WHEN 'error' THEN 'd' WHEN 'purchase' THEN 'u' ELSE 'm' END, '' ORDER BY id) AS s FROM records GROUP BY 1, 2)
+SELECT episode, part, regexp_matches(s, '^m+dm+u$') AS ok, CASE WHEN regexp_matches(s, '^m+dm+u$') THEN instr(s, 'd') - 1 END::INT AS free, CASE WHEN regexp_matches(s, '^m+dm+u$') THEN length(s) - instr(s, 'd') - 1 END::INT AS held FROM g""")
 def _(t: Tables):
-    seq = lambda *k: F.array(*[F.lit(x) for x in k])
-    m, d, u = "move_to", "mouse_down", "mouse_up"
-    kinds = F.when(c("id") % 3 == 0, seq(m, d, m, m, u)).when(c("id") % 3 == 1, seq(m, d, u)).otherwise(seq(m, d, m, u, m))
-    free, held, ok = A.drag_phases(kinds)
-    return t.records.select("id", ok.alias("ok"), free.cast("int").alias("free"), held.cast("int").alias("held"))
+    """An episode's events of fifty lines as a drag: errors press, purchases release, others move."""
+    kind = F.when(c("variant") == "error", "mouse_down").when(c("variant") == "purchase", "mouse_up").otherwise("move_to")
+    g = t.records.groupBy("episode", F.floor(c("id") / 50).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", kind.alias("kind")))).alias("s"))
+    free, held, ok = A.drag_phases(F.transform("s", lambda x: x.kind))
+    return g.select("episode", "part", ok.alias("ok"), free.cast("int").alias("free"), held.cast("int").alias("held"))
 
 
 @query("arr.monotone_fractions", "SELECT id, greatest(turns, 1) AS n, CASE WHEN turns = 1 THEN 1.0 ELSE round(turns * 1.25 / 2, 6) END::DOUBLE AS s FROM records")

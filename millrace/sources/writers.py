@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,8 @@ def jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def jsonl_text(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Each group's rows as one JSONL text."""
+def jsonl_text(df: DataFrame, group: Column, order: str) -> DataFrame:
+    """Each group's rows as one JSONL text; groups must be of a bounded size, such as ranges of the order."""
     row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x.r)
     return df.groupBy(group).agg(F.array_join(lines, "\n").alias("text"))
