@@ -33,6 +33,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 6000
 #: Most labels that a model learns: the most frequent ones.
 LABELS = 128
 FOLDS = 5
+#: Bytes of text whose features are in memory at once (a longer text goes alone).
+SLICE_TEXT = 1 << 17
 _CHUNK = 32
 
 
@@ -198,7 +200,7 @@ class Model:
     def judged(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
         """What ``texts`` gives, and the mean over a text's words of the probability of each word's own best label."""
         names, scores, sure = [], [], []
-        for i, j, raw, off in slices(texts):
+        for i, j, raw, off in slices(texts, SLICE_TEXT):
             words = _fold(raw, off)
             sums = np.zeros((words.texts, max(1, len(self.labels))))
             each = np.zeros(words.texts)
