@@ -201,3 +201,40 @@ def _(t: Tables):
 @query("agg.conflict_ceiling", "SELECT count(*) AS inputs, count(*) FILTER (WHERE d > 1) AS conflicts, round(sum(m) / sum(n), 9) AS ceiling FROM (SELECT k, turns, count(*) AS d, max(n) AS m, sum(n) AS n FROM (SELECT k, turns, variant, count(*) AS n FROM records GROUP BY 1, 2, 3) GROUP BY 1, 2)")
 def _(t: Tables):
     return G.conflict_ceiling(t.records, ["k", "turns"], "variant")
+
+
+# --- groupings, sketches and table functions -------------------------------------------
+
+
+@query("agg.cube", "SELECT variant, split, grouping(variant) * 2 + grouping(split) AS level, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM records GROUP BY CUBE (variant, split)")
+def _(t: Tables):
+    return t.records.cube("variant", "split").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("k").alias("k"))
+
+
+@query("agg.grouping_sets", "SELECT variant, split, success, count(*) AS n FROM records GROUP BY GROUPING SETS ((variant, split), (success), ())")
+def _(t: Tables):
+    sets = [[c("variant"), c("split")], [c("success")], []]
+    return t.records.groupingSets(sets, "variant", "split", "success").agg(F.count("*").alias("n"))
+
+
+@query("agg.approx", "SELECT variant, true AS few_off, true AS middle_off FROM records GROUP BY 1")
+def _(t: Tables):
+    """Sketches of each variant against what they stand for: distinct episodes within 10 %, the median's rank within 2 %."""
+    near = t.records.groupBy("variant").agg(F.approx_count_distinct("episode", 0.02).alias("sketch"), F.countDistinct("episode").alias("exact"), F.percentile_approx("value", 0.5, 1000).alias("mid"), F.count("*").alias("n"))
+    ranks = t.records.join(near, "variant").groupBy("variant", "sketch", "exact", "n").agg(F.count_if(c("value") < c("mid")).alias("below"), F.count_if(c("value") <= c("mid")).alias("upto"))
+    few = F.abs(c("sketch") - c("exact")) <= 0.1 * c("exact")
+    return ranks.select("variant", few.alias("few_off"), ((c("below") <= 0.52 * c("n")) & (c("upto") >= 0.48 * c("n"))).alias("middle_off"))
+
+
+@query("udtf.lines", "SELECT id, i - 1 AS line, len(string_split(text, chr(10))[i]) AS n FROM (SELECT id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM cands WHERE text IS NOT NULL)")
+def _(t: Tables):
+    """A table function that gives a row for each line of a text."""
+
+    class Lines:
+        def eval(self, text: str):
+            for i, line in enumerate(text.split("\n")):
+                yield i, len(line)
+
+    t.spark.udtf.register("millrace_lines", F.udtf(Lines, returnType="line long, n long"))
+    t.cands.where("text IS NOT NULL").createOrReplaceTempView("millrace_texts")
+    return t.spark.sql("SELECT id, line, f.n FROM millrace_texts, LATERAL millrace_lines(text) f")
