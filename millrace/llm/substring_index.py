@@ -263,7 +263,8 @@ class SubstringIndex:
         held_by = self._write("texts", sums.groupBy("sum").agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
         fresh.append(held_by)
         first = self._against(held_by).select("sum", F.least("lo", "olo").alias("first"), "hi").where("first < hi").select("sum", "first")
-        copies = space.put(sums.join(first, "sum").where("first < d").select("d", "sum").distinct(), "copies")
+        # Written and joined by broadcast or a plain shuffle: beside a bucketed side a large group of copies couldn't be split.
+        copies = space.put(pick(sums, space.put(first, "first"), ["sum"]).where("first < d").select("d", "sum").distinct(), "copies")
         own = pick(batch, copies, ["d", "sum"], "left_anti").select("d", "text")
 
         # Fingerprints, and which of them several documents hold.
