@@ -15,7 +15,9 @@ from ..shipping import ship as send_code
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What bounds batches of whole texts: bytes between Spark and Python, rows from a Parquet reader
+#: (a text column grows by doubling, so 4,096 long texts leave several times their size as garbage).
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "256"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, and bound batches between Spark and Python by bytes.
+    """Send the package to the executors, and bound batches of texts.
 
     Rows here are whole texts, and a batch is held several times over: in Spark's
     vectors, in the buffer to or from Python, and there. A setting of the user's stays.
     """
-    if spark.conf.get(BATCH_SETTING) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(BATCH_SETTING):
-        spark.conf.set(BATCH_SETTING, "2m")
+    default = spark._jvm.org.apache.spark.sql.internal.SQLConf()
+    for name, value in BATCHES.items():
+        if spark.conf.get(name) == default.getConfString(name):
+            spark.conf.set(name, value)
     send_code(spark)
 
 
