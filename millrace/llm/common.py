@@ -15,28 +15,38 @@ from ..shipping import ship as send_code
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: What bounds batches of whole texts: bytes between Spark and Python, rows from a Parquet reader
-#: (a text column grows by doubling, so 4,096 long texts leave several times their size as garbage).
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "256"}
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+READER_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _unless_set(spark: SparkSession, name: str, value: str) -> None:
+    if spark.conf.get(name) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(name):
+        spark.conf.set(name, value)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, and bound batches of texts.
+    """Send the package to the executors, and bound batches between Spark and Python by bytes.
 
     Rows here are whole texts, and a batch is held several times over: in Spark's
     vectors, in the buffer to or from Python, and there. A setting of the user's stays.
     """
-    default = spark._jvm.org.apache.spark.sql.internal.SQLConf()
-    for name, value in BATCHES.items():
-        if spark.conf.get(name) == default.getConfString(name):
-            spark.conf.set(name, value)
+    _unless_set(spark, BATCH_SETTING, "2m")
     send_code(spark)
 
 
+def read_few(spark: SparkSession) -> None:
+    """Let Parquet readers give 256 rows at once, not 4,096; a setting of the user's stays.
+
+    A text column grows by doubling, so 4,096 long texts leave several times
+    their size as garbage. It holds for the session's later queries too.
+    """
+    _unless_set(spark, READER_SETTING, "256")
+
+
 class Workspace:
     """A fresh folder below ``spark.checkpoint.dir`` for tables that cut lineage.
 

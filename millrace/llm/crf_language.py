@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import read_few, ship, table
 from .words import U64, Words, slices, text_buffer, trim_memory
 
 FEATURES = 1 << 16
@@ -377,6 +377,7 @@ def with_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
     in several languages stays where its words are labelled with confidence.
     """
     ship(docs.sparkSession)
+    read_few(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

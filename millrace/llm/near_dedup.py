@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick, release, ship, table
+from .common import Workspace, pick, read_few, release, ship, table
 from .graph import PAIR, components
 from .words import U64, Words, constants, mix64, shingle_sets, slices, trim_memory
 
@@ -279,6 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, distance: int = DISTANCE
     """
     spark = docs.sparkSession
     ship(spark)
+    read_few(spark)
     space = Workspace(spark, "near")
     limit = {} if local_edges is None else {"local_edges": local_edges}
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
